@@ -34,36 +34,57 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """For each of k coordinates the id of the earliest dart in the regions of the elements."""
-    total = float(weights.sum())
-    limit = k * (np.log(k) + 2.0) / total
-    while True:
-        ranks, ids = [], []
-        for strip in range(int(np.ceil(weights.max()))):
-            at = weights > strip
-            salt = _U(0x9E3779B97F4A7C15 * (strip + 1) & 0xFFFFFFFFFFFFFFFF)
-            state, room = mix(elements[at] + salt), weights[at] - strip
-            rank = -np.log(_uniform(state))
-            while True:
-                near = rank < limit
-                if not near.any():
-                    break
-                state, rank, room = state[near], rank[near], room[near]
-                inside = _uniform(mix(state ^ _U(0xA5A5A5A5A5A5A5A5))) <= room
-                ranks.append(rank[inside])
-                ids.append(state[inside])
-                state = mix(state + _U(0xD1B54A32D192ED03))
-                rank = rank - np.log(_uniform(state))
-        rank = np.concatenate(ranks) if ranks else np.zeros(0)
-        dart = np.concatenate(ids) if ids else np.zeros(0, _U)
-        coordinate = (mix(dart ^ _U(0x5851F42D4C957F2D)) % _U(k)).astype(np.int64)
+def distinct_by_text(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each text (at most 65,536 texts), their texts and their occurrences.
+    An element keeps its upper 48 bits."""
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=_U), np.diff(offsets))
+    own, count = np.unique((owner << _U(48)) | (elements >> _U(16)), return_counts=True)
+    return own & _U(0xFFFFFFFFFFFF), (own >> _U(48)).astype(np.int64), count
+
+
+def _throw(elements: np.ndarray, weights: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All darts in the regions of elements below their limits: element's place, rank, id."""
+    places, ranks, ids = [], [], []
+    for strip in range(int(np.ceil(weights.max(initial=0.0)))):
+        place = np.flatnonzero(weights > strip)
+        salt = _U(0x9E3779B97F4A7C15 * (strip + 1) & 0xFFFFFFFFFFFFFFFF)
+        state, room, limit = mix(elements[place] + salt), weights[place] - strip, limits[place]
+        rank = -np.log(_uniform(state))
+        while True:
+            near = np.flatnonzero(rank < limit)
+            if not len(near):
+                break
+            place, state, rank, room, limit = place[near], state[near], rank[near], room[near], limit[near]
+            inside = slice(None) if room.min() >= 1 else _uniform(mix(state ^ _U(0xA5A5A5A5A5A5A5A5))) <= room
+            places.append(place[inside])
+            ranks.append(rank[inside])
+            ids.append(state[inside])
+            state = mix(state + _U(0xD1B54A32D192ED03))
+            rank = rank - np.log(_uniform(state))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, _U)
+    return np.concatenate(places), np.concatenate(ranks), np.concatenate(ids)
+
+
+def dart_signatures(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray, texts: int, k: int) -> np.ndarray:
+    """``texts x k`` ids: for each coordinate the earliest dart in the regions of a text's elements.
+    Rows of texts without elements are 0."""
+    total = np.bincount(owner, weights, texts)
+    out, open_ = np.zeros((texts, k), _U), total > 0
+    limit = np.where(open_, k * (np.log(k) + 2.0) / np.maximum(total, 1e-9), 0.0)
+    while open_.any():
+        at = np.flatnonzero(open_[owner])
+        place, rank, dart = _throw(elements[at], weights[at], limit[owner[at]])
+        cell = owner[at][place] * k + (mix(dart ^ _U(0x5851F42D4C957F2D)) % _U(k)).astype(np.int64)
         order = np.argsort(-rank, kind="stable")  # the earliest is written last, and stays
-        where = np.full(k, -1, np.int64)
-        where[coordinate[order]] = order
-        if (where >= 0).all():
-            return dart[where]
-        limit *= 2.0
+        first = np.full(texts * k, -1, np.int64)
+        first[cell[order]] = order
+        first = first.reshape(texts, k)
+        full = open_ & (first >= 0).all(axis=1)
+        out[full] = dart[first[full]]
+        open_ &= ~full
+        limit = limit * 2.0
+    return out
 
 
 def content_id(text: str) -> int:
@@ -81,21 +102,17 @@ def _signer(k: int, rows: int, words_each: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):
                 sh, off = shingles(Words(texts[i:j]), words_each)
-                sizes, bands, nids = [], [], []
-                for a, text in enumerate(texts[i:j]):
-                    nids.append(content_id(text))
-                    own, count = np.unique(sh[off[a] : off[a + 1]], return_counts=True)
-                    sizes.append(len(own))
-                    if not len(own):
-                        bands.append([])
-                        continue
-                    sig = dart_signature(own, 1.0 + np.log(count), k).reshape(-1, rows)
-                    value = seeds.copy()
-                    for r in range(rows):
-                        value = mix(value * _U(0x9E3779B97F4A7C15) + sig[:, r])
-                    bands.append(value.view(np.int64))
+                own, owner, count = distinct_by_text(sh, off)
+                sig = dart_signatures(own, owner, 1.0 + np.log(count), j - i, k).reshape(j - i, -1, rows)
+                value = np.tile(seeds, (j - i, 1))
+                for r in range(rows):
+                    value = mix(value * _U(0x9E3779B97F4A7C15) + sig[:, :, r])
+                sizes = np.bincount(owner, minlength=j - i)
+                some = np.concatenate(([0], np.cumsum((sizes > 0) * value.shape[1])))
+                bands = pa.ListArray.from_arrays(pa.array(some, pa.int32()), pa.array(value[sizes > 0].ravel().view(np.int64)))
+                nids = [content_id(t) for t in texts[i:j]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j], pa.int64()), pa.array(nids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                    [pa.array(ids[i:j], pa.int64()), pa.array(nids, pa.int64()), pa.array(sizes, pa.int32()), bands],
                     schema=_SIGNED,
                 )
 

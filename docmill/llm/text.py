@@ -57,12 +57,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``limit`` characters together; a longer text stands alone."""
+def slices(texts: list[str | None], limit: int = 1 << 20, most: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts that hold about ``limit`` characters together; a longer text
+    stands alone."""
     start = total = 0
     for i, text in enumerate(texts):
         n = len(text) if text else 0
-        if i > start and total + n > limit:
+        if i > start and (total + n > limit or i - start == most):
             yield start, i
             start, total = i, 0
         total += n
