@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.llm.chat import format_conversations, format_digests
 from docmill.llm.decontaminate import benchmark_overlaps
 from docmill.llm.language import language_report
+from docmill.llm.media import media_report
 from docmill.llm.mixing import ORACLE_SQL as MIXING_SQL
 from docmill.llm.mixing import mix_sources
 from docmill.llm.near_dedup import near_duplicate_classes
@@ -43,14 +45,27 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = r"(-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok')"
+    added = spark.sql(f"SELECT * FROM VALUES {extra} AS t(conv_id, turn, role, text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_digests(format_conversations(rows.union(added)))
+
+
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_media_chunks": op10_media_chunks,
         "op1_language_id": op1_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_mixing": op4_mixing,
         "op5_secret_scan": op5_secret_scan,
         "op6_toxicity": op6_toxicity,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_chat_format": op9_chat_format,
     }
 
 
