@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docmill.llm.chat import format_conversations, format_digests
 from docmill.llm.decontaminate import benchmark_overlaps
@@ -15,6 +16,7 @@ from docmill.llm.mixing import mix_sources
 from docmill.llm.near_dedup import near_duplicate_classes
 from docmill.llm.secrets import secret_report
 from docmill.llm.toxicity import toxicity_report
+from docmill.llm.urls import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("host_words"), "score")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_media_chunks": op10_media_chunks,
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_mixing": op4_mixing,
         "op5_secret_scan": op5_secret_scan,
