@@ -14,6 +14,7 @@ from docmill.llm.media import media_report
 from docmill.llm.mixing import ORACLE_SQL as MIXING_SQL
 from docmill.llm.mixing import mix_sources
 from docmill.llm.near_dedup import near_duplicate_classes
+from docmill.llm.passages import repeated_passages
 from docmill.llm.secrets import secret_report
 from docmill.llm.toxicity import toxicity_report
 from docmill.llm.urls import judge_urls
@@ -51,6 +52,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = r"(-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok')"
     added = spark.sql(f"SELECT * FROM VALUES {extra} AS t(conv_id, turn, role, text)")
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_toxicity": op6_toxicity,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_compact_windows": op8_compact_windows,
         "op9_chat_format": op9_chat_format,
     }
 
