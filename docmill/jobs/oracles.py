@@ -131,11 +131,21 @@ def _rules(table: str) -> str:
     return " UNION ALL ".join(f"SELECT 'chunks' AS table_name, id AS row_id, '{n}' AS rule FROM c WHERE {c}" for n, c in rules.items())
 
 
+#: Accepted files, the first of equal bytes, seen as blocks.
+_INGESTED = f"""{_JUDGED}, w AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256(body) ORDER BY doc_id) AS copy FROM t WHERE extract_code IS NULL AND new_title <> '' AND length(new_title) <= 200) WHERE copy = 1
+), {_markdown("SELECT doc_id, content AS text FROM w WHERE mime = 'text/markdown'")}, plain AS (
+  SELECT unnest(list_filter(string_split_regex(content, '\\n[ \\t]*\\n([ \\t]*\\n)*'), lambda x: trim(x) <> '')) AS content FROM w WHERE mime = 'text/plain'
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "validate_verdicts": f"{_JUDGED} SELECT doc_id, original_filename, mime, clean_title AS title, error_code, {_FIELD} AS error_field FROM j",
         "rejection_summary": f"""{_JUDGED} SELECT 'validation' AS stage, error_code, {_FIELD} AS error_field, count(*) AS n FROM j WHERE error_code IS NOT NULL GROUP BY ALL
           UNION ALL SELECT 'extraction', extract_code, 'file', count(*) FROM t WHERE extract_code IS NOT NULL GROUP BY ALL""",
+        "ingest_blocks": f"""{_INGESTED} SELECT kind, count(*) AS blocks, CAST(sum(length({_strip('content')})) AS BIGINT) AS characters
+          FROM (SELECT kind, content FROM md UNION ALL SELECT {_kind('content')}, content FROM plain) GROUP BY kind""",
         "mime_and_hash": f"{_RECEIVED} SELECT doc_id, lower(trim(split_part(mime_type, ';', 1))) AS mime, lower(regexp_extract(filename, '[^.](\\.[^.]*)$', 1)) AS extension, sha256(body) AS sha256 FROM r",
         "url_check": """SELECT page_id, u AS url, CASE WHEN regexp_matches(u, '^https?://[^/?#:@]+(:[0-9]*)?([/?#]|$)') AND coalesce(try_cast(nullif(regexp_extract(u, '^https?://[^/?#:@]+:([0-9]*)', 1), '') AS INT), 0) <= 65535
           THEN 'ok' ELSE 'invalid_source_url' END AS verdict FROM (SELECT page_id, unnest([url, replace(url, '://', ':///'), regexp_replace(url, '^(https?://[^/]*)', '\\1:99999')]) AS u FROM pages)""",
@@ -170,6 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "delete_cascade": f"""{_CORPUS}, gone AS (SELECT id FROM d WHERE doc_id % 6 = 0) SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS row_id FROM d WHERE id NOT IN (SELECT id FROM gone)
           UNION ALL SELECT 'chunk', id FROM c WHERE document_id NOT IN (SELECT id FROM gone)""",
         "delete_not_found": f"{_CORPUS} SELECT DISTINCT 'no-' || id AS id FROM d WHERE doc_id % 10 = 0",
+        "list_page": f"{_CORPUS} SELECT id, arg_min(status, doc_id) AS status, arg_min(mime_type, doc_id) AS mime_type FROM d GROUP BY id ORDER BY id LIMIT 20 OFFSET 40",
         "get_public": f"{_CORPUS} SELECT id, title, sha256, source_name, source_url FROM d WHERE id IN (SELECT id FROM d WHERE doc_id % 8 = 0)",
         "stable_ids": f"SELECT doc_id, {_ID} AS document_id, {_CHUNK_ID} AS chunk_id FROM documents",
         "schema_audit": f"""{_CORPUS} {_rules('d')} UNION ALL {_rules('c')}

@@ -210,7 +210,9 @@ def delete_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.list_documents(_corpus_documents(spark, sf_dir).dropDuplicates(["id"]), 20, 40).select("id", "status", "mime_type")
+    documents = _corpus_documents(spark, sf_dir)
+    first = documents.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    return corpus.list_documents(documents.join(first, ["id", "doc_id"], "left_semi"), 20, 40).select("id", "status", "mime_type")
 
 
 @_query
