@@ -6,10 +6,13 @@ function of the element, so that two texts share the darts of their common regio
 one of ``k`` coordinates; a coordinate keeps its earliest dart. Only darts below a rank that is
 expected to fill all coordinates are made: about ``k (ln k + 2)`` whatever the length of the text.
 
-Bands of the signature give candidates. In each band bucket every text is first held against the
-bucket's smallest one (a star, not all pairs); texts that end in one class are not compared again,
-and buckets that still hold more than one class are then compared across classes. Links are
-verified on whole shingle sets (Jaccard 0.8 or more), and classes are connected components.
+Bands of the signature give candidates. In each band bucket every text is first held against one
+text of the bucket, the most central one and then others by hash (stars, not all pairs); texts that
+end in one class are not compared again. Buckets that still hold more than one class are compared
+across classes, but only texts of which enough shingles occur in another class: the others can have
+no link to one, which clears groups around a shared passage and copies changed too much, without
+their pairs. Links
+are verified on whole shingle sets (Jaccard 0.8 or more), and classes are connected components.
 """
 
 from __future__ import annotations
@@ -164,8 +167,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _open_nodes(mixed: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
+    """Of ``mixed(band, nid, n, root)`` the texts that may have a link to another class, and m. With m of n
+    shingles found in other classes, and partners of p shingles at least, no similarity is over
+    m / (n + max(p, m) - m). Texts under the threshold go, and the others are looked at again."""
+    scaled = round(threshold * 1000)
+    smallest = mixed.groupBy("band").agg(F.min("n").alias("low"))
+    partner = F.greatest("low", F.ceil(F.col("n") * threshold))
+    nodes = mixed.join(smallest, "band").groupBy("nid", "root", "n").agg(F.min(partner).alias("p"))
+    for _ in range(rounds):
+        each = sets.join(nodes.select("nid", "root", "n", "p"), "nid").select("nid", "root", "n", "p", F.explode("shingles").alias("shingle"))
+        spread = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        found = each.join(spread.select("shingle"), "shingle", "left_semi").groupBy("nid", "root", "n", "p").agg(F.count("*").alias("m"))
+        nodes = stored(found.where(F.col("m") * 1000 >= F.expr("n + greatest(p, m) - m") * scaled), "open")
+    return nodes
+
+
+def _centrality(sets: DataFrame) -> DataFrame:
+    """``(nid, central)``: in how many texts a shingle of the text occurs, on average."""
+    each = sets.select("nid", F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("shingle").agg(F.count("*").alias("texts"))
+    return each.join(spread, "shingle").groupBy("nid").agg(F.avg("texts").alias("central"))
+
+
 def near_duplicate_classes(
-    docs: DataFrame, threshold: float = 0.8, k: int = 96, rows: int = 4, words_each: int = 5, wide_bucket: int = 64
+    docs: DataFrame, threshold: float = 0.8, k: int = 96, rows: int = 4, words_each: int = 5, stars: int = 3
 ) -> DataFrame:
     """``(doc_id, class_id, copies)`` for each row of ``docs(doc_id, text)``.
 
@@ -173,50 +199,51 @@ def near_duplicate_classes(
     Equal texts are one class whatever they hold (two empty ones too); a null text is a class of its
     own, with its own doc_id. Texts under five words have one shingle of all their words. Repeated
     rows keep a row each. Other columns are ignored. An empty table gives an empty result.
-
-    Buckets with over ``wide_bucket`` classes left are compared by pairs of bands: texts at the
-    threshold share some ten bands of the 24, and miss a second common one with a chance of 5e-5.
     """
     signed = stored(signatures(docs, k, rows, words_each), "signatures")
     texts = signed.groupBy("nid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     banded = signed.select("nid", "n", F.explode("bands").alias("band"))
-    leaders = (
-        banded.groupBy("band")
-        .agg(F.min(F.struct("nid", "n")).alias("low"), F.max("nid").alias("high"))
-        .where("low.nid <> high")
-        .select("band", F.col("low.nid").alias("a"), F.col("low.n").alias("na"))
-    )
-    members = stored(banded.join(leaders, "band").distinct(), "buckets")
-    nodes = members.select("nid").distinct()
-    sets = stored(shingle_sets(docs, nodes, words_each), "sets")
-
+    shared = banded.groupBy("band").agg(F.min("nid").alias("least"), F.max("nid").alias("most")).where("least <> most").select("band")
+    members = stored(banded.join(shared, "band", "left_semi").distinct(), "buckets")
+    sets = stored(shingle_sets(docs, members.select("nid").distinct(), words_each), "sets")
     scaled = round(threshold * 1000)
 
     def sized(x: str, y: str):
         """No pair whose sizes alone keep it under the threshold can be a link."""
         return F.least(x, y) * 1000 >= F.greatest(x, y) * scaled
 
-    star = members.where("nid <> a").where(sized("n", "na")).select("a", F.col("nid").alias("b")).distinct()
-    links = stored(_verified(star, sets, threshold), "star-links")
-    roots = connected_components(links)
-
-    rest = members.join(roots, members["nid"] == roots["node"], "left").select("band", "nid", "n", F.coalesce("root", "nid").alias("root"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    mixed = mixed.where("low <> high").select("band", "size")
-    rest = stored(rest.join(mixed, "band"), "mixed-buckets")
-    narrow = rest.where(F.col("size") <= wide_bucket).select("nid", "n", "root", "band")
-    wide = rest.where(F.col("size") > wide_bucket)
-    # a wide bucket: each text again, once for each other wide band it is in
-    other = wide.select("nid", F.col("band").alias("other"))
-    wide = wide.join(other, "nid").where("band < other").select("nid", "n", "root", F.xxhash64("band", "other").alias("band"))
-    cells = narrow.union(wide)
-    right = cells.select("band", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    cross = (
-        cells.join(right, "band").where("root < rb").where(sized("n", "nb"))
-        .select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
-    )
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_verified(cross, sets, threshold), "cross-links")
+    def mixed(roots: DataFrame | None) -> DataFrame:
+        """The buckets that hold more than one class."""
+        if roots is None:
+            return stored(members.join(_centrality(sets), "nid").withColumn("root", F.col("nid")), "members")
+        told = members.join(roots, members["nid"] == roots["node"], "left").select("band", "nid", "n", F.coalesce("root", "nid").alias("root"))
+        several = told.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        return stored(told.join(several, "band", "left_semi"), "mixed-buckets")
+
+    links, roots = None, None
+    for turn in range(stars):
+        rest = mixed(roots)
+        # the text that shares most with others leads first: copies are close to their original
+        rank = F.xxhash64("nid", "band", F.lit(turn)) if turn else -F.col("central")
+        leaders = rest.groupBy("band").agg(F.min(F.struct(rank, "nid", "n", "root")).alias("low"))
+        leaders = leaders.select("band", F.col("low.nid").alias("a"), F.col("low.n").alias("na"), F.col("low.root").alias("ra"))
+        star = rest.join(leaders, "band").where("root <> ra").where(sized("n", "na")).select("a", F.col("nid").alias("b")).distinct()
+        new = stored(_verified(star, sets, threshold), "star-links")
+        links = new if links is None else links.union(new)
+        if turn and new.isEmpty():
+            break
+        roots = connected_components(links)
+
+    rest = mixed(roots)
+    open_ = _open_nodes(rest, sets, threshold)
+    bands = signed.join(open_.select("nid"), "nid", "left_semi").select("nid", "bands").dropDuplicates(["nid"])
+    cells = rest.join(open_.select("nid", "m").join(bands, "nid"), "nid")
+    right = cells.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "nid", "n", "root", "m", "bands")])
+    # two texts have no more in common than either has in common with other classes
+    enough = F.least("m", "m_b") * (1000 + scaled) >= (F.col("n") + F.col("n_b")) * scaled
+    first = F.array_intersect("bands", "bands_b")[0] == F.col("band")  # a pair counts in the first band that it shares
+    cross = cells.join(right, (F.col("band") == F.col("band_b")) & (F.col("root") < F.col("root_b")) & sized("n", "n_b") & enough & first)
+    more = stored(_verified(cross.select(F.col("nid").alias("a"), F.col("nid_b").alias("b")), sets, threshold), "cross-links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 
