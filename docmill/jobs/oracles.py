@@ -174,6 +174,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?…])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)""",
         "hard_cut": """SELECT doc_id, CAST(len(p) AS BIGINT) AS pieces, md5(array_to_string(p, '|')) AS pieces_md5 FROM (
           SELECT doc_id, list_transform(range(0, CAST(ceil(length(text) / 700) AS BIGINT)), lambda i: substr(text, i * 700 + 1, 700)) AS p FROM documents)""",
+        "table_split": """WITH RECURSIVE b AS (SELECT doc_id, content, string_split(content, chr(10)) AS l FROM (
+            SELECT doc_id, '| text |' || chr(10) || '|---|' || chr(10) || '| ' || replace(text, '.', ' |' || chr(10) || '| ') || ' |' AS content FROM documents)),
+          walk(doc_id, i, used, n) AS (SELECT doc_id, 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM b
+            UNION ALL SELECT w.doc_id, w.i + 1, CASE WHEN w.used > 0 AND 15 + w.used + length(b.l[w.i + 1]) > 600 THEN 0 ELSE w.used END + length(b.l[w.i + 1]) + 1,
+              w.n + CASE WHEN w.used = 0 OR 15 + w.used + length(b.l[w.i + 1]) > 600 THEN 1 ELSE 0 END FROM walk AS w JOIN b ON b.doc_id = w.doc_id WHERE w.i < len(b.l)),
+          told AS (SELECT b.doc_id, CASE WHEN length(b.content) <= 600 THEN 1 WHEN list_max(list_transform(b.l[3:], lambda x: length(x))) + 15 > 600 THEN 0 ELSE (SELECT max(n) FROM walk AS w WHERE w.doc_id = b.doc_id) END AS chunks FROM b)
+          SELECT doc_id, CAST(chunks AS BIGINT) AS chunks, CAST(chunks AS BIGINT) AS with_head FROM told""",
         "dedup_first": f"SELECT doc_id, sha256 FROM (SELECT doc_id, {_SHA} AS sha256, row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
         "dedup_report": f"""WITH b AS (SELECT doc_id, {_SHA} AS sha256, {_ID} AS document_id, row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 1)
           SELECT doc_id, sha256, document_id, n > 1 OR sha256 IN (SELECT {_SHA} FROM documents WHERE doc_id % 2 = 0) AS deduplicated FROM b""",

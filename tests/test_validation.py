@@ -25,7 +25,7 @@ CASES = [
     ({"source_url": "http://h:" + "9" * 60}, "invalid_source_url"), ({"source_url": "http://h/\x07"}, "invalid_source_url"), ({"source_url": ""}, "invalid_source_url"),
     ({"published_at": "2026-06-25"}, None), ({"published_at": "25-06-2026"}, "invalid_published_at"), ({"published_at": "2026-02-30"}, "invalid_published_at"), ({"published_at": "20260625"}, "invalid_published_at"),
     ({"published_at": "0000-01-01"}, "invalid_published_at"), ({"published_at": "2026-06-25\n"}, "invalid_published_at"),
-    ({"metadata": '{"external_id":"BCB-2026","reviewed":true,"quarters":[1,2,3,4]}'}, None), ({"metadata": json.dumps({f"k{i}": i for i in range(20)})}, None),
+    ({"metadata": '{"external_id":"EXT-2026","reviewed":true,"quarters":[1,2,3,4]}'}, None), ({"metadata": json.dumps({f"k{i}": i for i in range(20)})}, None),
     ({"metadata": json.dumps({f"k{i}": i for i in range(21)})}, "metadata_too_many_keys"), ({"metadata": json.dumps({"k": "v" * 4096})}, "metadata_too_large"), ({"metadata": " " * 4097}, "metadata_too_large"),
     *[({"metadata": json.dumps({k: 1})}, "metadata_reserved_key") for k in ("id", "sha256", "STATUS", " chunks_count ", "created_at")],
     ({"metadata": '{"region":1," region ":2}'}, "invalid_metadata"), ({"metadata": "not-json"}, "invalid_metadata"), ({"metadata": '{"a":1,"a":2}'}, "invalid_metadata"), ({"metadata": '{"a":{"b":1,"b":2}}'}, "invalid_metadata"),
