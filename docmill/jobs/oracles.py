@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_errors": f"{_BAD} SELECT vec_id, {_ERROR} AS error FROM v",
         "vector_norms": """SELECT vec_id, 1.0::DOUBLE AS squared_norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))), 4) AS first FROM embeddings""",
         "index_versions": f"{_CORPUS} SELECT embedding_model, CAST(embedding_dimensions AS BIGINT) AS embedding_dimensions, count(*) AS chunks FROM c GROUP BY 1, 2",
-        "attach_all_or_nothing": f"""{_BAD} SELECT document_id, CASE WHEN bad = 0 THEN n ELSE 0 END AS chunks, bad AS missing FROM (
+        "attach_all_or_nothing": f"""{_BAD} SELECT document_id, CASE WHEN bad = 0 THEN n ELSE 0 END AS chunks, CAST(bad AS BIGINT) AS missing FROM (
           SELECT CAST(CAST(floor(vec_id / 7) AS BIGINT) AS VARCHAR) AS document_id, count(*) AS n, count_if(vec_id % 90 = 11 OR {_ERROR} IS NOT NULL) AS bad FROM v GROUP BY 1)""",
         "pending_embeddings": f"{_BAD} SELECT chunk_id FROM v WHERE vec_id % 3 = 0 OR vec_id % 5 = 0",
         "query_validation": """SELECT query_id, CASE WHEN error_code IS NULL THEN CAST(length(question) AS BIGINT) END AS characters, CASE WHEN error_code IS NULL THEN CAST(5 AS BIGINT) END AS top_k, error_code FROM (
