@@ -182,14 +182,13 @@ def test_secrets_equal_plain_regex(spark, odd):
 
 
 def test_trigram_queries_are_necessary_conditions():
-    rng = random.Random(6)
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.pattern)
         assert rule.kind == "hex" or query is not True
     assert secrets.trigram_query("abc|xy") is True and secrets.trigram_query("ab(c|d)ef") == ("or", (("and", ("abc", "bce", "cef")), ("and", ("abd", "bde", "def"))))
     for pattern, text in (("ab?cde", "xacdex"), ("(foo|bar)+baz", "foobarbaz"), ("[ab]xyz{2,3}", "BXYZZ"), ("a.bcd", "a-bcd"), ("abc*def", "abdef")):
         index = secrets.ShardIndex([text, "nothing"], sorted(secrets.trigrams_of(secrets.trigram_query(pattern))))
-        assert index.answer(secrets.trigram_query(pattern))[0], (pattern, rng)
+        assert index.answer(secrets.trigram_query(pattern))[0], pattern
 
 
 # 6 toxicity
@@ -343,7 +342,7 @@ def test_best_stretch_equals_brute_force():
                 if 0 <= i - shift and j - shift <= 20 and sum(ok) * 1000 >= 700 * len(ok) and ok[0] and ok[-1]:
                     best = max(best, j - i)
         s, e = passages.best_stretch(a, b, shift, 0.7)
-        assert e - s <= best and e - s >= best - 0 if best else e - s == 0 or (e - s) <= 1
+        assert e - s == best
 
 
 # 9 chat
