@@ -33,7 +33,7 @@ MARKDOWN = [
     ("### C\nx\n# A\ny", [("heading", "### C", "C", 3), ("paragraph", "x", "C", None), ("heading", "# A", "A", 1), ("paragraph", "y", "A", None)]),
     ("## T ##", [("heading", "## T ##", "T", 2)]), ("#no-space", [("paragraph", "#no-space", None, None)]),
     ("# \u2028b", [("heading", "# \u2028b", "b", 1)]), ("a\n\x1c\nb\n\u00a0\nc", [("paragraph", x, None, None) for x in "abc"]),
-    ("| a | b |\n|---||\n", [("paragraph", "| a | b |\n|---||", None, None)] if False else [("table", "| a | b |\n|---||", None, None)]),
+    ("| a | b |\n|---||\n", [("table", "| a | b |\n|---||", None, None)]),
     ("| a | b |\n|---| |---|", [("paragraph", "| a | b |\n|---| |---|", None, None)]), ("1) x\n٣. y", [("list", "1) x\n٣. y", None, None)]), ("", []),
 ]
 
