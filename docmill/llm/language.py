@@ -102,7 +102,7 @@ def prototypes(docs: DataFrame, dims: int = 1024, most_languages: int = 4096) ->
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices(texts, most=512):
+            for i, j in slices(texts, limit=1 << 20, most=512):
                 values, at = np.unique(np.array(langs[i:j], object), return_inverse=True)
                 pooled = [[] for _ in values]
                 for k, t in zip(at, texts[i:j], strict=True):
@@ -144,7 +144,7 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> Da
         langs, columns = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for i, j in slices(texts, most=512):
+            for i, j in slices(texts, limit=1 << 20, most=512):
                 own = bundles(texts[i:j], dims)
                 norm = np.linalg.norm(own, axis=1)
                 told, value = np.full(j - i, "und", object), np.zeros(j - i)

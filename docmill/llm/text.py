@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(texts: list[str | None], limit: int = 1 << 20, most: int = 4096) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], limit: int = 1 << 19, most: int = 4096) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``most`` texts that hold about ``limit`` characters together; a longer text
     stands alone."""
     start = total = 0
