@@ -146,7 +146,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     urls = with_host_and_path(pages)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": name, "ruled": verdict})
-    split = stored(host_words(urls.select("host").distinct(), page_words(pages)), "host-words")
+    words = stored(page_words(pages), "page-words")
+    split = stored(host_words(urls.select("host").distinct(), words), "host-words")
     urls = urls.join(split, "host", "left").withColumn("tokens", _tokens(F.col("words"), F.col("path")))
 
     bucket = F.pmod(F.xxhash64("token"), F.lit(_BUCKETS)).cast("int")
