@@ -2,10 +2,10 @@
 
 A mask such as 1101001 reads the words under its ones and ignores the others, so a seed survives a
 substituted word. Benchmark items and documents are hashed under the same fixed masks; equal hashes
-are joined, and around each hit the words are compared in place: the longest stretch through the hit
-with at least 80 % equal words, at its ends too, is the overlap. The four masks together hit every
-stretch of 13 words with two substitutions and of 15 with three (simulated), while five words in a
-row miss 4 % and 8 % of these.
+are joined, and the hits of a document and an item at one distance are one alignment: along it all
+words are compared in place, and the stretches with at least 80 % equal words, equal at their ends
+too, are the overlaps. The four masks together hit every stretch of 13 words with two substitutions
+and of 15 with three (simulated), while five words in a row miss 4 % and 8 % of these.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.near_dedup import content_id
 from docmill.llm.store import Bloom, stored
-from docmill.llm.text import Words, mix, slices
+from docmill.llm.text import Words, maximal_runs, mix, slices
 
 _U = np.uint64
 
 #: Fixed seed masks: 1 = the word counts, 0 = any word.
 MASKS = ("111101", "1001111", "10110011", "110100101")
-#: Words compared on either side of a hit. Longer overlaps have hits further on.
-REACH = 48
 _SHORTEST = 5
 
 
@@ -48,85 +47,80 @@ def _seeds(h: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return mix(seed[place]), place
 
 
-_HITS = pa.schema([("id", pa.int64()), ("seed", pa.int64()), ("pos", pa.int32()), ("span", pa.int32()), ("words", pa.int32()), ("first", pa.int32()), ("window", pa.list_(pa.int32()))])
-_HITS_DDL = "id long, seed long, pos int, span int, words int, first int, window array<int>"
+_HITS = pa.schema([("id", pa.int64()), ("nid", pa.int64()), ("seed", pa.int64()), ("pos", pa.int32())])
 
 
 def _seeder(masks: tuple[str, ...], filter_words=None):
-    """Rows of (id, text) -> their seeds with the words around; with a filter, only seeds in it."""
+    """Rows of (id, text) -> content id and seeds with their places; with a filter, only seeds in it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(filter_words.value) if filter_words is not None else None
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            null = np.asarray(batch.column(0).is_null())
+            texts = batch.column(1).to_pylist()
             for i, j in slices(texts):
                 words = Words(texts[i:j])
                 h, off = words.hashes, words.offsets
-                small = h.astype(np.uint32).view(np.int32)
-                found = []
+                nids = np.zeros(j - i, np.int64)
+                known = np.zeros(j - i, bool)
                 for mask in masks:
                     seed, place = _seeds(h, off, mask)
                     if bloom is not None:
                         at = np.flatnonzero(bloom.has(seed))
                         seed, place = seed[at], place[at]
-                        # inside a run of hits every eighth stands for its neighbours
-                        inner = np.zeros(len(place), bool)
-                        inner[1:-1] = (place[2:] - place[:-2] == 2) & (place[1:-1] % 8 != 0) if len(place) > 2 else False
-                        seed, place = seed[~inner], place[~inner]
-                    found += [(s, p, len(mask)) for s, p in zip(seed.view(np.int64).tolist(), place.tolist(), strict=True)]
-                for a in range(0, len(found), 4096):
-                    part = found[a : a + 4096]
-                    place = np.fromiter((p for _, p, _ in part), np.int64, len(part))
                     text = np.searchsorted(off, place, "right") - 1
-                    low, high = np.maximum(off[text], place - REACH), np.minimum(off[text + 1], place + REACH)
+                    for t in np.setdiff1d(text, np.flatnonzero(known)):
+                        nids[t], known[t] = content_id(texts[i + t]), True
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[i + text], pa.int64(), mask=null[i + text]), pa.array([s for s, _, _ in part], pa.int64()),
-                            pa.array(place - off[text], pa.int32()), pa.array([n for _, _, n in part], pa.int32()),
-                            pa.array(off[text + 1] - off[text], pa.int32()), pa.array(low - off[text], pa.int32()),
-                            pa.array([small[x:y] for x, y in zip(low, high, strict=True)], pa.list_(pa.int32())),
-                        ],
-                        schema=_HITS,
+                        [batch.column(0).take(pa.array(i + text)), pa.array(nids[text]), pa.array(seed.view(np.int64)), pa.array((place - off[text]).astype(np.int32))], schema=_HITS
                     )
 
     return rows
 
 
-def longest_overlap(a: np.ndarray, pa_: int, b: np.ndarray, pb: int, span: int, similarity: float) -> tuple[int, int, int]:
-    """``(start, end, equal)`` of the longest stretch of a, aligned with b at pa_ = pb, that holds the
-    span at the hit, begins and ends with equal words and has enough of them."""
-    left, right = min(pa_, pb), min(len(a) - pa_, len(b) - pb)
-    equal = (a[pa_ - left : pa_ + right] == b[pb - left : pb + right]).astype(np.int64)
-    sums = np.concatenate(([0], np.cumsum(equal)))
-    starts = np.flatnonzero(equal[: left + 1])
-    ends = left + span - 1 + np.flatnonzero(equal[left + span - 1 :]) + 1
-    if not len(starts) or not len(ends):
-        return 0, 0, 0
-    length = ends[None, :] - starts[:, None]
-    same = sums[ends][None, :] - sums[starts][:, None]
-    length = np.where(same * 1000 >= length * round(similarity * 1000), length, 0)
-    x, y = np.unravel_index(int(length.argmax()), length.shape)
-    if not length[x, y]:
-        return 0, 0, 0
-    return int(pa_ - left + starts[x]), int(pa_ - left + ends[y]), int(same[x, y])
+def _word_lists(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(nid, words array<int>)`` of the texts whose content id is in ``nodes(nid)``."""
+    wanted = texts.sparkSession.sparkContext.broadcast(Bloom.of(nodes, F.col("nid")).words)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(wanted.value)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            nids = np.fromiter((content_id(t) for t in texts), np.int64, len(texts))
+            at = np.flatnonzero(bloom.has(nids.view(_U)))
+            at = at[np.sort(np.unique(nids[at], return_index=True)[1])]
+            some = [texts[x] for x in at]
+            for i, j in slices(some):
+                words = Words(some[i:j])
+                small, off = words.hashes.astype(np.uint32).view(np.int32), words.offsets
+                yield pa.RecordBatch.from_arrays([pa.array(nids[at[i:j]], pa.int64()), pa.array([small[off[a] : off[a + 1]] for a in range(j - i)], pa.list_(pa.int32()))], ["nid", "words"])
+
+    found = texts.select("text").mapInArrow(collect, "nid long, words array<int>")
+    return found.join(nodes, "nid", "left_semi").dropDuplicates(["nid"])
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
+    """``(start, end, equal)`` of the stretches of a and b, word against word, that begin and end with
+    equal words, have enough of them and lie in no longer one."""
+    at = np.flatnonzero(a == b)
+    share = round(similarity * 1000)
+    first, last = maximal_runs(1000 * np.arange(len(at)) - share * at, 1000 - share)
+    return [(int(at[x]), int(at[y]) + 1, int(y - x + 1)) for x, y in zip(first, last, strict=True)]
 
 
 def _verifier(min_words: int, similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("doc_id", "item_id", "pos", "item_pos", "first", "item_first", "span", "item_words")}
+            c = {n: batch.column(n).to_pylist() for n in ("nid", "item_nid", "first", "item_words")}
             windows, items = batch.column("window"), batch.column("item_window")
             out: list[list] = [[], [], [], [], []]
             for r in range(batch.num_rows):
-                a, b = windows[r].values.to_numpy(), items[r].values.to_numpy()
-                start, end, equal = longest_overlap(a, c["pos"][r] - c["first"][r], b, c["item_pos"][r] - c["item_first"][r], c["span"][r], similarity)
-                if end - start >= min(min_words, c["item_words"][r]):
-                    row = (c["doc_id"][r], c["item_id"][r], c["first"][r] + start, c["first"][r] + end, equal)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+                for start, end, equal in overlaps(windows[r].values.to_numpy(), items[r].values.to_numpy(), similarity):
+                    if end - start >= min(min_words, c["item_words"][r]):
+                        row = (c["nid"][r], c["item_nid"][r], c["first"][r] + start, c["first"][r] + end, equal)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["doc_id", "item_id", "word_start", "word_end", "equal_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["nid", "item_nid", "word_start", "word_end", "equal_words"])
 
     return verify
 
@@ -134,7 +128,7 @@ def _verifier(min_words: int, similarity: float):
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
     """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``: one row for each document
     and item with ``word_start``, ``word_end``, ``equal_words`` (of the longest stretch; places of
-    words in the document) and ``stretches`` (overlaps found at different places).
+    words in the document) and ``stretches`` (overlaps that begin at different places).
 
     An overlap has ``min_words`` words, or those of the whole item if it has fewer, and at least the
     given share of equal words in place. Items under five words are too common to search for and are
@@ -145,13 +139,26 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 1
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     lengths = stored(items.mapInArrow(_count_words, "words int").where(f"words between {_SHORTEST} and {max(map(len, MASKS)) - 1}").distinct(), "lengths")
     masks = (*MASKS, *_whole_masks([r[0] for r in lengths.collect()]))  # a handful of lengths under the longest mask
-    seeds = stored(items.mapInArrow(_seeder(masks), _HITS_DDL).distinct(), "benchmark-seeds")
-    bloom = spark.sparkContext.broadcast(Bloom.of(seeds, F.col("seed"), 22).words)
+    ddl = "id long, nid long, seed long, pos int"
+    seeds = stored(items.mapInArrow(_seeder(masks), ddl).distinct(), "benchmark-seeds")
+    bloom = spark.sparkContext.broadcast(Bloom.of(seeds, F.col("seed"), 24).words)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    hits = texts.mapInArrow(_seeder(masks, bloom), _HITS_DDL).withColumnRenamed("id", "doc_id").drop("words")
-    rename = {"id": "item_id", "pos": "item_pos", "first": "item_first", "window": "item_window", "words": "item_words"}
-    pairs = hits.join(seeds.withColumnsRenamed(rename).drop("span"), "seed")
-    found = pairs.mapInArrow(_verifier(min_words, similarity), "doc_id long, item_id long, word_start int, word_end int, equal_words int")
+    hits = texts.mapInArrow(_seeder(masks, bloom), ddl).withColumnRenamed("id", "doc_id")
+    own = seeds.select("seed", F.col("nid").alias("item_nid"), F.col("pos").alias("item_pos")).distinct()
+    # only after the exact join the hits at one distance are one
+    placed = hits.join(own, "seed").select("doc_id", "nid", "item_nid", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    placed = stored(placed, "alignments")
+    lined = placed.select("nid", "item_nid", "shift").distinct()
+    item_lists = stored(_word_lists(items, lined.select(F.col("item_nid").alias("nid")).distinct()), "item-words").select(F.col("nid").alias("item_nid"), F.col("words").alias("item_list"))
+    lists = stored(_word_lists(texts, lined.select("nid").distinct()), "words")
+    first, item_first = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+    sized = lined.join(item_lists.select("item_nid", F.size("item_list").alias("item_words")), "item_nid")
+    cut = sized.join(lists, "nid").withColumn("first", first).withColumn("n", F.least(F.size("words"), F.col("shift") + F.col("item_words")) - F.col("first"))
+    cut = cut.select("nid", "item_nid", "item_words", "first", item_first.alias("item_first"), "n", F.expr("slice(words, first + 1, n)").alias("window"))
+    pairs = cut.join(item_lists, "item_nid").withColumn("item_window", F.expr("slice(item_list, item_first + 1, n)")).drop("item_list")
+    found = pairs.mapInArrow(_verifier(min_words, similarity), "nid long, item_nid long, word_start int, word_end int, equal_words int")
+    found = found.join(seeds.select(F.col("nid").alias("item_nid"), F.col("id").alias("item_id")).distinct(), "item_nid")
+    found = placed.select("doc_id", "nid").distinct().join(found, "nid")
     best = F.max_by(F.struct("word_start", "word_end", "equal_words"), F.struct(F.col("word_end") - F.col("word_start"), "equal_words", -F.col("word_start")))
     return found.groupBy("doc_id", "item_id").agg(
         best.alias("best"), F.count_distinct(F.col("word_start")).alias("stretches")

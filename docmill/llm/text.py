@@ -121,3 +121,13 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
                 x = x * _U(_BASE) + y
         out[out_off[i]] = mix(np.array([x], _U))[0]
     return out, out_off
+
+
+def maximal_runs(sums: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs whose last sum lies at most ``slack`` under the first one, and
+    which lie in no longer such run. Linear but for a binary search."""
+    # for each end the first begin that is low enough: the running minimum over begins falls
+    first = np.searchsorted(-np.minimum.accumulate(sums), -(sums + slack), "left")
+    later = np.minimum.accumulate(np.append(first[1:], len(sums))[::-1])[::-1]
+    last = np.flatnonzero(first < later)
+    return first[last], last

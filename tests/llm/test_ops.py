@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import chat, decontaminate, language, media, mixing, near_dedup, passages, secrets, toxicity, urls
-from docmill.llm.text import Words, shingles
+from docmill.llm.text import Words, maximal_runs, shingles
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t", "word", "...", "a b c d", "\u00e9\u4e2d \U0001f600 " * 3, "x " * 30_000, "same text here now please", "same text here now please"]
@@ -121,6 +121,35 @@ def test_decontamination_finds_substituted_passages_and_leaves_others(spark, odd
     assert decontaminate.without_overlaps(odd, bench).count() == 11 and decontaminate.without_overlaps(odd, bench.where("false")).count() == 11
 
 
+def test_every_hit_counts_and_overlaps_are_whole(spark):
+    rng = random.Random(31)
+    # a lone hit (all but the words of one seed are at the limit), between neighbours that other items share
+    item = words_of(rng, 13, 10**6)
+    lone = [w if p not in (4, 8) else "zz" for p, w in enumerate(item)]
+    others = [[*words_of(rng, 6, 10**6), *item[p : p + 7], *words_of(rng, 6, 10**6)] for p in range(7)]
+    long = words_of(rng, 300, 10**6)
+    items = [item, *others, long]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [" ".join([*words_of(rng, n, 10**6), *lone, *words_of(rng, 20, 10**6)]) for n in range(40)]
+    texts += [" ".join([*words_of(rng, 7, 10**6), *long, "end"]), " ".join([*long[:100], *words_of(rng, 100, 10**6), *long[200:]])]
+    for parts in (1, 5):  # the result is the same however rows are dealt
+        got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.benchmark_overlaps(docs_of(spark, texts).repartition(parts, "text"), bench).collect()}
+        assert {d: v for (d, i), v in got.items() if i == 0} == {n: (n, n + 13, 11, 1) for n in range(40)}
+        assert got[(40, 8)] == (7, 307, 300, 1)
+        start, end, equal, stretches = got[(41, 8)]
+        assert (start, equal, stretches) == (0, 100, 2) and end == 100
+
+
+def test_maximal_runs_equal_brute_force():
+    rng = np.random.default_rng(32)
+    for _ in range(200):
+        sums, slack = rng.integers(-30, 30, rng.integers(0, 14)).cumsum(), int(rng.integers(0, 40))
+        runs = {(p, q) for q in range(len(sums)) for p in range(q + 1) if sums[p] <= sums[q] + slack}
+        want = {r for r in runs if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in runs)}
+        first, last = maximal_runs(sums, slack)
+        assert set(zip(first.tolist(), last.tolist(), strict=True)) == want
+
+
 # 4 mixing
 
 def test_mixing_deviation_and_odd_rows(spark):
