@@ -1,6 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-Elements are the five-word shingles of a text, weighted by 1 + ln(occurrences). Darts are thrown
+Elements are the distinct five-word shingles of a text, each of weight 1, as links are set Jaccard: a
+signature that counted occurrences would miss equal sets repeated differently. Darts are thrown
 into the region of each element (its weight by a rank axis) as a Poisson process that is a fixed
 function of the element, so that two texts share the darts of their common region. Each dart names
 one of ``k`` coordinates; a coordinate keeps its earliest dart. Only darts below a rank that is
@@ -37,12 +38,12 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
 
 
-def distinct_by_text(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements of each text (at most 65,536 texts), their texts and their occurrences.
-    An element keeps its upper 48 bits."""
+def distinct_by_text(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each text (at most 65,536 texts) and their texts. An element keeps its
+    upper 48 bits."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=_U), np.diff(offsets))
-    own, count = np.unique((owner << _U(48)) | (elements >> _U(16)), return_counts=True)
-    return own & _U(0xFFFFFFFFFFFF), (own >> _U(48)).astype(np.int64), count
+    own = np.unique((owner << _U(48)) | (elements >> _U(16)))
+    return own & _U(0xFFFFFFFFFFFF), (own >> _U(48)).astype(np.int64)
 
 
 def _throw(elements: np.ndarray, weights: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,8 +106,8 @@ def _signer(k: int, rows: int, words_each: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):
                 sh, off = shingles(Words(texts[i:j]), words_each)
-                own, owner, count = distinct_by_text(sh, off)
-                sig = dart_signatures(own, owner, 1.0 + np.log(count), j - i, k).reshape(j - i, -1, rows)
+                own, owner = distinct_by_text(sh, off)
+                sig = dart_signatures(own, owner, np.ones(len(own)), j - i, k).reshape(j - i, -1, rows)
                 value = np.tile(seeds, (j - i, 1))
                 for r in range(rows):
                     value = mix(value * _U(0x9E3779B97F4A7C15) + sig[:, :, r])

@@ -302,6 +302,18 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert kept == sorted(set(got.values()))
 
 
+def test_equal_sets_with_other_repeats_are_one_class(spark):
+    rng = random.Random(33)
+    texts = []
+    for _ in range(40):
+        line = " ".join(words_of(rng, rng.randint(6, 12), 10**6)) + " "
+        texts += [line * 5, line * rng.choice([50, 500, 5000])]
+        once = " ".join(words_of(rng, 44, 10**6)) + " "  # 40 shingles, and 4 more where it comes again
+        texts += [once, once * 10]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     told = near_dedup.near_duplicate_classes(odd)
     assert told.count() == 11 and {r.class_id for r in told.where("doc_id in (8, 9)").collect()} == {8}
