@@ -11,6 +11,7 @@ and of 15 with three (simulated), while five words in a row miss 4 % and 8 % of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,20 @@ _U = np.uint64
 #: Fixed seed masks: 1 = the word counts, 0 = any word.
 MASKS = ("111101", "1001111", "10110011", "110100101")
 _SHORTEST = 5
+#: Stretches of up to so many words get masks of their own where ``MASKS`` are not enough.
+_SHORT = 12
 
 
-def _whole_masks(lengths: list[int]) -> list[str]:
-    """Items too short for a mask are looked for as they are, from five words on."""
-    return ["1" * n for n in sorted(set(lengths)) if _SHORTEST <= n < max(map(len, MASKS))]
+def _short_masks(lengths: list[int], similarity: float) -> list[tuple[str, int]]:
+    """Masks for stretches of so few words that ``MASKS`` do not hit each with the substitutions that
+    the share allows (at its ends it has equal words), and the length of these stretches."""
+    out = []
+    for n in sorted(lengths):
+        changes = min(max(x for x in range(n) if (n - x) * 1000 >= n * round(similarity * 1000)), n - 2)
+        for gaps in combinations(range(1, n - 1), changes):
+            if not any(all(c == "0" or at + k not in gaps for k, c in enumerate(m)) for m in MASKS for at in range(n - len(m) + 1)):
+                out.append(("".join("0" if k in gaps else "1" for k in range(n)), n))
+    return out
 
 
 def _seeds(h: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +60,9 @@ def _seeds(h: np.ndarray, offsets: np.ndarray, mask: str) -> tuple[np.ndarray, n
 _HITS = pa.schema([("id", pa.int64()), ("nid", pa.int64()), ("seed", pa.int64()), ("pos", pa.int32())])
 
 
-def _seeder(masks: tuple[str, ...], filter_words=None):
-    """Rows of (id, text) -> content id and seeds with their places; with a filter, only seeds in it."""
+def _seeder(masks: list[tuple[str, int]], min_words: int, filter_words=None):
+    """Rows of (id, text) -> content id and seeds with their places; with a filter, only seeds in it,
+    without one (items) a mask that is for short stretches only in texts that need it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(filter_words.value) if filter_words is not None else None
@@ -62,12 +73,13 @@ def _seeder(masks: tuple[str, ...], filter_words=None):
                 h, off = words.hashes, words.offsets
                 nids = np.zeros(j - i, np.int64)
                 known = np.zeros(j - i, bool)
-                for mask in masks:
+                needed = np.minimum(np.diff(off), min_words)
+                for mask, length in masks:
                     seed, place = _seeds(h, off, mask)
-                    if bloom is not None:
-                        at = np.flatnonzero(bloom.has(seed))
-                        seed, place = seed[at], place[at]
                     text = np.searchsorted(off, place, "right") - 1
+                    if bloom is not None or length:
+                        at = np.flatnonzero(bloom.has(seed) if bloom is not None else needed[text] == length)
+                        seed, place, text = seed[at], place[at], text[at]
                     for t in np.setdiff1d(text, np.flatnonzero(known)):
                         nids[t], known[t] = content_id(texts[i + t]), True
                     yield pa.RecordBatch.from_arrays(
@@ -137,13 +149,14 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 1
     """
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), "text")
-    lengths = stored(items.mapInArrow(_count_words, "words int").where(f"words between {_SHORTEST} and {max(map(len, MASKS)) - 1}").distinct(), "lengths")
-    masks = (*MASKS, *_whole_masks([r[0] for r in lengths.collect()]))  # a handful of lengths under the longest mask
+    needed = F.least("words", F.lit(min_words)).alias("words")
+    lengths = stored(items.mapInArrow(_count_words, "words int").select(needed).where(f"words between {_SHORTEST} and {_SHORT}").distinct(), "lengths")
+    masks = [*((m, 0) for m in MASKS), *_short_masks([r[0] for r in lengths.collect()], similarity)]  # a handful of lengths
     ddl = "id long, nid long, seed long, pos int"
-    seeds = stored(items.mapInArrow(_seeder(masks), ddl).distinct(), "benchmark-seeds")
+    seeds = stored(items.mapInArrow(_seeder(masks, min_words), ddl).distinct(), "benchmark-seeds")
     bloom = spark.sparkContext.broadcast(Bloom.of(seeds, F.col("seed"), 24).words)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    hits = texts.mapInArrow(_seeder(masks, bloom), ddl).withColumnRenamed("id", "doc_id")
+    hits = texts.mapInArrow(_seeder(masks, min_words, bloom), ddl).withColumnRenamed("id", "doc_id")
     own = seeds.select("seed", F.col("nid").alias("item_nid"), F.col("pos").alias("item_pos")).distinct()
     # only after the exact join the hits at one distance are one
     placed = hits.join(own, "seed").select("doc_id", "nid", "item_nid", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -140,6 +141,21 @@ def test_every_hit_counts_and_overlaps_are_whole(spark):
         assert (start, equal, stretches) == (0, 100, 2) and end == 100
 
 
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    rng = random.Random(34)
+    items = {n: words_of(rng, n, 10**6) for n in range(5, 13)}
+    texts, want = [], set()
+    for n, own in items.items():
+        allowed = n // 5  # of 5 to 9 words one, of 10 to 12 two
+        for places in [*combinations(range(n), allowed), *combinations(range(n), allowed + 1)]:
+            copy = ["zz" if p in places else w for p, w in enumerate(own)]
+            if len(places) == allowed and 0 not in places and n - 1 not in places:
+                want.add((len(texts), n))
+            texts.append(" ".join([*words_of(rng, 20, 10**6), *copy, *words_of(rng, 20, 10**6)]))
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_overlaps(docs_of(spark, texts), bench).collect()} == want
+
+
 def test_maximal_runs_equal_brute_force():
     rng = np.random.default_rng(32)
     for _ in range(200):
