@@ -355,6 +355,12 @@ def test_compact_windows_equal_brute_force():
     rng = np.random.default_rng(11)
     values, offsets = rng.integers(0, 2**60, 90, dtype=np.uint64), np.array([0, 40, 40, 43, 90])
     got = set(zip(*(x.tolist() for x in passages.compact_windows(values, offsets, 5)), strict=True))
+    for deep in (0, 2):  # with equal values split together or one by one
+        repeated = np.tile(values[:7], 13)[:90]
+        before, passages._DEEP = passages._DEEP, deep
+        one = sorted(zip(*(x.tolist() for x in passages.compact_windows(repeated, offsets, 5)), strict=True))
+        passages._DEEP = before
+        assert one == sorted(zip(*(x.tolist() for x in passages.compact_windows(repeated, offsets, 5)), strict=True))
     want = set()
     for s, e in zip(offsets[:-1], offsets[1:], strict=True):
         for c in range(s, e):
@@ -387,19 +393,85 @@ def test_repeated_passages(spark, odd):
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == set() and passages.repeated_passages(odd.where("false")).count() == 0
 
 
-def test_best_stretch_equals_brute_force():
+def _stretches(a, b, low, high, shortest, similarity):
+    """Of all stretches of a, those that begin and end with an equal place, in no longer one."""
+    against = [next((i - s for s in range(high, low - 1, -1) if 0 <= i - s < len(b) and b[i - s] == a[i]), None) for i in range(len(a))]
+    at = [i for i, q in enumerate(against) if q is not None]
+    runs = [(x, y) for n, x in enumerate(at) for m, y in enumerate(at[n:], n) if (m - n + 1) * (1 + similarity) >= 2 * similarity * (y - x + 1)]
+    runs = [r for r in runs if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in runs)]
+    return {i for x, y in runs for i in range(x, y + 1) if y - x + 1 >= shortest}
+
+
+def test_matching_stretches_equal_brute_force():
     rng = np.random.default_rng(13)
-    for _ in range(40):
-        a, b = rng.integers(0, 3, 25), rng.integers(0, 3, 20)
-        shift = int(rng.integers(-6, 7))
-        best = 0
-        for i in range(25):
-            for j in range(i + 1, 26):
-                ok = [0 <= x - shift < 20 and a[x] == b[x - shift] for x in range(i, j)]
-                if 0 <= i - shift and j - shift <= 20 and sum(ok) * 1000 >= 700 * len(ok) and ok[0] and ok[-1]:
-                    best = max(best, j - i)
-        s, e = passages.best_stretch(a, b, shift, 0.7)
-        assert e - s == best
+    a, b, low, high = [], [], [], []
+    for _ in range(60):
+        x = rng.integers(0, 50, int(rng.integers(0, 40)))
+        y = np.where(rng.random(len(x)) < 0.1, 99, x)[int(rng.integers(0, 3)) :]
+        a.append(x.astype(np.uint16))
+        b.append(y.astype(np.uint16))
+        low.append(int(rng.integers(-2, 3)))
+        high.append(low[-1])
+    got = [set() for _ in a]
+    for row, start, end, *_ in passages.matching_stretches(a, b, np.array(low), np.array(high), 6, 0.8).tolist():
+        got[row] |= set(range(start, end))
+    assert got == [_stretches(x.tolist(), y.tolist(), s, t, 6, 0.8) for x, y, s, t in zip(a, b, low, high, strict=True)]
+    # a word put in: two distances, one stretch
+    x = np.arange(50, dtype=np.uint16)
+    y = np.concatenate((x[:24], [200, 201, 202, 203, 204], x[28:]))
+    assert passages.matching_stretches([x], [y.astype(np.uint16)], np.array([-1]), np.array([0]), 46, 0.8).tolist() == [[0, 0, 50, 0, 51]]
+
+
+def _narrow_keys_of(a):
+    return set(passages.narrow_keys([a[:0], a], np.array([0, 100]), 46)[1].tolist())
+
+
+def test_narrow_keys_survive_a_substituted_word():
+    rng = np.random.default_rng(17)
+    for start in range(46):  # the passage lies at each place around the window's
+        for changed in range(1, 45):
+            a, b = rng.integers(0, 2**16, (2, 200)).astype(np.uint16)
+            own = slice(100 - start, 146 - start)
+            b[own] = a[own]
+            b[max(100 - start, 100 - start + changed - 4) : 100 - start + changed + 1] += 1
+            assert _narrow_keys_of(a) & _narrow_keys_of(b), (start, changed)
+    a, b = rng.integers(0, 2**16, (2, 200)).astype(np.uint16)
+    b[90:120] = a[90:120]  # a phrase of 34 words is no passage
+    assert not _narrow_keys_of(a) & _narrow_keys_of(b)
+
+
+def test_every_passage_of_a_pair_is_told(spark):
+    rng = random.Random(18)
+    two = [words_of(rng, 240, 10**6) for _ in range(2)]
+    two[1][:80], two[1][180:] = two[0][:80], two[0][180:]  # two passages at one distance
+    put_in = words_of(rng, 52, 10**6)
+    texts = [*two, [*words_of(rng, 60, 10**6), *put_in, *words_of(rng, 60, 10**6)], [*words_of(rng, 90, 10**6), *put_in[:26], "new", *put_in[26:], *words_of(rng, 9, 10**6)]]
+    got = passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()
+    assert {(0, 0, 80), (0, 180, 240), (1, 0, 80), (1, 180, 240), (2, 60, 112), (3, 90, 143)} <= {(r.doc_id, r.word_start, r.word_end) for r in got}
+
+
+def test_passages_of_edited_copies_and_of_common_lines_against_all_pairs(spark):
+    rng = random.Random(19)
+    line, texts = words_of(rng, 30, 10**6), []
+    for _ in range(12):
+        base = words_of(rng, rng.randint(50, 70), 10**6)
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts.append([*words_of(rng, rng.randint(20, 80), 10**6), *copy, *line, *words_of(rng, rng.randint(20, 80), 10**6)])
+    texts += [[*words_of(rng, 60, 10**6), *line, *words_of(rng, 60, 10**6)] for _ in range(60)]  # no passage: the line is too short
+    texts += [words_of(rng, 20, 10**6) + [w] * 300 for w in ("in", "in", "of")]  # deep trees
+    sh, off = shingles(Words([" ".join(t) for t in texts]))
+    seqs = [sh[a:b].astype(np.uint16) for a, b in zip(off[:-1], off[1:], strict=True)]
+    where = [{v: i for i, v in enumerate(s.tolist())} for s in seqs]
+    want = set()
+    for i, j in combinations(range(len(texts)), 2):
+        shifts = sorted({where[i][v] - where[j][v] for v in where[i].keys() & where[j].keys()})
+        if any(len(passages.matching_stretches([seqs[i]], [seqs[j]], np.array([s]), np.array([s]), 46, 0.8)) for s in shifts):
+            want |= {i, j}
+    got = {r.doc_id for r in passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) < 100 and {156, 157} <= got and 158 not in got
 
 
 # 9 chat
