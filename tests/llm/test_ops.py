@@ -422,22 +422,26 @@ def test_matching_stretches_equal_brute_force():
     assert passages.matching_stretches([x], [y.astype(np.uint16)], np.array([-1]), np.array([0]), 46, 0.8).tolist() == [[0, 0, 50, 0, 51]]
 
 
-def _narrow_keys_of(a):
-    return set(passages.narrow_keys([a[:0], a], np.array([0, 100]), 46)[1].tolist())
+def _narrow_keys_of(a, close):
+    return set(passages.narrow_keys([a[:0], a], np.array([0, 100]), 46, close)[1].tolist())
 
 
-def test_narrow_keys_survive_a_substituted_word():
+@pytest.mark.parametrize("close", [False, True])
+def test_narrow_keys_survive_a_substituted_word(close):
     rng = np.random.default_rng(17)
     for start in range(46):  # the passage lies at each place around the window's
-        for changed in range(1, 45):
+        for changed in range(1, 49):
             a, b = rng.integers(0, 2**16, (2, 200)).astype(np.uint16)
             own = slice(100 - start, 146 - start)
             b[own] = a[own]
             b[max(100 - start, 100 - start + changed - 4) : 100 - start + changed + 1] += 1
-            assert _narrow_keys_of(a) & _narrow_keys_of(b), (start, changed)
+            assert _narrow_keys_of(a, close) & _narrow_keys_of(b, close), (start, changed)
     a, b = rng.integers(0, 2**16, (2, 200)).astype(np.uint16)
     b[90:120] = a[90:120]  # a phrase of 34 words is no passage
-    assert not _narrow_keys_of(a) & _narrow_keys_of(b)
+    assert close or not _narrow_keys_of(a, close) & _narrow_keys_of(b, close)
+    b = a.copy()
+    b[np.arange(40, 160, 12)] += 1  # too many changes
+    assert not close or not _narrow_keys_of(a, close) & _narrow_keys_of(b, close)
 
 
 def test_every_passage_of_a_pair_is_told(spark):
