@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
 The rows of a source are cut into blocks. A source of weight w gives its block j (from 0) a release
-time floor(j / w) and a deadline ceil((j + 1) / w), in slots of one block; of the released blocks
-the one with the earliest deadline comes next. So at every time a source has had less than one
-block more or less than its share, until the first source ends; the others keep their proportions.
-
-Weights are whole parts of a period. The schedule repeats after a period, so it is made once for
-the period (a fold over its slots, whatever the number of rows), and each block finds its slot by
-arithmetic. Ranks inside a source are counted in hash buckets and summed, so that no task sorts a
-whole source.
+time floor(j / w) and a deadline ceil((j + 1) / w), in slots of one block, from the target weight
+itself (whole numbers, nothing is rounded to a period); of the released blocks the one with the
+earliest deadline comes next. So at every time a source has had less than one block more or less
+than its share, until the first source ends; the others keep their proportions, and time leaps to
+the next release where none is left to fill a slot.
+
+The schedule has a row for each block: blocks grow with the table, so that there are no more than
+``MOST_BLOCKS`` and one for each source, whatever the number of rows, and one fold can make it. Ranks
+inside a source are counted in hash buckets and summed, so that no task sorts a whole source.
 """
 
 from __future__ import annotations
@@ -19,139 +20,149 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Slots of a period: weights are multiples of 1 / PERIOD. Buckets of 12 hash bits.
-PERIOD = 1024
-MOST_SOURCES = 512
+from docmill.llm.store import stored
 
+#: Blocks have so many rows at least; the number of blocks, but for the last one of each source.
+LEAST_BLOCK, MOST_BLOCKS = 8, 1 << 16
+#: Blocks that are scheduled in one go: their list is copied no more than this many times.
+_GO = 256
 
-def _parts(docs: DataFrame, weights: Mapping[str, float] | None, period: int) -> DataFrame:
-    """``(key, n, parts)`` of each source; the parts add up to the period, 1 at least for each."""
+
+def _sources(docs: DataFrame, weights: Mapping[str, float] | None, block: int | None) -> DataFrame:
+    """``(key, n, w, block, blocks)`` of each source: rows, weight as a whole number, rows of a block,
+    number of blocks."""
     counts = docs.groupBy("key").agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.floor(F.sqrt("n") * 1000)
     else:
-        pairs = [F.lit(x) for k, v in weights.items() for x in (f"={k}", float(v))]
-        given = F.create_map(*pairs)[F.col("key")] if pairs else F.lit(None).cast("double")
-        weight = F.floor(F.coalesce(given, F.lit(0.0)) * 1_000_000)
-    everything = Window.partitionBy(F.lit(1))  # a row for each source
-    told = counts.withColumn("w", F.greatest(weight, F.lit(0)).cast("long")).withColumns(
-        {"total": F.greatest(F.sum("w").over(everything), F.lit(1)), "sources": F.count("*").over(everything)}
-    )
-    told = told.withColumn("free", F.lit(period) - F.col("sources"))
-    told = told.withColumns({"q": F.expr("free * w div total"), "r": F.expr("free * w % total")})
-    told = told.withColumn("left", F.col("free") - F.sum("q").over(everything))
-    rank = F.row_number().over(everything.orderBy(F.desc("r"), "key"))
-    # the left-over parts go round by the largest remainders
-    extra = F.expr("left div sources") + F.when(rank <= F.expr("left % sources"), 1).otherwise(0)
-    few = F.when(F.col("sources") <= min(MOST_SOURCES, period), F.col("q") + extra + 1)
-    checked = F.coalesce(few, F.raise_error(F.lit(f"more than {min(MOST_SOURCES, period)} sources")).cast("long"))
-    return told.select("key", "n", checked.alias("parts"))
-
-
-def _schedule(parts: DataFrame, period: int) -> DataFrame:
-    """``(key, turn, slot, parts, before, all_parts, all_n)``: the slot of a period in which a source
-    has its turn-th block, and how many blocks each source has had before. At most ``period`` rows."""
-    row = parts.agg(F.array_sort(F.collect_list(F.struct("key", "n", "parts"))).alias("s")).select(
-        F.col("s.key").alias("keys"), F.col("s.n").alias("all_n"), F.col("s.parts").alias("a")
-    )
-
-    def pick(done: Column, t: Column) -> Column:
-        released = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: F.floor(done[i - 1] * period / F.col("a")[i - 1]) <= t)
-        urgent = F.transform(
-            released,
-            lambda i: F.struct(
-                F.ceil((done[i - 1] + 1) * period / F.col("a")[i - 1]).alias("deadline"), (-F.col("a")[i - 1]).alias("light"), i.alias("i")
-            ),
-        )
-        return F.array_min(urgent)["i"]
-
-    def step(state: Column, t: Column) -> Column:
+        total = sum(max(float(v), 0.0) for v in weights.values()) or 1.0
+        pairs = [F.lit(x) for k, v in weights.items() for x in (f"={k}", round(max(float(v), 0.0) / total * 10**12))]
+        weight = F.coalesce(F.create_map(*pairs)[F.col("key")] if pairs else F.lit(None), F.lit(0))
+    size = F.lit(block) if block else F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("n").over(Window.partitionBy(F.lit(1))) / MOST_BLOCKS))  # a row for each source
+    told = counts.select("key", "n", weight.cast("long").alias("w"), size.cast("long").alias("block"))
+    return told.withColumn("blocks", F.expr("(n + block - 1) div block"))
+
+
+def _schedule(sources: DataFrame) -> DataFrame:
+    """``(key, turn, slot, start)``: for each block its slot and the place of its first row in the mixture.
+    Sources without a weight come after all others, one after the other."""
+    row = sources.where("w > 0").agg(F.array_sort(F.collect_list(F.struct("key", "w", "blocks"))).alias("s"))
+    row = row.select(F.col("s.key").alias("keys"), F.col("s.w").alias("w"), F.col("s.blocks").alias("b"), F.aggregate("s.w", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
+    total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def open_blocks(done: Column) -> Column:
+        """Release, deadline, weight and number of each source that has a block left."""
+        some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: done[i] < F.col("b")[i])
         return F.transform(
-            F.array(pick(state["done"], t)),
-            lambda p: F.struct(
-                F.transform(state["done"], lambda d, i: d + F.when(i + 1 == p, F.lit(1)).otherwise(F.lit(0))).alias("done"),
-                F.concat(state["turns"], F.array(F.struct(p.alias("i"), state["done"].alias("before")))).alias("turns"),
+            some,
+            lambda i: F.struct(
+                F.call_function("div", done[i] * F.col("all"), F.col("w")[i]).alias("release"),
+                F.call_function("div", (done[i] + 1) * F.col("all") + F.col("w")[i] - 1, F.col("w")[i]).alias("deadline"),
+                (-F.col("w")[i]).alias("light"), i.alias("i"),
             ),
-        )[0]
-
-    none = F.struct(
-        F.transform("a", lambda _: F.lit(0)).alias("done"),
-        F.filter(F.array(F.struct(F.lit(1).alias("i"), F.array(F.lit(0)).alias("before"))), lambda _: F.lit(False)).alias("turns"),
-    )
-    turns = row.where(F.size("a") > 0).select(
-        "keys", "all_n", "a", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), none, step)["turns"]).alias("slot", "turn")
-    )
-    i = F.col("turn.i") - 1
-    return turns.select(
-        F.col("keys")[i].alias("key"), F.col("turn.before")[i].alias("turn"), "slot", F.col("turn.before").alias("before"), F.col("a").alias("all_parts"), "all_n", F.col("a")[i].alias("parts")
-    )
-
-
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 8, period: int = PERIOD) -> DataFrame:
+        )
+
+    def step(state: Column, _: Column) -> Column:
+        def place(blocks: Column) -> Column:
+            now = F.greatest(state["now"], F.array_min(F.transform(blocks, lambda x: x["release"])))
+
+            def take(t: Column) -> Column:
+                urgent = F.transform(F.filter(blocks, lambda x: x["release"] <= t), lambda x: F.struct(x["deadline"], x["light"], x["i"].alias("i")))
+                return let(
+                    F.array_min(urgent)["i"],
+                    lambda p: F.struct(
+                        (t + 1).alias("now"), F.transform(state["done"], lambda d, i: d + F.when(i == p, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("done"),
+                        F.concat(state["turns"], F.array(F.struct(p.alias("i"), state["done"][p].alias("turn"), t.alias("slot")))).alias("turns"),
+                    ),
+                )
+
+            return let(now, take)
+
+        return let(open_blocks(state["done"]), place)
+
+    none = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("slot"))), lambda _: F.lit(False))
+
+    def go(state: Column, k: Column) -> Column:
+        some = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_GO).cast("long"), total - k * _GO))
+        own = F.aggregate(some, F.struct(state["now"].alias("now"), state["done"].alias("done"), none.alias("turns")), step)
+        return let(own, lambda x: F.struct(x["now"].alias("now"), x["done"].alias("done"), F.concat(state["turns"], x["turns"]).alias("turns")))
+
+    start = F.struct(F.lit(0).cast("long").alias("now"), F.transform("w", lambda _: F.lit(0).cast("long")).alias("done"), none.alias("turns"))
+    gos = F.sequence(F.lit(0).cast("long"), F.call_function("div", total - 1, F.lit(_GO).cast("long")))
+    made = row.where(F.size("w") > 0).select("keys", F.explode(F.aggregate(gos, start, go)["turns"]).alias("x"))
+    made = made.select(F.col("keys")[F.col("x.i")].alias("key"), "x.turn", "x.slot")
+    late = sources.where("w <= 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"), F.lit(None).cast("long").alias("slot"))
+    both = made.unionByName(late).join(sources.select("key", "n", "block"), "key")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("slot").isNull(), "slot", "key", "turn")  # a row for each block
+    rows = F.least(F.col("block"), F.col("n") - F.col("turn") * F.col("block"))
+    after = F.coalesce(F.max("slot").over(order) + 1, F.lit(0)) + F.count_if(F.col("slot").isNull()).over(order) - 1
+    return both.select("key", "turn", F.coalesce("slot", after).alias("slot"), (F.sum(rows).over(order.rowsBetween(Window.unboundedPreceding, 0)) - rows).alias("start"))
+
+
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int | None = None) -> DataFrame:
     """The rows of docs with ``mix_block`` (number of the block in its source), ``mix_slot`` and
     ``mix_position``: sorted by mix_position, 0 to the number of rows less one, they are the mixture.
 
-    ``weights`` are target weights by source; a source that is not named gets the least share. By
-    default the weight is the square root of the number of rows. A null source is a source of its
-    own. Rows of a source are in the order of md5(doc_id), then doc_id; repeated rows get a place
-    each. No row is left out or repeated. Columns of docs named mix_block, mix_slot or mix_position
-    are replaced. An empty table gives an empty result; over 512 sources are an error.
+    ``weights`` are target weights by source, in any unit; a source that is not named, or has no
+    positive weight, comes after all others. By default the weight is the square root of the number
+    of rows. A null source is a source of its own. Blocks have ``block`` rows, by default 8 or the rows
+    through 65,536, if that is more. Rows of a source are in the order of md5(doc_id), then doc_id; repeated
+    rows get a place each. No row is left out or repeated, and there may be any number of sources.
+    Columns of docs named mix_block, mix_slot or mix_position are replaced; null and empty texts are
+    rows like others. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in own):
+        p += "_"
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    plain = docs.select(F.struct(*own).alias("row"), key.alias("key"), digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
-    parts = _parts(plain, weights, period)
-    schedule = _schedule(parts, period)
-    sizes = plain.groupBy("key", "bucket").agg(F.count("*").alias("size"))
+    # flat columns: those that are not asked for are not shuffled
+    plain = docs.select(*own, key.alias(f"{p}key"), digest.alias(f"{p}digest")).withColumn(f"{p}bucket", F.substring(f"{p}digest", 1, 3))
+    narrow = plain.select(F.col(f"{p}key").alias("key"), F.col(f"{p}bucket").alias("bucket"))
+    sources = stored(_sources(narrow, weights, block), "sources")
+    schedule = stored(_schedule(sources), "schedule")
+    sizes = narrow.groupBy("key", "bucket").agg(F.count("*").alias("size"))
     so_far = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a source at most
-    starts = sizes.select("key", "bucket", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("start"))
-    in_bucket = Window.partitionBy("key", "bucket").orderBy("digest", F.col("row.doc_id"))
-    ranked = plain.withColumn("rank", F.row_number().over(in_bucket) - 1).join(starts, ["key", "bucket"])
-    ranked = ranked.withColumn("index", F.col("start") + F.col("rank")).withColumn("block", F.expr(f"index div {block}"))
-    shares = parts.select("key", "parts")
-    ranked = ranked.join(F.broadcast(shares), "key")  # at most 512 rows
-    ranked = ranked.withColumns({"round": F.expr("block div parts"), "turn": F.expr("cast(block % parts as int)")})
-    placed = ranked.join(F.broadcast(schedule.drop("parts")), ["key", "turn"])  # at most PERIOD rows
-    before = F.aggregate(
-        F.arrays_zip("before", "all_parts", "all_n"), F.lit(0).cast("long"),
-        lambda total, s: total + F.least(s["all_n"], (F.col("round") * s["all_parts"] + s["before"]) * block),
-    )
-    return placed.select(
-        "row.*", F.col("block").alias("mix_block"), (F.col("round") * period + F.col("slot")).alias("mix_slot"),
-        (before + F.col("index") % block).alias("mix_position"),
+    starts = sizes.join(sources.select("key", "block"), "key").select(
+        F.col("key").alias(f"{p}key"), F.col("bucket").alias(f"{p}bucket"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias(f"{p}start"), F.col("block").alias(f"{p}block")
     )
+    in_bucket = Window.partitionBy(f"{p}key", f"{p}bucket").orderBy(f"{p}digest", "doc_id")
+    ranked = plain.withColumn(f"{p}rank", F.row_number().over(in_bucket) - 1).join(starts, [f"{p}key", f"{p}bucket"])
+    ranked = ranked.withColumn(f"{p}index", F.col(f"{p}start") + F.col(f"{p}rank")).withColumn("mix_block", F.expr(f"{p}index div {p}block"))
+    blocks = schedule.select(F.col("key").alias(f"{p}key"), F.col("turn").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("start").alias(f"{p}first"))
+    if sources.agg(F.sum("blocks")).first()[0] in range(4 * MOST_BLOCKS):  # some 20 MB; more only where there are very many sources
+        blocks = F.broadcast(blocks)
+    placed = ranked.join(blocks, [f"{p}key", "mix_block"])
+    return placed.select(*own, "mix_block", "mix_slot", (F.col(f"{p}first") + F.col(f"{p}index") - F.col("mix_block") * F.col(f"{p}block")).alias("mix_position"))
 
 
 #: The mixture of the documents table in DuckDB, with the default arguments.
 ORACLE_SQL = """
 WITH RECURSIVE keyed AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), size AS (SELECT CAST(greatest(8, ceil(count(*) / 65536)) AS BIGINT) AS block FROM keyed
 ), counts AS (SELECT k, count(*) AS n, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS w FROM keyed GROUP BY k
-), shares AS (
-  SELECT k, n, ((1024 - count(*) OVER ()) * w) // CAST(sum(w) OVER () AS BIGINT) AS q,
-         ((1024 - count(*) OVER ()) * w) % CAST(sum(w) OVER () AS BIGINT) AS r, count(*) OVER () AS sources FROM counts
-), parts AS (
-  SELECT k, n, CAST(q + 1 + CASE WHEN row_number() OVER (ORDER BY r DESC, k) <= 1024 - sources - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS a
-  FROM shares
-), lists AS (SELECT list(a ORDER BY k) AS a, list(n ORDER BY k) AS n, list(k ORDER BY k) AS k, count(*) AS c FROM parts
-), turns(t, done, before, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists WHERE c > 0
+), lists AS (
+  SELECT list(w ORDER BY k) AS w, list((n + block - 1) // block ORDER BY k) AS b, list(k ORDER BY k) AS k, CAST(sum(w) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS c,
+         CAST(sum((n + block - 1) // block) AS BIGINT) AS steps FROM counts, size
+), turns(step, now, done, before, pick) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), list_transform(w, lambda x: CAST(0 AS BIGINT)), list_transform(w, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists WHERE c > 0
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), done, p
+  SELECT step + 1, t, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), done, p
   FROM (
-    SELECT t, done, CAST(list_min(list_transform(
-      list_filter(range(1, len(lists.a) + 1), lambda i: (done[i] * 1024) // lists.a[i] <= t + 1),
-      lambda i: {'deadline': ((done[i] + 1) * 1024 + lists.a[i] - 1) // lists.a[i], 'light': -lists.a[i], 'i': i})).i AS BIGINT) AS p
-    FROM turns, lists WHERE t < 1023)
-), slots AS (SELECT t AS slot, before, pick, before[pick] AS turn, lists.k[pick] AS k FROM turns, lists WHERE t >= 0
-), ranked AS (
-  SELECT doc_id, source, keyed.k, row_number() OVER (PARTITION BY keyed.k ORDER BY digest, doc_id) - 1 AS index, a FROM keyed JOIN parts USING (k)
-), placed AS (
-  SELECT doc_id, source, ranked.k, index, index // 8 AS block, (index // 8) // a AS round, slots.slot, slots.before
-  FROM ranked JOIN slots ON slots.k = ranked.k AND slots.turn = (index // 8) % a
-)
-SELECT doc_id, source, block AS mix_block, round * 1024 + slot AS mix_slot,
-  CAST(list_sum(list_transform(range(1, len(lists.a) + 1), lambda i: least(lists.n[i], (round * lists.a[i] + before[i]) * 8))) AS BIGINT) + index % 8 AS mix_position
-FROM placed, lists
+    SELECT step, done, t, CAST(list_min(list_transform(list_filter(o, lambda i: (done[i] * total) // w[i] <= t),
+      lambda i: {'deadline': ((done[i] + 1) * total + w[i] - 1) // w[i], 'light': -w[i], 'i': i})).i AS BIGINT) AS p
+    FROM (
+      SELECT step, done, o, total, w, greatest(now + 1, list_min(list_transform(o, lambda i: (done[i] * total) // w[i]))) AS t
+      FROM (SELECT step, now, done, total, w, steps, list_filter(range(1, c + 1), lambda i: done[i] < b[i]) AS o FROM turns, lists WHERE step < steps)))
+), slots AS (SELECT step, now AS slot, before[pick] AS turn, lists.k[pick] AS k FROM turns, lists WHERE step > 0
+), starts AS (
+  SELECT slot, turn, k, block, sum(least(block, n - turn * block)) OVER (ORDER BY step) - least(block, n - turn * block) AS start FROM slots JOIN counts USING (k), size
+), ranked AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY digest, doc_id) - 1 AS index FROM keyed)
+SELECT doc_id, source, turn AS mix_block, slot AS mix_slot, CAST(start + index - turn * block AS BIGINT) AS mix_position
+FROM ranked JOIN starts ON starts.k = ranked.k AND starts.turn = ranked.index // starts.block
 """

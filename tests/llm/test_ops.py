@@ -168,26 +168,42 @@ def test_maximal_runs_equal_brute_force():
 
 # 4 mixing
 
+def _deviation(rows, share, block):
+    """Largest distance from the targets before the first source ends, in blocks."""
+    slots = sorted({(r.mix_slot, r.source) for r in rows})
+    ends = min(max(t for t, s in slots if s == own) for own in share)
+    done, worst = defaultdict(int), 0.0
+    for k, (t, s) in enumerate(x for x in slots if x[0] <= ends):
+        assert t == k  # no slot is empty
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - w * (k + 1)) for x, w in share.items()))
+    return worst
+
+
 def test_mixing_deviation_and_odd_rows(spark):
     rng = random.Random(4)
     sources = [rng.choice(["a"] * 8 + ["b"] * 4 + ["c", None, ""]) for _ in range(900)]
-    docs = docs_of(spark, ["t"] * 900, sources=sources).withColumn("mix_block", F.lit("x")).withColumn("key", F.lit(1))
+    docs = docs_of(spark, ["t"] * 900, sources=sources).withColumns({"mix_block": F.lit("x"), "key": F.lit(1), "_mixkey": F.lit(1), "block": F.lit(1)})
     rows = sorted(mixing.mix_sources(docs, block=4).collect(), key=lambda r: r.mix_position)
     assert [r.mix_position for r in rows] == list(range(900)) and sorted(r.doc_id for r in rows) == list(range(900))
-    parts = {r.key: r.parts for r in mixing._parts(docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")), None, mixing.PERIOD).collect()}
-    assert sum(parts.values()) == mixing.PERIOD
-    slots = defaultdict(set)
-    for r in rows:
-        slots[r.source].add(r.mix_slot)
-    first_end = min(max(s) for s in slots.values())
-    for t in range(1, first_end + 1):
-        for s, own in slots.items():
-            share = parts["" if s is None else f"={s}"] / mixing.PERIOD
-            assert abs(sum(x < t for x in own) - share * t) < 1 + 1e-9
+    roots = {s: int(sources.count(s) ** 0.5 * 1000) for s in set(sources)}
+    assert _deviation(rows, {s: w / sum(roots.values()) for s, w in roots.items()}, 4) < 1
     twice = docs.union(docs.where("doc_id < 10"))
     assert mixing.mix_sources(twice).count() == 910 and mixing.mix_sources(docs.where("false")).count() == 0
-    given = {r.key: r.parts for r in mixing._parts(docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")), {"a": 0.25, "b": 0.75}, 1024).collect()}
-    assert abs(given["=b"] / given["=a"] - 3) < 0.05 and given["=c"] == 1
+    # a source without a weight, or with none given, comes last; the others are at their targets
+    given = sorted(mixing.mix_sources(docs, {"a": 0.25, "b": 0.75, "c": 0}, block=1).collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in given] == list(range(900)) and {r.source for r in given[-sum(s not in ("a", "b") for s in sources) :]} == {"c", None, ""}
+    assert _deviation([r for r in given if r.source in ("a", "b")], {"a": 0.25, "b": 0.75}, 1) < 1
+    assert mixing.mix_sources(docs, {}).count() == 900
+
+
+def test_mixing_is_at_uneven_targets_for_long_and_takes_many_sources(spark):
+    target = {"a": 0.9995, "b": 0.0004, "c": 0.0001}
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("case when id < 29985 then 'a' when id < 29997 then 'b' else 'c' end").alias("source"))
+    rows = mixing.mix_sources(docs, target, block=1).collect()
+    assert _deviation(rows, target, 1) < 1 and len(rows) == 30_000
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    assert sorted(r.mix_position for r in mixing.mix_sources(many).collect()) == list(range(3000))
 
 
 def test_mixing_has_no_python_and_equals_sql(spark):
