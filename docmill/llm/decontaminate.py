@@ -15,18 +15,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.near_dedup import content_id
-from docmill.llm.store import Bloom, stored
+from docmill.llm.store import Bloom, split_by_filter, stored, unused
 from docmill.llm.text import Words, maximal_runs, mix, slices
 
 _U = np.uint64
 
 #: Fixed seed masks: 1 = the word counts, 0 = any word.
 MASKS = ("111101", "1001111", "10110011", "110100101")
-_SHORTEST = 5
+#: Items under so many words are found only where they are all the words of a text.
+_WHOLE = 5
 #: Stretches of up to so many words get masks of their own where ``MASKS`` are not enough.
 _SHORT = 12
 
@@ -36,7 +36,7 @@ def _short_masks(lengths: list[int], similarity: float) -> list[tuple[str, int]]
     the share allows (at its ends it has equal words), and the length of these stretches."""
     out = []
     for n in sorted(lengths):
-        changes = min(max(x for x in range(n) if (n - x) * 1000 >= n * round(similarity * 1000)), n - 2)
+        changes = max(min(max(x for x in range(n) if (n - x) * 1000 >= n * round(similarity * 1000)), n - 2), 0)
         for gaps in combinations(range(1, n - 1), changes):
             if not any(all(c == "0" or at + k not in gaps for k, c in enumerate(m)) for m in MASKS for at in range(n - len(m) + 1)):
                 out.append(("".join("0" if k in gaps else "1" for k in range(n)), n))
@@ -61,29 +61,29 @@ _HITS = pa.schema([("id", pa.int64()), ("nid", pa.int64()), ("seed", pa.int64())
 
 
 def _seeder(masks: list[tuple[str, int]], min_words: int, filter_words=None):
-    """Rows of (id, text) -> content id and seeds with their places; with a filter, only seeds in it,
+    """Rows of (id, content id, text) -> seeds with their places; with a filter, only seeds in it,
     without one (items) a mask that is for short stretches only in texts that need it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(filter_words.value) if filter_words is not None else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for i, j in slices(texts):
                 words = Words(texts[i:j])
                 h, off = words.hashes, words.offsets
-                nids = np.zeros(j - i, np.int64)
-                known = np.zeros(j - i, bool)
                 needed = np.minimum(np.diff(off), min_words)
                 for mask, length in masks:
                     seed, place = _seeds(h, off, mask)
                     text = np.searchsorted(off, place, "right") - 1
-                    if bloom is not None or length:
-                        at = np.flatnonzero(bloom.has(seed) if bloom is not None else needed[text] == length)
+                    if length and (bloom is None or length < _WHOLE):
+                        at = np.flatnonzero(needed[text] == length)
                         seed, place, text = seed[at], place[at], text[at]
-                    for t in np.setdiff1d(text, np.flatnonzero(known)):
-                        nids[t], known[t] = content_id(texts[i + t]), True
+                    if bloom is not None:
+                        at = np.flatnonzero(bloom.has(seed))
+                        seed, place, text = seed[at], place[at], text[at]
+                    own = pa.array(i + text)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(i + text)), pa.array(nids[text]), pa.array(seed.view(np.int64)), pa.array((place - off[text]).astype(np.int32))], schema=_HITS
+                        [batch.column(0).take(own), batch.column(1).take(own), pa.array(seed.view(np.int64)), pa.array((place - off[text]).astype(np.int32))], schema=_HITS
                     )
 
     return rows
@@ -91,22 +91,21 @@ def _seeder(masks: list[tuple[str, int]], min_words: int, filter_words=None):
 
 def _word_lists(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(nid, words array<int>)`` of the texts whose content id is in ``nodes(nid)``."""
-    wanted = texts.sparkSession.sparkContext.broadcast(Bloom.of(nodes, F.col("nid")).words)
+    wanted = texts.sparkSession.sparkContext.broadcast(Bloom.sized(nodes, F.col("nid")).words)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(wanted.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            nids = np.fromiter((content_id(t) for t in texts), np.int64, len(texts))
+            nids = batch.column(0).to_numpy()
             at = np.flatnonzero(bloom.has(nids.view(_U)))
             at = at[np.sort(np.unique(nids[at], return_index=True)[1])]
-            some = [texts[x] for x in at]
+            some = batch.column(1).take(pa.array(at)).to_pylist()
             for i, j in slices(some):
                 words = Words(some[i:j])
                 small, off = words.hashes.astype(np.uint32).view(np.int32), words.offsets
                 yield pa.RecordBatch.from_arrays([pa.array(nids[at[i:j]], pa.int64()), pa.array([small[off[a] : off[a + 1]] for a in range(j - i)], pa.list_(pa.int32()))], ["nid", "words"])
 
-    found = texts.select("text").mapInArrow(collect, "nid long, words array<int>")
+    found = texts.select("nid", "text").mapInArrow(collect, "nid long, words array<int>")
     return found.join(nodes, "nid", "left_semi").dropDuplicates(["nid"])
 
 
@@ -137,25 +136,17 @@ def _verifier(min_words: int, similarity: float):
     return verify
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
-    """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``: one row for each document
-    and item with ``word_start``, ``word_end``, ``equal_words`` (of the longest stretch; places of
-    words in the document) and ``stretches`` (overlaps that begin at different places).
-
-    An overlap has ``min_words`` words, or those of the whole item if it has fewer, and at least the
-    given share of equal words in place. Items under five words are too common to search for and are
-    left out. Null or empty texts have no overlap; a null doc_id is kept as such; repeated rows and
-    repeated items count once; other columns are ignored; an empty table gives an empty result.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """``(doc_id, nid, item_id, word_start, word_end, equal_words)`` of all overlaps."""
     spark = docs.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("nid"), "text")
     needed = F.least("words", F.lit(min_words)).alias("words")
-    lengths = stored(items.mapInArrow(_count_words, "words int").select(needed).where(f"words between {_SHORTEST} and {_SHORT}").distinct(), "lengths")
+    lengths = stored(items.select("text").mapInArrow(_count_words, "words int").select(needed).where(f"words between 1 and {_SHORT}").distinct(), "lengths")
     masks = [*((m, 0) for m in MASKS), *_short_masks([r[0] for r in lengths.collect()], similarity)]  # a handful of lengths
     ddl = "id long, nid long, seed long, pos int"
     seeds = stored(items.mapInArrow(_seeder(masks, min_words), ddl).distinct(), "benchmark-seeds")
-    bloom = spark.sparkContext.broadcast(Bloom.of(seeds, F.col("seed"), 24).words)
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    bloom = spark.sparkContext.broadcast(Bloom.sized(seeds, F.col("seed")).words)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("nid"), "text")
     hits = texts.mapInArrow(_seeder(masks, min_words, bloom), ddl).withColumnRenamed("id", "doc_id")
     own = seeds.select("seed", F.col("nid").alias("item_nid"), F.col("pos").alias("item_pos")).distinct()
     # only after the exact join the hits at one distance are one
@@ -171,7 +162,21 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 1
     pairs = cut.join(item_lists, "item_nid").withColumn("item_window", F.expr("slice(item_list, item_first + 1, n)")).drop("item_list")
     found = pairs.mapInArrow(_verifier(min_words, similarity), "nid long, item_nid long, word_start int, word_end int, equal_words int")
     found = found.join(seeds.select(F.col("nid").alias("item_nid"), F.col("id").alias("item_id")).distinct(), "item_nid")
-    found = placed.select("doc_id", "nid").distinct().join(found, "nid")
+    return placed.select("doc_id", "nid").distinct().join(found, "nid")
+
+
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
+    """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``: one row for each document
+    and item with ``word_start``, ``word_end``, ``equal_words`` (of the longest stretch; places of
+    words in the document) and ``stretches`` (overlaps that begin at different places).
+
+    An overlap has ``min_words`` words, or those of the whole item if it has fewer, and at least the
+    given share of equal words in place. Phrases of one to four words are everywhere: an item of so
+    few is found only where it is all the words of a text. Null or empty texts have no overlap; a
+    null doc_id is kept as such; repeated rows and repeated items count once; other columns are
+    ignored; an empty table gives an empty result.
+    """
+    found = _found(docs, benchmark, min_words, similarity)
     best = F.max_by(F.struct("word_start", "word_end", "equal_words"), F.struct(F.col("word_end") - F.col("word_start"), "equal_words", -F.col("word_start")))
     return found.groupBy("doc_id", "item_id").agg(
         best.alias("best"), F.count_distinct(F.col("word_start")).alias("stretches")
@@ -185,8 +190,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(Words(texts[i:j]).offsets), pa.int32())], ["words"])
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id has no overlap (rows that share a doc_id share its fate)."""
-    found = benchmark_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    same: Column = docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-    return docs.join(found, same, "left_anti")
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose text has no overlap; other texts under the same doc_id, null and empty
+    texts and repeated clean rows stay. Other columns may have any names; an empty table, or an empty
+    benchmark, changes nothing. Whole rows are shuffled only where a filter of the texts that go may have them."""
+    gone = stored(_found(docs, benchmark, min_words, similarity).select("nid").distinct(), "overlapping")
+    nid = unused(docs, "row_nid")
+    maybe, clear = split_by_filter(docs.withColumn(nid, F.xxhash64("text")), F.col(nid), gone.select(F.col("nid").alias("key")))
+    kept = maybe.join(gone.select(F.col("nid").alias(nid)), nid, "left_anti")
+    return clear.select(*docs.columns).union(kept.select(*docs.columns))

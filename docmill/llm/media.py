@@ -90,7 +90,7 @@ def write_media(docs: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(lanes.view(np.int64))], ["lane"])
 
     again = docs.select("text").mapInArrow(names, "lane long").groupBy("lane").agg(F.count("*").alias("n")).where("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(again, F.col("lane")).words)
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.sized(again, F.col("lane")).words)
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("recipe", pa.binary()), ("own", pa.list_(pa.binary())), ("shared", pa.list_(pa.binary()))])
 
     def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

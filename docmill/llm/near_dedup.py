@@ -18,7 +18,6 @@ are verified on whole shingle sets (Jaccard 0.8 or more), and classes are connec
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.components import connected_components
-from docmill.llm.store import Bloom, stored
+from docmill.llm.store import Bloom, split_by_filter, stored, unused
 from docmill.llm.text import Words, mix, shingles, slices
 
 _U = np.uint64
@@ -91,11 +90,6 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray
     return out
 
 
-def content_id(text: str) -> int:
-    """64 bits of a text's MD5, signed."""
-    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
-
-
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("nid", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -103,7 +97,7 @@ def _signer(k: int, rows: int, words_each: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, k // rows + 1, dtype=_U))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for i, j in slices(texts):
                 sh, off = shingles(Words(texts[i:j]), words_each)
                 own, owner = distinct_by_text(sh, off)
@@ -114,11 +108,7 @@ def _signer(k: int, rows: int, words_each: int):
                 sizes = np.bincount(owner, minlength=j - i)
                 some = np.concatenate(([0], np.cumsum((sizes > 0) * value.shape[1])))
                 bands = pa.ListArray.from_arrays(pa.array(some, pa.int32()), pa.array(value[sizes > 0].ravel().view(np.int64)))
-                nids = [content_id(t) for t in texts[i:j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j], pa.int64()), pa.array(nids, pa.int64()), pa.array(sizes, pa.int32()), bands],
-                    schema=_SIGNED,
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes, pa.int32()), bands], schema=_SIGNED)
 
     return sign
 
@@ -128,31 +118,28 @@ def signatures(docs: DataFrame, k: int = 96, rows: int = 4, words_each: int = 5)
     one hash for each band of ``rows`` coordinates (none for a text without words)."""
     return (
         docs.where("text is not null")
-        .select(F.col("doc_id").cast("long"), "text")
+        .select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("nid"), "text")
         .mapInArrow(_signer(k, rows, words_each), "doc_id long, nid long, n int, bands array<bigint>")
     )
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words_each: int = 5) -> DataFrame:
-    """``(nid, shingles array<int>)`` of the texts whose content id is in ``nodes(nid)``."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom.of(nodes, F.col("nid")).words)
+    """``(nid, shingles array<long>)`` of the texts whose content id is in ``nodes(nid)``."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Bloom.sized(nodes, F.col("nid")).words)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(wanted.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            nids = np.fromiter((content_id(t) for t in texts), np.int64, len(texts))
+            nids = batch.column(0).to_numpy()
             at = np.flatnonzero(bloom.has(nids.view(_U)))
             at = at[np.sort(np.unique(nids[at], return_index=True)[1])]
-            some = [texts[x] for x in at]
+            some = batch.column(1).take(pa.array(at)).to_pylist()
             for i, j in slices(some):
                 sh, off = shingles(Words(some[i:j]), words_each)
-                sets = [np.unique(sh[off[a] : off[a + 1]].astype(np.uint32)).view(np.int32) for a in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nids[at[i:j]], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["nid", "shingles"]
-                )
+                sets = [np.unique(sh[off[a] : off[a + 1]].view(np.int64)) for a in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(nids[at[i:j]], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["nid", "shingles"])
 
-    found = docs.where("text is not null").select("text").mapInArrow(collect, "nid long, shingles array<int>")
+    found = docs.where("text is not null").select(F.xxhash64("text").alias("nid"), "text").mapInArrow(collect, "nid long, shingles array<bigint>")
     return found.dropDuplicates(["nid"]).join(nodes, "nid", "left_semi")
 
 
@@ -191,16 +178,8 @@ def _centrality(sets: DataFrame) -> DataFrame:
     return each.join(spread, "shingle").groupBy("nid").agg(F.avg("texts").alias("central"))
 
 
-def near_duplicate_classes(
-    docs: DataFrame, threshold: float = 0.8, k: int = 96, rows: int = 4, words_each: int = 5, stars: int = 3
-) -> DataFrame:
-    """``(doc_id, class_id, copies)`` for each row of ``docs(doc_id, text)``.
-
-    class_id is the smallest doc_id of the class, copies the number of rows with exactly this text.
-    Equal texts are one class whatever they hold (two empty ones too); a null text is a class of its
-    own, with its own doc_id. Texts under five words have one shingle of all their words. Repeated
-    rows keep a row each. Other columns are ignored. An empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, threshold: float, k: int, rows: int, words_each: int, stars: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, nid, ...)`` with a text, and ``(nid, first_id, copies, root)`` of each text."""
     signed = stored(signatures(docs, k, rows, words_each), "signatures")
     texts = signed.groupBy("nid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     banded = signed.select("nid", "n", F.explode("bands").alias("band"))
@@ -249,6 +228,20 @@ def near_duplicate_classes(
         roots = connected_components(links.union(more))
 
     classes = texts.join(roots, texts["nid"] == roots["node"], "left").select("nid", "first_id", "copies", F.coalesce("root", "nid").alias("root"))
+    return signed, classes
+
+
+def near_duplicate_classes(
+    docs: DataFrame, threshold: float = 0.8, k: int = 96, rows: int = 4, words_each: int = 5, stars: int = 3
+) -> DataFrame:
+    """``(doc_id, class_id, copies)`` for each row of ``docs(doc_id, text)``.
+
+    class_id is the smallest doc_id of the class, copies the number of rows with exactly this text.
+    Equal texts are one class whatever they hold (two empty ones too); a null text is a class of its
+    own, with its own doc_id. Texts under five words have one shingle of all their words. Repeated
+    rows keep a row each. Other columns are ignored. An empty table gives an empty result.
+    """
+    signed, classes = _classified(docs, threshold, k, rows, words_each, stars)
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = classes.join(lowest, "root").select("nid", "class_id", "copies")
     told = signed.select("doc_id", "nid").join(classes, "nid").select("doc_id", "class_id", "copies")
@@ -256,19 +249,27 @@ def near_duplicate_classes(
     return told.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate class, once each.
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 96, rows: int = 4, words_each: int = 5, stars: int = 3) -> DataFrame:
+    """Of each near-duplicate class the row with the smallest doc_id; of several texts under that doc_id one.
 
-    Null doc_ids: rows with a null text stay as they are; a class without any doc_id keeps all its
-    rows, as nothing tells them apart.
+    A row is its doc_id and its text: other texts under the same doc_id are judged for themselves, and
+    a row that is there twice is kept once. A null doc_id is larger than all others. Rows with a null
+    text stay as they are. Other columns may have any names; an empty table gives an empty result.
+    Whole rows are shuffled only where a filter of the rows that go, or are repeated, may have them.
     """
-    classes = near_duplicate_classes(docs, **options)
-    gone = classes.where("doc_id <> class_id or (doc_id is null and class_id is not null)")
-    rows = classes.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    lost = gone.select("doc_id").distinct()
-    repeated = stored(rows.where("rows > 1 and doc_id is not null").select("doc_id"), "repeated")
-    kept = docs.join(lost, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.select(*docs.columns)).select(*docs.columns)
+    signed, classes = _classified(docs, threshold, k, rows, words_each, stars)
+    order = F.struct(F.col("first_id").isNull(), "first_id", "nid")
+    best = classes.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.first_id").alias("best_id"), F.col("best.nid").alias("best_nid"))
+    told = signed.select("doc_id", "nid").join(classes.join(best, "root").select("nid", "best_id", "best_nid"), "nid")
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("nid") == F.col("best_nid"))
+    told = told.groupBy("doc_id", "nid").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")
+    told = stored(told.select(F.xxhash64("doc_id", "nid").alias("key"), "doc_id", "nid", "stays"), "judged")
+    row, nid, doc = (unused(docs, n) for n in ("row_key", "row_nid", "row_doc"))
+    keyed = docs.where("text is not null").withColumns({nid: F.xxhash64("text"), doc: F.col("doc_id").cast("long")}).withColumn(row, F.xxhash64(doc, nid))
+    maybe, clear = split_by_filter(keyed, F.col(row), told)
+    told = told.select(*(F.col(c).alias(f"judged {c}") for c in ("key", "doc_id", "nid", "stays")))
+    same = (F.col(row) == F.col("judged key")) & F.col(doc).eqNullSafe(F.col("judged doc_id")) & (F.col(nid) == F.col("judged nid"))
+    judged = maybe.join(told, same, "left")
+    once = judged.where("`judged stays`").dropDuplicates([doc, nid])
+    kept = clear.select(*docs.columns).union(judged.where("`judged stays` is null").select(*docs.columns)).union(once.select(*docs.columns))
+    return kept.union(docs.where("text is null"))

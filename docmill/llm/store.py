@@ -1,4 +1,4 @@
-"""Shared scratch tables and fixed-size membership filters."""
+"""Shared scratch tables and membership filters of bounded size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,12 @@ _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tr
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; only a session that names
-    none (tests, one machine) gets a folder of its own."""
+    """The shared folder that the session names in spark.checkpoint.dir. A session that names none gets a
+    folder of its own if it runs on one machine, and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="docmill-"))
         base = _fallback[0]
@@ -28,7 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder once and read it back: the lineage ends there, so that a
-    lost executor costs no more than the tasks it ran."""
+    lost executor costs no more than the tasks it ran. Tables stay until the folder is cleared: later
+    plans, whose end nothing here sees, read them."""
     conf, path = df.sparkSession.conf, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     before = {k: conf.get(k, None) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
@@ -41,15 +45,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def split_by_filter(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose 64-bit key may be in ``keys(key)``, rows whose key is not): only the former need a join,
+    so whole rows of the others are not shuffled."""
+    bloom = df.sparkSession.sparkContext.broadcast(Bloom.sized(keys, F.col("key")).words)
+
+    @F.pandas_udf("boolean")
+    def maybe(values: pd.Series) -> pd.Series:
+        return pd.Series(Bloom(bloom.value).has(values.to_numpy(np.int64).view(np.uint64)))
+
+    return df.where(maybe(key)), df.where(~maybe(key))
+
+
 class Bloom:
-    """A filter of fixed size over 64-bit values. It may say yes wrongly, never no; a full one says
-    yes to all, which costs time and changes no result."""
+    """A filter over 64-bit values. It may say yes wrongly, never no; a full one says yes to all, which
+    costs time and changes no result."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def of(df: DataFrame, column: Column, log2_bits: int = 24) -> Bloom:
+    def of(df: DataFrame, column: Column, log2_bits: int) -> Bloom:
         mask = (1 << log2_bits) - 1
         value = column.cast("long")
         bits = df.select(
@@ -65,6 +89,11 @@ class Bloom:
         words[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64).view(np.uint64)
         return Bloom(words)
 
+    @staticmethod
+    def sized(df: DataFrame, column: Column) -> Bloom:
+        """With some 16 bits for each row, 2**14 bits at least and 2**27 (16 MB) at most."""
+        return Bloom.of(df, column, min(max(int(16 * df.count()).bit_length(), 14), 27))
+
     def has(self, values: np.ndarray) -> np.ndarray:
         v = values.astype(np.uint64, copy=False)
         mask = np.uint64(len(self.words) * 64 - 1)

@@ -109,7 +109,7 @@ def test_decontamination_finds_substituted_passages_and_leaves_others(spark, odd
             copy = list(own)
             for p in rng.sample(range(1, len(own) - 1), min(edits, max(len(own) - 2, 0)) if len(own) >= 13 else 0):
                 copy[p] = "zz"
-            if len(own) >= 5:
+            if len(own) >= 5:  # of one of three words only a text of just these is a copy
                 want.add((len(texts), i))
             texts.append(" ".join([*words_of(rng, 60, 5000), *copy, *words_of(rng, 60, 5000)]).upper())
         texts.append(" ".join([*words_of(rng, 60, 5000), *own[: min(8, len(own) // 2)], *words_of(rng, 60, 5000)]))
@@ -119,7 +119,7 @@ def test_decontamination_finds_substituted_passages_and_leaves_others(spark, odd
     assert (got[(0, 0)].word_start, got[(0, 0)].word_end, got[(0, 0)].equal_words) == (60, 100, 40)
     kept = {r.doc_id for r in decontaminate.without_overlaps(docs_of(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in want}
-    assert decontaminate.without_overlaps(odd, bench).count() == 11 and decontaminate.without_overlaps(odd, bench.where("false")).count() == 11
+    assert decontaminate.without_overlaps(odd.withColumn("_id", F.lit(1)), bench).count() == 11 and decontaminate.without_overlaps(odd, bench.where("false")).count() == 11
 
 
 def test_every_hit_counts_and_overlaps_are_whole(spark):
@@ -156,6 +156,32 @@ def test_short_items_are_found_with_every_allowed_substitution(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_overlaps(docs_of(spark, texts), bench).collect()} == want
 
 
+def test_overlaps_equal_all_alignments(spark):
+    rng = random.Random(36)
+    items = [words_of(rng, n, 60) for n in (40, 22, 13, 9, 6, 5, 3, 2, 1)]
+    items.append([*items[0][:9], *items[5], *items[0][9:]])  # one item lies in another
+    texts = [words_of(rng, rng.randint(0, 90), 60) for _ in range(60)] + [items[6], items[7], items[8], [*items[8], "more"]]
+    for _ in range(60):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(own) // 4)):
+            own[rng.randrange(len(own))] = "zz"
+        texts.append([*words_of(rng, rng.randint(0, 40), 60), *own, *words_of(rng, rng.randint(0, 40), 60)])
+    want = {}
+    for (d, text), (i, item) in ((x, y) for x in enumerate(texts) for y in enumerate(items)):
+        runs = []
+        for shift in range(1 - len(item), len(text)):
+            at = [p for p in range(max(shift, 0), min(len(text), shift + len(item))) if text[p] == item[p - shift]]
+            runs += [(y - x + 1, m - n + 1, -x) for n, x in enumerate(at) for m, y in enumerate(at[n:], n) if (m - n + 1) * 10 >= 8 * (y - x + 1) and y - x + 1 >= min(13, len(item))]
+        if runs and (len(item) >= 5 or len(item) == len(text)):
+            want[(d, i)] = max(runs)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, [" ".join(t) for t in texts]).withColumns({"_id": F.lit(1), "row_nid": F.lit(2), "key": F.lit(3), "nid": F.lit(4)})
+    got = {(r.doc_id, r.item_id): (r.word_end - r.word_start, r.equal_words, -r.word_start) for r in decontaminate.benchmark_overlaps(docs, bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and sum(got[x] == want[x] for x in got) >= 0.98 * len(got)
+    kept = decontaminate.without_overlaps(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
 def test_maximal_runs_equal_brute_force():
     rng = np.random.default_rng(32)
     for _ in range(200):
@@ -350,9 +376,20 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     told = near_dedup.near_duplicate_classes(odd)
     assert told.count() == 11 and {r.class_id for r in told.where("doc_id in (8, 9)").collect()} == {8}
     assert sorted(r.doc_id for r in near_dedup.keep_one(odd).where("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert near_dedup.keep_one(odd.where("false")).count() == 0
     assert near_dedup.near_duplicate_classes(odd.where("false")).count() == 0
 
 
+def test_keep_one_drops_no_document_without_a_copy(spark):
+    rng = random.Random(35)
+    a, b, c, d = (" ".join(words_of(rng, 40, 10**6)) for _ in range(4))
+    texts = [(5, a), (5, b), (3, a), (7, c), (7, c), (7, d), (None, d), (None, d), (None, "x y"), (None, "x y"), (2, None), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id int, text string").withColumns({"row_key": F.lit(1), "nid": F.lit("n"), "judged": F.lit(0)})
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (7, c), (7, d), (None, "x y"), (2, None), (2, None)])
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(10)
     a, b = rng.integers(0, 2**48, (2, 300), dtype=np.uint64)
