@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,9 @@ def masked_text(rendered: str, mask: np.ndarray) -> list[str]:
 _loaded: dict[str, object] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(name: str):
+    """The tokenizer that was sent to the executors under this file name."""
+    path = SparkFiles.get(name)
     if path not in _loaded:
         import os
 
@@ -107,7 +110,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
     own, turns = object(), []
     for batch in batches:
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            if conv != own:
+            if conv is None or conv != own:
                 if turns:
                     yield own, turns
                 own, turns = conv, []
@@ -124,7 +127,7 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     each conversation of ``rows(conv_id, turn, role, text)``.
 
     Rows are ordered by turn (null first), then role and text; repeated turns are kept. A null role or
-    text is an empty one; rows without a conv_id are one conversation. Only the role ``assistant`` is
+    text is an empty one; each row without a conv_id is a conversation. Only the role ``assistant`` is
     under the mask. Other columns are ignored; an empty table gives an empty result. Rows are sorted
     inside partitions and read as a stream: one conversation at a time is in memory.
     """
@@ -132,8 +135,11 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
         [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), *((n, pa.list_(pa.int32())) for n in ("token_ids", "mask_tokens", "mask_starts", "mask_ends"))]
     )
 
+    rows.sparkSession.sparkContext.addFile(tokenizer)  # a vocabulary of some megabytes
+    name = tokenizer.rsplit("/", 1)[-1]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, waiting, size = _tokenizer(tokenizer), [], 0
+        encoder, waiting, size = _tokenizer(name), [], 0
         for conv, turns in _conversations(batches):
             rendered, spans = render(turns)
             encoding = encoder.encode(rendered, add_special_tokens=False)
@@ -148,7 +154,8 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
 
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(encode, FORMATTED)
+    own = F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))
+    return rows.repartition(own).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(encode, FORMATTED)
 
 
 def format_digests(formatted: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"(?ai:bearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)"),
     Rule("userinfo", r"[a-z][a-z0-9+.-]{2,20}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@"),
@@ -253,7 +253,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows with every span replaced by ``mark`` (overlapping spans by one), ``n_chars`` if
-    present as the new length. Rows without secrets, null texts included, are unchanged."""
+    present as the new length. Rows without secrets, null and empty texts included, are unchanged;
+    repeated rows change alike; other columns may have any names; an empty table gives an empty one."""
     schema = docs.schema
     at = docs.columns.index("text")
     sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -37,7 +37,7 @@ class ToxicityModel:
     drift: float
     rate: float
     scale: float
-    level: float = 0.002
+    level: float = 0.005
 
     def score(self, expected: float) -> float:
         """0.5 at an expected count of ``level``, the share of clean texts that may do as well."""
@@ -139,19 +139,26 @@ def _weights(clean: np.ndarray, toxic: np.ndarray, prior: float, errors: float,
 _STEP = 0.1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, log2_buckets: int = 20, prior: float = 10_000.0, errors: float = 1.0, least: float = 1.5, drift: float = 0.05) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, log2_buckets: int = 20, prior: float = 10_000.0, errors: float = 1.0, least: float = 1.5, drift: float = 0.05, level: float = 0.005) -> ToxicityModel:
     """Learn from the labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``max_rows`` of them:
-    weights where it is 1 to 3, the law of clean text where it is 4. Without rows of both classes
-    every weight is 0, and every text clean."""
+    the law of clean text where it is 4, with weights from where it is 1 to 3; then the weights from
+    all of them. Without rows of both classes every weight is 0, and every text clean. ``level`` is the
+    number of times that clean text may do as well as a text that counts as toxic."""
     spark = docs.sparkSession
     rows = stored(_training_rows(docs, labels, max_rows), "toxicity-training")
-    counted = rows.where("fold < 4").mapInArrow(_counter(log2_buckets), "bucket int, clean long, toxic long")
-    table = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2**log2_buckets rows at most
-    clean, toxic = np.zeros(1 << log2_buckets), np.zeros(1 << log2_buckets)
-    clean[table["bucket"]], toxic[table["bucket"]] = table["clean"], table["toxic"]
+
+    def counts(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        counted = some.mapInArrow(_counter(log2_buckets), "bucket int, clean long, toxic long")
+        table = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2**log2_buckets rows at most
+        out = np.zeros((2, 1 << log2_buckets))
+        out[:, table["bucket"]] = table["clean"], table["toxic"]
+        return out[0], out[1]
+
+    clean, toxic = counts(rows.where("fold < 4"))
     if not clean.any() or not toxic.any():
-        return ToxicityModel(np.zeros(1 << log2_buckets, np.float32), drift, 1.0, 1.0)
+        return ToxicityModel(np.zeros(1 << log2_buckets, np.float32), drift, 1.0, 1.0, level)
     draft = ToxicityModel(_weights(clean, toxic, prior, errors, least), drift, 1.0, 1.0)
+    clean, toxic = (x + y for x, y in zip((clean, toxic), counts(rows.where("fold = 4")), strict=True))
     shared = spark.sparkContext.broadcast(draft)
 
     def best_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, log2_buckets
 
     null = rows.where("toxic = 0 and fold = 4").select("text").mapInArrow(best_segments, "bin long, texts long, words long")
     null = null.groupBy("bin").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words")).orderBy("bin").collect()  # a few hundred bins
-    return ToxicityModel(draft.weights, drift, *extreme_value_law([r.bin * _STEP for r in null], [r.texts for r in null], sum(r.words for r in null)))
+    law = extreme_value_law([r.bin * _STEP for r in null], [r.texts for r in null], sum(r.words for r in null))
+    return ToxicityModel(_weights(clean, toxic, prior, errors, least), drift, *law, level)
 
 
 def extreme_value_law(scores: list[float], texts: list[int], words: int) -> tuple[float, float]:
@@ -228,7 +236,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not predicted toxic, each judged by its own text."""
+    """The rows of docs that are not predicted toxic, each judged by its own text: null, empty and
+    wordless texts stay, repeated rows share their fate, other columns may have any names, an empty
+    table gives an empty one. Rows are filtered where they are, without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
     schema, at = docs.schema, docs.columns.index("text")
 

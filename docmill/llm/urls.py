@@ -39,7 +39,6 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 
 _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", re.DOTALL | re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
-_LONGEST = 24
 _BUCKETS = 1 << 18
 
 
@@ -64,15 +63,15 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """``(word, n)``: how often each ASCII word occurs in the texts of all pages, without case."""
+    """``(word, n)``: how often each word occurs in the texts of all pages, without case. Null and empty
+    pages have none; repeated rows count each; an empty table gives an empty one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[str] = Counter()
             for html in batch.column(0).to_pylist():
                 found.update(_WORD.findall(_MARKUP.sub(" ", html).lower()))
-            own = {w: n for w, n in found.items() if len(w) <= _LONGEST and w.isascii()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     found = pages.where("html is not null").select("html").mapInArrow(count, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -80,17 +79,19 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 def best_split(piece: str, counts: dict[str, int], total: int) -> list[str]:
     """The split of a piece with the largest product of word chances. A word that is not known has the
-    chance 1 / (total * 10^length): the longer, the less likely."""
+    chance 1 / (total * 10^length): the longer, the less likely. Ties go to the longest last word.
+    Linear in the piece, for each length that known words have."""
+    ten, once, lengths = math.log(10.0), math.log(total), sorted({len(w) for w in counts}, reverse=True)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown = (-math.inf, 0)  # the best split up to here that ends in an unknown word, and where that begins
     for end in range(1, len(piece) + 1):
-        choices = []
-        for start in range(max(0, end - _LONGEST), end):
-            word = piece[start:end]
-            n = counts.get(word, 0)
-            chance = math.log(n / total) if n else -math.log(total) - len(word) * math.log(10.0)
-            choices.append((best[start][0] + chance, -start))
-        score, start = max(choices)  # ties: the longest last word
-        best.append((score, -start))
+        unknown = max((unknown[0] - ten, unknown[1]), (best[end - 1][0] - once - ten, end - 1), key=lambda x: (x[0], -x[1]))
+        choices = [unknown]
+        for length in lengths:
+            start = end - length
+            if start >= 0 and (n := counts.get(piece[start:end], 0)):
+                choices.append((best[start][0] + math.log(n) - once, start))
+        best.append(max(choices, key=lambda x: (x[0], -x[1])))
     words, end = [], len(piece)
     while end:
         start = best[end][1]
@@ -99,21 +100,27 @@ def best_split(piece: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def _substrings(lengths: list[int]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                for length in lengths:  # one length at a time: as many rows as the piece has letters, at most
+                    own = list({piece[i : i + length] for i in range(len(piece) - length + 1)})
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array([piece] * len(own), pa.string()), pa.array(own, pa.string())], ["piece", "word"])
+
+    return cut
+
+
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """``(host, words array<string>)`` for distinct ``hosts(host)``: the words of all its pieces."""
+    """``(host, words array<string>)`` for distinct ``hosts(host)``: the words of all its pieces (runs of
+    letters). An empty host, or one without letters, has no row; without any words each piece is one."""
     total = max(words.agg(F.sum("n")).first()[0] or 0, 1)
-    pieces_of = F.filter(F.split("host", r"[^a-z]+"), lambda p: p != "")
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # fewer than the longest word has letters
+    pieces_of = F.filter(F.split(F.lower("host"), r"[^\p{L}\p{M}]+"), lambda p: p != "")
     placed = stored(hosts.select("host", F.posexplode(pieces_of).alias("at", "piece")), "pieces")
     pieces = placed.select("piece").distinct()
-    substrings = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length("piece")),
-                lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(_LONGEST), F.length("piece") - i + 1)), lambda n: F.substring("piece", i, n)),
-            )
-        )
-    )
-    known = pieces.select("piece", F.explode(substrings).alias("word")).join(words, "word")
+    known = pieces.mapInArrow(_substrings(lengths), "piece string, word string").join(words, "word")
     known = known.groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # substrings of one piece
 
     @F.pandas_udf("array<string>")

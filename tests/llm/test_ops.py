@@ -81,6 +81,33 @@ def test_url_rules_and_hosts(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_naive_bayes_equals_its_definition(spark):
+    rng = random.Random(37)
+    bits = ["cat", "dog", "sun", "é", "Größe", "x1", "zz"]
+    rows = [(i, f"http://{''.join(rng.choice(bits) for _ in range(3))}.{rng.choice(['net', 'org', 'com'])}{rng.choice(['/', '/fr/', '/fr/cat/7', '/dog?q'])}", "<b>cat dog dog</b> sun größe") for i in range(300)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"word": F.lit(1), "n": F.lit(2), "piece": F.lit(3)})).collect()
+
+    def tokens(r):
+        return [f"h:{w}" for w in r.words or []] + ["p:#" if p.isdigit() else f"p:{p}" for p in re.split(r"[\W_]+", r.path.lower()) if p]
+
+    taught = [(r.verdict, t) for r in got if r.rule for t in tokens(r)]
+    counts = {v: defaultdict(int) for v in ("block", "allow")}
+    for v, token in taught:
+        counts[v][token] += 1
+    seen, pages = len({t for _, t in taught}) + 1, {v: sum(r.verdict == v for r in got if r.rule) for v in counts}
+    odds = {t: np.log((counts["block"][t] + 1) / (sum(counts["block"].values()) + seen)) - np.log((counts["allow"][t] + 1) / (sum(counts["allow"].values()) + seen)) for _, t in list(taught)}
+    for r in got:
+        want = np.log(pages["block"] / pages["allow"]) + sum(odds.get(t, 0.0) for t in tokens(r)) if tokens(r) else 0.0
+        assert r.score == pytest.approx(want, abs=1e-6) and (r.rule or r.verdict == ("block" if want > 0 else "allow"))
+    assert any(r.words and "größe" in r.words for r in got) and pages["block"] and pages["allow"]
+
+
+def test_very_long_hosts(spark):
+    host = "catdog" * 4000
+    (r,) = urls.judge_urls(spark.createDataFrame([(1, f"http://{host}/", "cat dog " + "y" * 40)], "page_id long, url string, html string")).collect()
+    assert r.words == ["cat", "dog"] * 4000
+
+
 def test_viterbi_equals_all_splits():
     rng = random.Random(2)
     counts = {"a": 5, "ab": 3, "b": 2, "ba": 7, "aba": 1}
@@ -263,6 +290,7 @@ def test_secrets_equal_plain_regex(spark, odd):
         told = ",".join(f"{kinds[k]}:{a}:{b}" for a, b, k in base)
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for *_, k in base) for x in range(3))
         assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest() and set(filter(None, told.split(","))) <= set(got[i].spans.split(","))
+    assert secrets.find_spans(["eyJ" * 400_000])[0] == []  # in linear time
     clean = secrets.redact(docs_of(spark, ["a token=abcdefghijklmnop b", "plain", None])).collect()
     assert [(r.text, r.n_chars) for r in clean] == [("a [SECRET] b", 12), ("plain", 5), (None, 0)]
     assert secrets.secret_report(odd).count() == 11 and secrets.redact(odd).count() == 11 and secrets.redact(odd.where("false")).count() == 0
@@ -298,6 +326,30 @@ def test_maximal_segments_equal_brute_force():
         assert [(a, b, round(v, 9)) for a, b, v in toxicity.maximal_segments(s)] == [(a, b, round(v, 9)) for a, b, v in brute(s)]
 
 
+def test_toxicity_weights_and_score_equal_their_definition(spark):
+    rng = random.Random(38)
+    texts = [" ".join(words_of(rng, 40, 60) + (["vile", "nasty"] if i % 3 == 0 else [])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), labels, prior=50.0, least=0.1)
+    taught = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    counts = [defaultdict(int), defaultdict(int)]
+    for i in taught:
+        for w in set(texts[i].split()):
+            counts[i % 3 == 0][w] += 1
+    buckets, n = len(model.weights), [sum(c.values()) for c in counts]
+    for w in sorted({*counts[0], *counts[1]}):
+        alpha = 50.0 * (counts[0][w] + counts[1][w] + 0.01) / (sum(n) + 0.01 * buckets)
+        y0, y1 = counts[0][w] + alpha, counts[1][w] + alpha
+        delta = np.log(y1 / (n[1] + 50 - y1)) - np.log(y0 / (n[0] + 50 - y0))
+        size = max(abs(delta) - np.sqrt(1 / y0 + 1 / y1), 0)
+        got = float(model.scores(Words([w]).hashes)[0]) + model.drift
+        assert got == pytest.approx(np.sign(delta) * size if size >= 0.1 else 0.0, abs=1e-4)
+    assert model.weights[int(Words(["vile"]).hashes[0]) & (buckets - 1)] > 0
+    m = toxicity.ToxicityModel(model.weights, 0.1, 0.5, 0.02, 0.01)
+    one, two = 0.02 * 30 * np.exp(-0.5 * 14), (0.02 * 30) ** 2 * np.exp(-0.5 * 26) / 2 * 2  # the best alone, or two and a second trial
+    assert toxicity.expected_count([(0, 2, 14.0), (5, 6, 12.0), (9, 10, 1.0)], 30, m) == pytest.approx(min(one, two)) and m.score(0.01) == 0.5
+
+
 def test_toxicity_held_out(spark, odd):
     rng = random.Random(8)
     texts, labels = [], []
@@ -555,6 +607,8 @@ def test_chat_round_trip_and_mask(spark):
         loss = "".join(t for role, t in want[r.conv_id] if role == "assistant")
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(want[r.conv_id]), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_conversations(df.where("false")).count() == 0
+    lost = chat.format_conversations(spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", None), (1, 5, "user", "x " * 50_000), (1, 5, "user", "x " * 50_000)], "conv_id long, turn int, role string, text string"))
+    assert sorted((r.conv_id or 0, r.n_turns) for r in lost.collect()) == [(0, 1), (0, 1), (0, 1), (1, 2)]
 
 
 # 10 media
