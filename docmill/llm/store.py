@@ -31,8 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder once and read it back: the lineage ends there, so that a
-    lost executor costs no more than the tasks it ran. Tables stay until the folder is cleared: later
-    plans, whose end nothing here sees, read them."""
+    lost executor costs no more than the tasks it ran. Tables that a returned plan still reads stay
+    until the folder is cleared; others may be given to forget."""
     conf, path = df.sparkSession.conf, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     before = {k: conf.get(k, None) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
@@ -42,7 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that no plan needs any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
