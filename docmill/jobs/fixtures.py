@@ -56,7 +56,7 @@ def received_sql() -> str:
 
 
 def corpus_documents_sql(duck: bool) -> str:
-    """Even documents as corpus rows, with schema faults by the number of the document."""
+    """All documents as corpus rows, with schema faults by the number of the document."""
     sha = _sha("text", duck)
     return f"""SELECT doc_id, {_uuid(_sha("'document:' || " + _sha('text', duck), duck))} AS id,
       CASE WHEN doc_id % 50 = 2 THEN 'pending' ELSE 'indexed' END AS status, CASE WHEN doc_id % 50 = 4 THEN '  ' ELSE 'Title ' || source END AS title,
@@ -64,19 +64,19 @@ def corpus_documents_sql(duck: bool) -> str:
       CAST(CASE WHEN doc_id % 50 = 8 THEN 51 END AS INT) AS page_count, CAST(n_chars AS INT) AS character_count, CAST(doc_id % 4 + 1 AS INT) AS chunks_count,
       source AS source_name, CASE WHEN doc_id % 50 = 10 THEN 'ftp://x' ELSE 'https://example.com' END AS source_url, DATE '2024-01-01' AS published_at,
       CASE WHEN doc_id % 50 = 12 THEN '[1]' ELSE '{{}}' END AS metadata, TIMESTAMP '2024-01-01 00:00:00' AS created_at
-    FROM <documents> WHERE doc_id % 2 = 0"""
+    FROM <documents>"""
 
 
 def corpus_chunks_sql(duck: bool) -> str:
-    """Two chunks for each even document, with faults; a vector of four values."""
+    """Two chunks for each document, its two halves, with faults; a vector of four values."""
     vector = "CAST([0.5, 0.5, 0.5, 0.5] AS FLOAT[])" if duck else "CAST(array(0.5, 0.5, 0.5, 0.5) AS ARRAY<FLOAT>)"
-    own = _uuid(_sha("'document:' || " + _sha("text", duck), duck))
+    own, half = _uuid(_sha("'document:' || " + _sha("text", duck), duck)), "CAST(floor(length(text) / 2) AS INT)"
     return f"""SELECT CAST(doc_id * 2 + n AS STRING) AS id, CASE WHEN doc_id % 50 = 14 THEN 'orphan' ELSE {own} END AS document_id,
-      CAST(CASE WHEN doc_id % 50 = 16 THEN -1 WHEN doc_id % 50 = 18 THEN 0 ELSE n END AS INT) AS chunk_index, CASE WHEN doc_id % 50 = 20 THEN ' ' ELSE substr(text, 1, 2400) END AS content,
+      CAST(CASE WHEN doc_id % 50 = 16 THEN -1 WHEN doc_id % 50 = 18 THEN 0 ELSE n END AS INT) AS chunk_index, CASE WHEN doc_id % 50 = 20 THEN ' ' WHEN n = 0 THEN substr(text, 1, {half}) ELSE substr(text, {half} + 1) END AS content,
       CAST(CASE WHEN doc_id % 50 = 22 THEN 2401 ELSE least(n_chars, 2400) END AS INT) AS character_count, CAST(NULL AS INT) AS provider_token_count, CAST(NULL AS INT) AS page_index,
       CAST(NULL AS STRING) AS page_label, CASE WHEN doc_id % 50 = 24 THEN '' END AS section, false AS contains_table, {vector} AS embedding, 'm' AS embedding_model,
       CAST(CASE WHEN doc_id % 50 = 26 THEN 3 ELSE 4 END AS INT) AS embedding_dimensions
-    FROM <documents> CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) AS two WHERE doc_id % 2 = 0"""
+    FROM <documents> CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) AS two"""
 
 
 def pages_sql() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +14,15 @@ from docmill.operators.validation import validate
 
 
 def ingest_batch(received: DataFrame, corpus: DataFrame, created_at: str, config: ChunkConfig = ChunkConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks without vectors, rejected) of what is new in a batch."""
+    """(documents, chunks without vectors, rejected) of what is new in a batch. What is extracted and cut
+    is kept by the executors while the results are written: each step runs once, and again only where
+    an executor is lost."""
     validated, bad = validate(received)
     extracted, _, worse = extract(validated)
+    extracted = extracted.persist(StorageLevel.DISK_ONLY)
     fresh = new_documents(extracted, corpus)
     drafts, worst = chunk(explode_blocks(fresh), config)
+    drafts = drafts.persist(StorageLevel.DISK_ONLY)
     counts = drafts.groupBy("doc_key").agg(F.count("*").cast("int").alias("chunks_count"))
     documents = fresh.join(counts, "doc_key").select(
         document_id(F.col("sha256")).alias("id"), F.lit("indexed").alias("status"), "title", "original_filename", "mime_type", "sha256", "page_count", "character_count",

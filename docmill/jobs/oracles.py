@@ -182,12 +182,13 @@ def oracle_sql() -> dict[str, str]:
           told AS (SELECT b.doc_id, CASE WHEN length(b.content) <= 600 THEN 1 WHEN list_max(list_transform(b.l[3:], lambda x: length(x))) + 15 > 600 THEN 0 ELSE (SELECT max(n) FROM walk AS w WHERE w.doc_id = b.doc_id) END AS chunks FROM b)
           SELECT doc_id, CAST(chunks AS BIGINT) AS chunks, CAST(chunks AS BIGINT) AS with_head FROM told""",
         "dedup_first": f"SELECT doc_id, sha256 FROM (SELECT doc_id, {_SHA} AS sha256, row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
-        "dedup_report": f"""WITH b AS (SELECT doc_id, {_SHA} AS sha256, {_ID} AS document_id, row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 1)
-          SELECT doc_id, sha256, document_id, n > 1 OR sha256 IN (SELECT {_SHA} FROM documents WHERE doc_id % 2 = 0) AS deduplicated FROM b""",
+        "dedup_report": f"""WITH b AS (SELECT doc_id, {_SHA} AS sha256, {_ID} AS document_id, row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id) AS n FROM documents)
+          SELECT doc_id, sha256, document_id, n > 1 OR sha256 IN (SELECT {_SHA} FROM documents WHERE lang = 'en') AS deduplicated FROM b""",
         "delete_cascade": f"""{_CORPUS}, gone AS (SELECT id FROM d WHERE doc_id % 6 = 0) SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS row_id FROM d WHERE id NOT IN (SELECT id FROM gone)
           UNION ALL SELECT 'chunk', id FROM c WHERE document_id NOT IN (SELECT id FROM gone)""",
         "delete_not_found": f"{_CORPUS} SELECT DISTINCT 'no-' || id AS id FROM d WHERE doc_id % 10 = 0",
         "list_page": f"{_CORPUS} SELECT id, arg_min(status, doc_id) AS status, arg_min(mime_type, doc_id) AS mime_type FROM d GROUP BY id ORDER BY id LIMIT 20 OFFSET 40",
+        "list_total": f"{_CORPUS} SELECT count(DISTINCT id) AS total FROM d",
         "get_public": f"{_CORPUS} SELECT id, title, sha256, source_name, source_url FROM d WHERE id IN (SELECT id FROM d WHERE doc_id % 8 = 0)",
         "stable_ids": f"SELECT doc_id, {_ID} AS document_id, {_CHUNK_ID} AS chunk_id FROM documents",
         "schema_audit": f"""{_CORPUS} {_rules('d')} UNION ALL {_rules('c')}

@@ -148,7 +148,8 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc(chunking.audit_chunks(chunking.chunk(_markdown(spark, sf_dir))[0]))
+    blocks = _markdown(spark, sf_dir)
+    return _doc(chunking.audit_chunks(chunking.chunk(blocks)[0], blocks=blocks))
 
 
 @_query
@@ -167,14 +168,14 @@ def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc(told.unionByName(rejected.select("doc_key", F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("with_head"))))
 
 
-def _arrivals(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(where)
-    return docs.select(F.col("doc_id").cast("string").alias("doc_key"), F.col("doc_id").alias("arrival_seq"), validation.content_sha256(F.col("text").cast("binary")).alias("sha256"))
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_key"), F.col("doc_id").alias("arrival_seq"), "lang", validation.content_sha256(F.col("text").cast("binary")).alias("sha256"))
 
 
 @_query
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc(corpus.dedup_batch(_arrivals(spark, sf_dir, "true")).select("doc_key", "sha256"))
+    return _doc(corpus.dedup_batch(_arrivals(spark, sf_dir)).select("doc_key", "sha256"))
 
 
 def _corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +188,9 @@ def _corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _corpus_documents(spark, sf_dir).select("sha256", "id").distinct()
-    return _doc(corpus.resolve_against_corpus(_arrivals(spark, sf_dir, "doc_id % 2 = 1"), known))
+    """All documents arrive; those in English are known already."""
+    known = _arrivals(spark, sf_dir).where("lang = 'en'").select("sha256", document_id(F.col("sha256")).alias("id")).distinct()
+    return _doc(corpus.resolve_against_corpus(_arrivals(spark, sf_dir), known))
 
 
 def _deleted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,6 +217,11 @@ def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.list_documents(documents.join(first, ["id", "doc_id"], "left_semi"), 20, 40).select("id", "status", "mime_type")
 
 
+@_query
+def list_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.count_documents(_corpus_documents(spark, sf_dir))
+
+
 @_query
 def get_public(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _corpus_documents(spark, sf_dir)
@@ -224,7 +231,7 @@ def get_public(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _arrivals(spark, sf_dir, "true")
+    rows = _arrivals(spark, sf_dir)
     return _doc(rows.select("doc_key", document_id(F.col("sha256")).alias("document_id"), chunk_id(F.col("sha256"), F.lit(3)).alias("chunk_id")))
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Of a heading so many characters go before each chunk of its segment.
+LONGEST_PREFIX = 300
 SENTENCE_END = r"(?<=[.!?…])[ \t\n]+"
 
 
@@ -89,13 +91,13 @@ def _tail(text: str, most: int) -> str:
 
 def _pack(blocks: list[dict], config: ChunkConfig) -> tuple[list[tuple[str, bool, int]], str | None]:
     """Chunks (content, holds a table, characters of overlap) of one segment, or an error."""
-    heading = blocks[0]["content"][:300] if blocks[0]["kind"] == "heading" else ""
-    first = blocks[0]["content"] if heading else ""
+    first = blocks[0]["content"] if blocks[0]["kind"] == "heading" else ""
+    heading = first[:LONGEST_PREFIX]
     room = config.most - (len(heading) + 2 if heading else 0)
     parts: list[list] = []  # text without the prefix, holds a table
-    body = blocks[1:] if heading else blocks
-    if heading and len(first) > config.most:
-        body, heading, room = blocks, first[:300], config.most - 302
+    # a heading that is longer than a prefix is text of the first chunk, and prefixes the others cut
+    cut = first != heading
+    body = blocks[1:] if first and not cut else blocks
     for block in body:
         units = _units(block["kind"], block["content"], room)
         if units is None:
@@ -116,15 +118,14 @@ def _pack(blocks: list[dict], config: ChunkConfig) -> tuple[list[tuple[str, bool
         last = parts.pop()
         parts[-1] = [parts[-1][0] + ("" if last[2] else "\n\n") + last[0], parts[-1][1] or last[1], parts[-1][2]]
     if not parts:
-        return [(first or heading, False, 0)], None
+        return [(first, False, 0)], None
     out, front = [], body[0]["kind"] == "frontmatter"
     for i, (text, table, _) in enumerate(parts):
         tail = ""
         if i and not table and not parts[i - 1][1] and not front:
             tail = _tail(parts[i - 1][0], min(config.overlap, room - len(text) - 1))
         content = (tail + " " if tail else "") + text
-        prefix = heading if i or not first else first
-        content = f"{prefix}\n\n{content}" if prefix and len(prefix) + 2 + len(content) <= config.most else content
+        content = f"{heading}\n\n{content}" if heading and (i or not cut) else content
         out.append((content, table, len(tail)))
     return out, None
 
@@ -172,9 +173,11 @@ def chunk(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> tuple[DataF
     return chunks, rejected
 
 
-def audit_chunks(chunks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Violations ``(doc_key, chunk_index, rule)``: blank, too long, too much overlap, gaps in the
-    index, a heading that does not go with its chunks."""
+def audit_chunks(chunks: DataFrame, config: ChunkConfig = ChunkConfig(), blocks: DataFrame | None = None) -> DataFrame:
+    """Violations ``(doc_key, chunk_index, rule)``: blank, too_long, overlap, character_count and index_gap
+    from the chunks alone; with their ``blocks`` also page_crossing, section, heading, table_head and
+    not_lossless (of a segment without tables: what is left without prefix and overlap is its text, in order).
+    All are decided by what the text is, not by what it says."""
     rules = F.array_compact(
         F.array(
             F.when(F.trim("content") == "", "blank"), F.when(F.length("content") > config.most, "too_long"),
@@ -184,7 +187,39 @@ def audit_chunks(chunks: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     own = chunks.select("doc_key", "chunk_index", F.explode(rules).alias("rule"))
     places = chunks.groupBy("doc_key").agg(F.count("*").alias("n"), F.max("chunk_index").alias("high"), F.count_distinct("chunk_index").alias("places"))
     gaps = places.where("n <> high + 1 or places <> n").select("doc_key", F.lit(None).cast("int").alias("chunk_index"), F.lit("index_gap").alias("rule"))
-    return own.unionByName(gaps)
+    out = own.unionByName(gaps)
+    return out if blocks is None else out.unionByName(_audit_against(chunks, blocks))
+
+
+def _audit_against(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    def bare(text: Column) -> Column:
+        return F.regexp_replace(text, r"\s+", "")
+
+    # the blocks and the chunks of one segment: those of one document, at most
+    parts = segment_blocks(blocks).groupBy("doc_key", "segment").agg(F.array_sort(F.collect_list(F.struct("position", "kind", "content", "page_index", "section"))).alias("parts"))
+    parts = parts.withColumns({"first": F.col("parts")[0], "tables": F.exists("parts", lambda p: p["kind"] == "table")})
+    heading = F.when(F.col("first.kind") == "heading", F.col("first.content"))
+    parts = parts.withColumns({"prefix": F.substring(heading, 1, LONGEST_PREFIX), "cut": F.length(heading) > LONGEST_PREFIX})
+    joined = chunks.join(parts, ["doc_key", "segment"])
+    section = F.when(F.trim("first.section") != "", F.substring("first.section", 1, 500))
+    by_row = F.array_compact(
+        F.array(
+            F.when(~F.col("page_index").eqNullSafe(F.col("first.page_index")), "page_crossing"), F.when(~F.col("section").eqNullSafe(section), "section"),
+            F.when(~F.startswith("content", F.col("prefix")), "heading"),
+            F.when(F.col("contains_table") & ~F.col("content").rlike(r"(?m)^[ \t]*\|?[ \t]*:?-{3,}"), "table_head"),
+        )
+    )
+    rows = joined.select("doc_key", "chunk_index", F.explode(by_row).alias("rule"))
+    nth = F.row_number().over(Window.partitionBy("doc_key", "segment").orderBy("chunk_index"))
+    prefixed = F.col("prefix").isNotNull() & ~(F.col("cut") & (F.col("nth") == 1)) & (F.length("content") > F.length("prefix"))
+    body = F.when(prefixed, F.expr("substring(content, length(prefix) + 3)")).otherwise(F.col("content"))
+    text = F.when(F.col("overlap_characters") > 0, F.expr("substring(body, overlap_characters + 2)")).otherwise(F.col("body"))
+    rebuilt = joined.where(~F.col("tables")).withColumn("nth", nth).withColumn("body", body).withColumn("text", text)
+    rebuilt = rebuilt.groupBy("doc_key", "segment").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("texts"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"), F.first("cut").alias("cut"))
+    alone = (F.size("parts") == 1) | F.col("prefix").isNull() | F.col("cut")  # else the prefix is the first part
+    want = F.array_join(F.transform(F.when(alone, F.col("parts")).otherwise(F.slice("parts", 2, F.size("parts"))), lambda p: p["content"]), "")
+    lost = rebuilt.where(bare(F.array_join(F.transform("texts", lambda t: t["text"]), "")) != bare(want))
+    return rows.unionByName(lost.select("doc_key", F.col("texts")[0]["chunk_index"].alias("chunk_index"), F.lit("not_lossless").alias("rule")))
 
 
 def chunk_config_sweep(blocks: DataFrame, configs: dict[str, ChunkConfig] = SWEEP) -> DataFrame:

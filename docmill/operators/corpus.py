@@ -48,6 +48,11 @@ def list_documents(documents: DataFrame, limit: int = 20, offset: int = 0) -> Da
     return documents.select(*PUBLIC).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
+def count_documents(documents: DataFrame) -> DataFrame:
+    """``(total)``: how many documents all pages of the list have together."""
+    return documents.agg(F.count_distinct("id").alias("total"))
+
+
 def get_documents(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The public view of some documents: the source nested, neither content nor vectors."""
     source = F.struct(F.col("source_name").alias("name"), F.col("source_url").alias("url"), "published_at")
@@ -107,10 +112,9 @@ def audit_schema(documents: DataFrame, chunks: DataFrame, dimensions: int = 768)
     def repeated(df: DataFrame, table: str, keys: list[str], rule: str) -> DataFrame:
         return told(df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), table, F.concat_ws("/", *keys), rule)
 
-    narrow = chunks.withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")))
     parts = [
         told(documents.withColumn("rule", F.explode(_failed(document_rules()))), "documents", F.col("id"), F.col("rule")),
-        told(narrow.withColumn("rule", F.explode(_failed(chunk_rules(dimensions)))), "chunks", F.col("id"), F.col("rule")),
+        told(chunks.withColumn("rule", F.explode(_failed(chunk_rules(dimensions)))), "chunks", F.col("id"), F.col("rule")),
         repeated(documents, "documents", ["id"], "id_unique"),
         repeated(documents, "documents", ["sha256"], "sha256_unique"),
         repeated(chunks, "chunks", ["id"], "id_unique"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from docmill import schemas as S
 from docmill.functions.text import strip
+from docmill.operators.vectors import assert_single_index
 
-#: Queries are sent to the chunks in blocks of this many: 4096 x 768 doubles are 25 MB.
-QUERY_BLOCK = 4096
+#: Queries and chunks meet in blocks of about so many: 4096 x 768 doubles are 25 MB.
+QUERY_BLOCK = CHUNK_BLOCK = 4096
 
 
 def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,55 +28,52 @@ def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 HITS = "query_id long, chunk_id string, document_id string, chunk_index int, raw double"
 
 
-def _scorer(ids, matrix, ks, threshold: float):
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-            sims = (vectors / np.where(norm == 0, np.nan, norm)) @ matrix.value.T
-            keep = pd.DataFrame(np.argwhere(sims >= threshold), columns=["row", "query"])
-            keep["raw"] = sims[keep["row"], keep["query"]]
-            own = frame.iloc[keep["row"].to_numpy()]
-            out = pd.DataFrame({"query_id": ids.value[keep["query"]], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": keep["raw"].to_numpy()})
-            out["k"] = ks.value[keep["query"]]
-            out = out.sort_values(["query_id", "raw", "document_id", "chunk_index", "chunk_id"], ascending=[True, False, True, True, True])
-            yield out[out.groupby("query_id").cumcount() < out["k"]].drop(columns="k")  # no more of a batch can be in the top k
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, np.nan, norm)
+
+
+def _scorer(threshold: float):
+    def score(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(chunks):
+            kinds = {"query_id": "int64", "chunk_id": object, "document_id": object, "chunk_index": "int32", "raw": "float64"}
+            return pd.DataFrame({n: pd.Series(dtype=k) for n, k in kinds.items()})
+        sims = _unit(queries["asked"]) @ _unit(chunks["embedding"]).T
+        q, c = np.nonzero(sims >= threshold)
+        own = chunks.iloc[c]
+        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": sims[q, c]})
+        out["k"] = queries["top_k"].to_numpy()[q]
+        out = out.sort_values(["query_id", "raw", "document_id", "chunk_index", "chunk_id"], ascending=[True, False, True, True, True])
+        return out[out.groupby("query_id").cumcount() < out["k"]].drop(columns="k")  # no more of a block can be in the top k
 
     return score
 
 
+def _in_blocks(df: DataFrame, key: str, size: int, other: int, names: tuple[str, str]) -> DataFrame:
+    """Rows dealt to blocks of about ``size``, each once for every block of the other side."""
+    blocks = max(-(-df.count() // size), 1)
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(names[0])
+    return df.select("*", own, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+
+
 def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
     """``(query_id, rank, chunk_id, document_id, chunk_index, raw, similarity)``: of the chunks of
     documents that are indexed now, those with a cosine of the threshold or more, the top_k best;
     ties by document, place and chunk. Rank is by the raw value; similarity has four decimals.
 
-    Queries go to the chunks in blocks, so the chunks are read once for each block and never
-    shuffled; only the best of each batch of chunks meet in the last ranking.
+    Queries and chunks meet in blocks: a task has one block of each, whatever their number, and
+    nothing passes through the driver. Only the best of each pair of blocks are in the last ranking.
+    If both sides name their model and dimension, a mixture of them is an error.
     """
+    index = {"embedding_model", "embedding_dimensions"}
+    if index <= set(chunks.columns) and index <= set(queries.columns):
+        assert_single_index(chunks, queries)
     live = chunks.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
-    live = live.select("chunk_id", "document_id", "chunk_index", "embedding")
-    context, parts, block = chunks.sparkSession.sparkContext, [], []
-
-    def flush() -> None:
-        if block:
-            m = np.array([r.embedding for r in block], np.float64)
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            shared = [context.broadcast(x) for x in (np.array([r.query_id for r in block]), m, np.array([r.top_k for r in block]))]
-            parts.append(live.mapInPandas(_scorer(*shared, threshold), HITS))
-            block.clear()
-
-    for row in queries.select("query_id", "top_k", "embedding").orderBy("query_id").toLocalIterator():  # the stated query set, in blocks
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    if not parts:
-        parts = [live.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "document_id", "chunk_index", F.lit(0.0).alias("raw")).where("false")]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    live, asked = live.select("chunk_id", "document_id", "chunk_index", "embedding"), queries.select("query_id", "top_k", F.col("embedding").alias("asked"))
+    own = _in_blocks(asked, "query_id", QUERY_BLOCK, max(-(-live.count() // CHUNK_BLOCK), 1), ("q", "c"))
+    others = _in_blocks(live, "chunk_id", CHUNK_BLOCK, max(-(-asked.count() // QUERY_BLOCK), 1), ("c", "q"))
+    hits = own.groupBy("q", "c").cogroup(others.groupBy("q", "c")).applyInPandas(_scorer(threshold), HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "document_id", "chunk_index", "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= S.TOP_K_MAX)
     return ranked.join(queries.select("query_id", "top_k"), "query_id").where("rank <= top_k").select(

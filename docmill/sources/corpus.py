@@ -9,14 +9,15 @@ from docmill import schemas as S
 
 
 def read_received(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Files under ``path`` with their declared fields: ``manifest(path, doc_key, arrival_seq, filename,
+    """Files under ``path``, nested folders too, with their declared fields: ``manifest(path (below the
+    folder), doc_key, arrival_seq, filename,
     mime_type, title, source_name, source_url, published_at, metadata)``. All extensions are read, so
     that bad ones reach the quarantine; files over the limit keep one byte more than it, no more."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     content = F.when(F.col("length") > S.MAX_FILE_BYTES, F.substr("content", F.lit(1), F.lit(S.MAX_FILE_BYTES + 1))).otherwise(F.col("content"))
-    own = files.select(F.substring_index("path", "/", -1).alias("path"), content.alias("content"))
+    own = files.select(F.substring_index("path", f"{path.rstrip('/').removeprefix('file://')}/", -1).alias("path"), content.alias("content"))
     joined = own.join(manifest, "path", "left")
-    return joined.withColumns({"doc_key": F.coalesce("doc_key", "path"), "filename": F.coalesce("filename", "path")}).select(*S.RECEIVED.fieldNames())
+    return joined.withColumns({"doc_key": F.coalesce("doc_key", "path"), "filename": F.coalesce("filename", F.substring_index("path", "/", -1))}).select(*S.RECEIVED.fieldNames())
 
 
 def publish(documents: DataFrame, chunks: DataFrame, root: str, version: str) -> None:

@@ -21,10 +21,13 @@ def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str,
     def one(batch: DataFrame, batch_id: int) -> None:
         try:
             known, _ = read_corpus(spark, root, without_version=str(batch_id))
-        except AnalysisException:  # the first batch finds no corpus
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no corpus
+                raise
             known = spark.createDataFrame([], S.DOCUMENTS_DDL)
         documents, chunks, _ = ingest_batch(batch, known, created_at)
         publish(documents, chunks, root, str(batch_id))
+        spark.catalog.clearCache()  # what the batch kept for itself
 
     stream = spark.readStream.schema(S.RECEIVED).option("maxFilesPerTrigger", 64).parquet(source)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

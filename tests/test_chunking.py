@@ -1,8 +1,7 @@
 """The acceptance criteria of chunking."""
 
-import re
-
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.operators import chunking as C
 
@@ -67,13 +66,42 @@ def test_invariants_on_random_documents(spark, seed):
     import random
 
     r = random.Random(seed)
-    docs = [[{"content": " ".join("w" * r.randint(1, 9) + r.choice(["", "", "."]) for _ in range(r.randint(1, 900))), "section": r.choice(["A", "B"])} for _ in range(r.randint(1, 6))] for _ in range(4)]
-    chunks, _ = C.chunk(_blocks(spark, *docs))
-    assert C.audit_chunks(chunks).count() == 0
-    for d, blocks in enumerate(docs):
-        own = sorted(chunks.where(f"doc_key = '{d}'").collect(), key=lambda c: c.chunk_index)
-        text = "".join(c.content[c.overlap_characters :] for c in own)
-        assert re.sub(r"\s", "", text) == re.sub(r"\s", "", "".join(b["content"] for b in blocks))
+    def words(n):
+        return " ".join("w" * r.randint(1, 9) + str(r.randint(0, 999)) + r.choice(["", "", "."]) for _ in range(n))
+
+    docs = []
+    for _ in range(6):
+        docs.append([])
+        for section in range(r.randint(1, 4)):
+            if r.random() < 0.7:
+                docs[-1].append({"content": "# " + words(r.choice([2, 40, 60, 90, 500])), "kind": "heading", "section": f"S{section}", "level": 1})
+            docs[-1] += [{"content": words(r.randint(1, 900)), "section": f"S{section}"} for _ in range(r.randint(0, 3))]
+        docs[-1].append({"content": words(5), "section": "Z"})
+    blocks = _blocks(spark, *docs)
+    chunks, _ = C.chunk(blocks)
+    assert C.audit_chunks(chunks, blocks=blocks).collect() == []
+    for d, own in enumerate(docs):  # every word of every heading and text is there
+        text = " ".join(c.content for c in chunks.where(f"doc_key = '{d}'").collect())
+        assert {w for b in own for w in b["content"].split() if len(w) < 20} <= set(text.split())
+
+
+def test_long_headings_are_kept(spark):
+    own, _ = _chunks(spark, [{"content": "h" * 502, "kind": "heading", "section": "H"}, {"content": "Some words. " * 170, "section": "H"}])
+    assert own[0].content.startswith("h" * 502) and all(c.content.startswith("h" * 300) and len(c.content) <= 2400 for c in own) and "".join(c.content for c in own).count("Some") >= 170
+
+
+def test_audit_against_blocks_finds_faults(spark):
+    table = "| a |\n|---|\n| 1 |"
+    blocks = _blocks(spark, [{"content": "# H", "kind": "heading", "section": "H", "page": 1}, {"content": "one two", "section": "H", "page": 1}], [{"content": table, "kind": "table"}])
+    good, _ = C.chunk(blocks)
+    assert C.audit_chunks(good, blocks=blocks).count() == 0
+
+    def rules(**changes):
+        return {r.rule for r in C.audit_chunks(good.withColumns({k: F.expr(v) for k, v in changes.items()}), blocks=blocks).collect()} - {"character_count"}
+
+    assert rules(page_index="2") == {"page_crossing"} and rules(section="'X'") == {"section"}
+    assert rules(content="replace(content, '# H', '# G')") == {"heading"} and rules(content="replace(content, 'one two', 'two one')") == {"not_lossless"}
+    assert rules(content="replace(content, '|---|', '')") == {"table_head"}
 
 
 def test_audit_finds_faults(spark):

@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docmill import schemas as S
@@ -39,16 +40,25 @@ def test_stream_replay_gives_the_same_corpus(spark, tmp_path):
     stream_ingest(spark, source, root, str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
     first = sorted((r.original_filename, r.version) for r in read_corpus(spark, root)[0].collect())
     assert first == [("a.txt", "0"), ("d.txt", "1")]
+    shas = {r.sha256 for r in read_corpus(spark, root)[0].collect()}
     stream_ingest(spark, source, root, str(tmp_path / "ck2"), "2024-01-01 00:00:00").awaitTermination()  # both files in one batch, numbered 0
-    assert sorted(r.original_filename for r in read_corpus(spark, root)[0].collect())[:1] == ["a.txt"]
+    again = read_corpus(spark, root)
+    assert {r.sha256 for r in again[0].collect()} == shas and {r.content for r in again[1].collect()} == {"one", "two"}
+    # a corpus that cannot be read is no empty corpus
+    (tmp_path / "corpus" / "documents" / "version=0" / "part-bad.parquet").write_bytes(b"no parquet")
+    _received(spark, [("e", "e.txt", b"one")]).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception):
+        stream_ingest(spark, source, root, str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
 
 
 def test_read_received(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"x")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.md").write_bytes(b"nested")
     (tmp_path / "b.exe").write_bytes(b"y" * (S.MAX_FILE_BYTES + 10))
     manifest = spark.createDataFrame([("a.md", "k", 1, "named.md", "text/markdown", None, None, None, None, None)], "path string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.RECEIVED if f.name != "content"))
     got = {r.doc_key: r for r in read_received(spark, str(tmp_path), manifest).collect()}
-    assert got["k"].filename == "named.md" and len(got["b.exe"].content) == S.MAX_FILE_BYTES + 1
+    assert got["k"].filename == "named.md" and (got["x/a.md"].filename, bytes(got["x/a.md"].content)) == ("a.md", b"nested") and len(got["b.exe"].content) == S.MAX_FILE_BYTES + 1
 
 
 def test_delete_and_reconcile(spark):
@@ -79,6 +89,20 @@ def test_exact_top_k_with_ties_threshold_and_deleted(spark):
     assert retrieval.retrieve(chunks.where("false"), docs, spark.createDataFrame(queries, "query_id long, top_k int, embedding array<double>")).count() == 0
 
 
+def test_retrieval_in_many_blocks_and_with_its_guard(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i}", "d", i, [float(x) for x in v], "m", 4) for i, v in enumerate(rng.normal(size=(90, 4)))]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, embedding array<float>, embedding_model string, embedding_dimensions int")
+    queries = chunks.select(F.col("chunk_index").cast("long").alias("query_id"), F.lit(3).alias("top_k"), "embedding", "embedding_model", "embedding_dimensions")
+    docs = spark.createDataFrame([("d",)], "id string")
+    one = sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, 0.2).select("query_id", "rank", "chunk_id").collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    assert sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, 0.2).select("query_id", "rank", "chunk_id").collect())) == one
+    with pytest.raises(ValueError):
+        retrieval.retrieve(chunks, docs, queries.withColumn("embedding_model", F.lit("other")))
+
+
 def test_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [float("inf"), 1.0]), (7, [None, 1.0])]
     df = spark.createDataFrame(rows, "i int, v array<float>")

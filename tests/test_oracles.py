@@ -1,9 +1,11 @@
 """Every registered query with SQL, side by side with DuckDB on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -26,7 +28,7 @@ def plain(df: pd.DataFrame) -> list:
     def one(v):
         if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)):
             return ""
-        return str(v)[:10] if hasattr(v, "year") else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return str(v)[:10] if hasattr(v, "year") else str(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     cols = sorted(df.columns)
     return sorted(tuple(one(v) for v in row) for row in df[cols].itertuples(index=False))
