@@ -139,6 +139,67 @@ _INGESTED = f"""{_JUDGED}, w AS (
 )"""
 
 
+_SEGMENTED = """SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM (
+  SELECT *, CASE WHEN lag(kind) OVER w IS NULL THEN 0 WHEN section IS NOT DISTINCT FROM lag(section) OVER w AND kind <> 'frontmatter' AND lag(kind) OVER w <> 'frontmatter' THEN 0 ELSE 1 END AS new
+  FROM md WINDOW w AS (PARTITION BY doc_id ORDER BY position))"""
+
+
+def _sentences(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace({x}, '([.!?…])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+def _chunked(*configs: tuple[str, int, int]) -> str:
+    """Greedy packing unit by unit, for configurations (name, target, overlap) with the limit 2400 and the fragment
+    300: ``k(config, doc_id, segment, chunk_index, content, section, tab, overlap)``. Tables fit into a chunk here."""
+    gap, rows = "chr(10) || chr(10)", ", ".join(f"('{name}', {target}, {overlap})" for name, target, overlap in configs)
+    return f"""{_MD}, seg AS ({_SEGMENTED}), headed AS (
+  SELECT *, dense_rank() OVER (ORDER BY doc_id, segment) AS sid, row_number() OVER w AS nth, count(*) OVER (PARTITION BY doc_id, segment) AS blocks,
+    first_value(kind) OVER w AS first_kind, first_value(content) OVER w AS first_content FROM seg WINDOW w AS (PARTITION BY doc_id, segment ORDER BY position)
+), roomed AS (
+  SELECT *, first_kind = 'heading' AND length(first_content) > 300 AS cut, CASE WHEN first_kind = 'heading' THEN substr(first_content, 1, 300) ELSE '' END AS prefix,
+    2400 - CASE WHEN first_kind = 'heading' THEN least(length(first_content), 300) + 2 ELSE 0 END AS room FROM headed
+), place AS (SELECT sid, doc_id, segment, section, first_kind, first_content, cut, prefix, room, blocks FROM roomed WHERE nth = 1
+), body AS (SELECT * FROM roomed WHERE nth > 1 OR first_kind <> 'heading' OR cut
+), pieces AS (
+  SELECT sid, room, position, 0 AS s, 0 AS p, content AS unit, {gap} AS joiner, kind = 'table' AS tab FROM body WHERE length(content) <= room
+  UNION ALL
+  SELECT sid, room, position, s, p, substr(told[s], p * room + 1, room), CASE WHEN p > 0 THEN '' WHEN s > 1 THEN ' ' ELSE {gap} END, false
+  FROM (SELECT *, unnest(range(0, CAST(ceil(length(told[s]) / room) AS BIGINT))) AS p FROM (
+    SELECT *, unnest(range(1, len(told) + 1)) AS s FROM (SELECT sid, room, position, {_sentences('content')} AS told FROM body WHERE length(content) > room)))
+), units AS (SELECT *, length(unit) AS size, row_number() OVER (PARTITION BY sid ORDER BY position, s, p) AS u FROM pieces
+), cfg AS (SELECT * FROM (VALUES {rows}) AS c(config, target, most_overlap)
+), pack(config, target, sid, u, part, size, tab, cont) AS (
+  SELECT config, target, sid, u, CAST(1 AS BIGINT), size, tab, joiner = '' FROM units CROSS JOIN cfg WHERE u = 1
+  UNION ALL
+  SELECT config, target, sid, u, CASE WHEN joins THEN part ELSE part + 1 END, CASE WHEN joins THEN total ELSE own END, own_tab OR (joins AND tab),
+    CASE WHEN joins THEN cont AND NOT (tab OR own_tab) ELSE joiner = '' END
+  FROM (SELECT *, (least(size, own) < 300 AND total <= room) OR (NOT (tab OR own_tab) AND total <= least(target, room)) AS joins FROM (
+    SELECT k.config, k.target, k.sid, x.u, k.part, k.size, k.tab, k.cont, x.joiner, x.room, x.size AS own, x.tab AS own_tab, k.size + length(x.joiner) + x.size AS total
+    FROM pack AS k JOIN units AS x ON x.sid = k.sid AND x.u = k.u + 1))
+), packed AS (
+  SELECT config, sid, part, any_value(room) AS room, string_agg(CASE WHEN u = low THEN '' ELSE joiner END || unit, '' ORDER BY u) AS text, arg_max(size, u) AS size, arg_max(tab, u) AS tab, arg_max(cont, u) AS cont
+  FROM (SELECT k.config, k.sid, k.part, k.u, k.size, k.tab, k.cont, x.joiner, x.unit, x.room, min(k.u) OVER (PARTITION BY k.config, k.sid, k.part) AS low FROM pack AS k JOIN units AS x ON x.sid = k.sid AND x.u = k.u)
+  GROUP BY config, sid, part
+), folded AS (
+  SELECT *, coalesce(part > 1 AND lead(part) OVER w IS NULL AND size < 300 AND lag(size) OVER w + 2 + size <= room, false) AS folds FROM packed WINDOW w AS (PARTITION BY config, sid ORDER BY part)
+), parts AS (
+  SELECT config, sid, CASE WHEN folds THEN part - 1 ELSE part END AS pos, string_agg(CASE WHEN folds AND NOT cont THEN {gap} ELSE '' END || text, '' ORDER BY part) AS text, bool_or(tab) AS tab FROM folded GROUP BY ALL
+), paired AS (
+  SELECT *, lag(text) OVER w AS before, lag(tab) OVER w AS before_tab FROM parts WINDOW w AS (PARTITION BY config, sid ORDER BY pos)
+), tailed AS (
+  SELECT *, CASE WHEN tab OR before_tab OR first_kind = 'frontmatter' THEN NULL ELSE {_sentences('before')} END AS ends, least(most_overlap, room - length(text) - 1) AS most FROM paired JOIN place USING (sid) JOIN cfg USING (config)
+), ended AS (
+  SELECT *, coalesce(nullif(list_filter(list_transform(range(1, len(ends) + 1), lambda j: array_to_string(ends[j:], ' ')), lambda t: length(t) <= most)[1], before), '') AS tail FROM tailed
+), k AS (
+  SELECT config, doc_id, segment, row_number() OVER (PARTITION BY config, doc_id ORDER BY segment, pos) - 1 AS chunk_index, content, CASE WHEN trim(section) <> '' THEN substr(section, 1, 500) END AS section, tab, overlap FROM (
+    SELECT config, doc_id, segment, pos, section, tab, length(tail) AS overlap,
+      CASE WHEN prefix <> '' AND (pos > 1 OR NOT cut) THEN prefix || {gap} ELSE '' END || CASE WHEN tail <> '' THEN tail || ' ' ELSE '' END || text AS content FROM ended
+    UNION ALL SELECT config, doc_id, segment, 1, section, false, 0, first_content FROM place CROSS JOIN cfg WHERE first_kind = 'heading' AND blocks = 1 AND NOT cut))"""
+
+
+_CHUNKS = _chunked(("1800/300", 1800, 300))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "validate_verdicts": f"{_JUDGED} SELECT doc_id, original_filename, mime, clean_title AS title, error_code, {_FIELD} AS error_field FROM j",
@@ -167,11 +228,16 @@ def oracle_sql() -> dict[str, str]:
           f AS (SELECT *, count(*) OVER (PARTITION BY doc_key, trim(lines[1])) AS heads, count(*) OVER (PARTITION BY doc_key, trim(lines[-1])) AS feet FROM l),
           g AS (SELECT *, heads >= 3 AND heads >= total * 0.6 AS head_gone, feet >= 3 AND feet >= total * 0.6 AS foot_gone FROM f)
           SELECT doc_key, CAST(page_index AS BIGINT) AS page_index, md5(array_to_string(lines[(CASE WHEN head_gone THEN 2 ELSE 1 END):(len(lines) - CASE WHEN foot_gone THEN 1 ELSE 0 END)], chr(10))) AS content_md5, head_gone, foot_gone FROM g""",
-        "segments": f"""{_MD} SELECT doc_id, position, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM (
-          SELECT doc_id, position, CASE WHEN lag(kind) OVER w IS NULL THEN 0 WHEN section IS NOT DISTINCT FROM lag(section) OVER w AND kind <> 'frontmatter' AND lag(kind) OVER w <> 'frontmatter' THEN 0 ELSE 1 END AS new
-          FROM md WINDOW w AS (PARTITION BY doc_id ORDER BY position))""",
-        "sentences": """SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (
-          SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?…])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)""",
+        "segments": f"{_MD} SELECT doc_id, position, segment FROM ({_SEGMENTED})",
+        "chunk_pack": f"{_CHUNKS} SELECT doc_id, chunk_index, length(content) AS character_count, section, tab AS contains_table, md5(content) AS content_md5 FROM k",
+        "chunk_overlap": f"{_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(overlap) AS BIGINT) AS overlap, CAST(max(overlap) AS BIGINT) AS most_overlap FROM k GROUP BY doc_id",
+        "chunk_audit": f"""{_CHUNKS}, j AS (SELECT * FROM k JOIN place USING (doc_id, segment))
+          SELECT doc_id, chunk_index, unnest(list_filter([CASE WHEN trim(content) = '' THEN 'blank' END, CASE WHEN length(content) > 2400 THEN 'too_long' END, CASE WHEN overlap > 300 THEN 'overlap' END,
+            CASE WHEN NOT starts_with(content, prefix) THEN 'heading' END, CASE WHEN tab AND NOT regexp_matches(content, '(?m)^[ \\t]*\\|?[ \\t]*:?-{{3,}}') THEN 'table_head' END], lambda r: r IS NOT NULL)) AS rule FROM j
+          UNION ALL SELECT doc_id, NULL, 'index_gap' FROM k GROUP BY doc_id HAVING count(*) <> max(chunk_index) + 1 OR count(DISTINCT chunk_index) <> count(*)""",
+        "chunk_sweep": f"""{_chunked(("1200/200", 1200, 200), ("1800/300", 1800, 300), ("2400/400", 2400, 400))}
+          SELECT config, count(*) AS chunks, CAST(max(length(content)) AS BIGINT) AS longest, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(max(overlap) AS BIGINT) AS most_overlap FROM k GROUP BY config""",
+        "sentences": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
         "hard_cut": """SELECT doc_id, CAST(len(p) AS BIGINT) AS pieces, md5(array_to_string(p, '|')) AS pieces_md5 FROM (
           SELECT doc_id, list_transform(range(0, CAST(ceil(length(text) / 700) AS BIGINT)), lambda i: substr(text, i * 700 + 1, 700)) AS p FROM documents)""",
         "table_split": """WITH RECURSIVE b AS (SELECT doc_id, content, string_split(content, chr(10)) AS l FROM (

@@ -137,7 +137,7 @@ def hard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, _ = chunking.chunk(_markdown(spark, sf_dir))
-    return _doc(chunks.select("doc_key", "chunk_index", "character_count", "section", "contains_table", F.md5(F.col("content").cast("binary")).alias("content_md5")))
+    return _doc(chunks.select("doc_key", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "character_count")), "section", "contains_table", F.md5(F.col("content").cast("binary")).alias("content_md5")))
 
 
 @_query
@@ -149,7 +149,8 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _markdown(spark, sf_dir)
-    return _doc(chunking.audit_chunks(chunking.chunk(blocks)[0], blocks=blocks))
+    told = chunking.audit_chunks(chunking.chunk(blocks)[0], blocks=blocks)
+    return _doc(told.withColumn("chunk_index", F.col("chunk_index").cast("long")))
 
 
 @_query
