@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +23,27 @@ def read_received(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
 
 
 def publish(documents: DataFrame, chunks: DataFrame, root: str, version: str) -> None:
-    """Chunks first, documents last: a reader takes chunks of documents that are there, so a run that
-    breaks off shows nothing. Writing a version again replaces it."""
-    chunks.write.mode("overwrite").parquet(f"{root}/chunks/version={version}")
-    documents.write.mode("overwrite").parquet(f"{root}/documents/version={version}")
+    """Write a version as a new attempt, and a commit row last: until it is there readers see the attempt
+    before or nothing, and a run that breaks off shows nothing. Files of replaced attempts stay for
+    readers that have begun."""
+    attempt = f"a{time.time_ns():020d}"
+    chunks.write.parquet(f"{root}/chunks/version={version}/attempt={attempt}")
+    documents.write.parquet(f"{root}/documents/version={version}/attempt={attempt}")
+    commit = documents.sparkSession.createDataFrame([(version, attempt)], "version string, attempt string")
+    commit.coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
 def read_corpus(spark: SparkSession, root: str, without_version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) of all versions, or all but one; chunks without their document are left out."""
-    documents = spark.read.schema(f"{S.DOCUMENTS_DDL}, version string").parquet(f"{root}/documents")
-    chunks = spark.read.schema(f"{S.CHUNKS_DDL}, version string").parquet(f"{root}/chunks")
+    """(documents, chunks) of all versions, or all but one, in their last committed attempt; chunks without
+    their document are left out."""
+    commits = spark.read.schema("version string, attempt string").parquet(f"{root}/commits")  # listed before what it names
+    last = commits.groupBy("version").agg(F.max("attempt").alias("attempt"))
     if without_version is not None:
-        documents, chunks = (df.where(F.col("version") != without_version) for df in (documents, chunks))
+        last = last.where(F.col("version") != without_version)
+
+    def live(table: str, columns: str) -> DataFrame:
+        rows = spark.read.schema(f"{columns}, version string, attempt string").parquet(f"{root}/{table}")
+        return rows.join(last, ["version", "attempt"], "left_semi").drop("attempt")
+
+    documents, chunks = live("documents", S.DOCUMENTS_DDL), live("chunks", S.CHUNKS_DDL)
     return documents, chunks.join(documents.select(F.col("id").alias("document_id"), "version"), ["document_id", "version"], "left_semi")

@@ -32,6 +32,28 @@ def test_publish_hides_what_is_not_finished(spark, tmp_path):
     assert [r.id for r in read_corpus(spark, str(tmp_path))[1].collect()] == ["c1"]
 
 
+def test_a_replay_shows_the_old_version_or_the_new_one(spark, tmp_path):
+    root = str(tmp_path)
+
+    def version(name):
+        docs = spark.createDataFrame([(name, "indexed", "t", "f", "text/plain", "0" * 64, None, 1, 1, None, None, None, "{}", datetime.datetime(2024, 1, 1))], S.DOCUMENTS_DDL)
+        return docs, spark.createDataFrame([(f"c-{name}", name, 0, "c", 1, None, None, None, None, False, [1.0], "m", 1)], S.CHUNKS_DDL)
+
+    def seen(corpus):
+        return [[r.id for r in df.collect()] for df in corpus]
+
+    publish(*version("old"), root, "0")
+    begun = read_corpus(spark, root)
+    docs, chunks = version("broken")  # an attempt that never commits
+    chunks.write.parquet(f"{root}/chunks/version=0/attempt=a9")
+    docs.write.parquet(f"{root}/documents/version=0/attempt=a9")
+    assert seen(read_corpus(spark, root)) == [["old"], ["c-old"]]
+    publish(*version("new"), root, "0")
+    assert seen(begun) == [["old"], ["c-old"]] and seen(read_corpus(spark, root)) == [["new"], ["c-new"]]
+    publish(*(df.where("false") for df in version("none")), root, "0")  # a replay without rows replaces, too
+    assert seen(read_corpus(spark, root)) == [[], []] and seen(read_corpus(spark, root, without_version="0")) == [[], []]
+
+
 def test_stream_replay_gives_the_same_corpus(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "corpus")
     _received(spark, [("a", "a.txt", b"one"), ("b", "b.txt", b"one")]).coalesce(1).write.parquet(source)
@@ -45,7 +67,8 @@ def test_stream_replay_gives_the_same_corpus(spark, tmp_path):
     again = read_corpus(spark, root)
     assert {r.sha256 for r in again[0].collect()} == shas and {r.content for r in again[1].collect()} == {"one", "two"}
     # a corpus that cannot be read is no empty corpus
-    (tmp_path / "corpus" / "documents" / "version=0" / "part-bad.parquet").write_bytes(b"no parquet")
+    for attempt in (tmp_path / "corpus" / "documents" / "version=0").iterdir():
+        (attempt / "part-bad.parquet").write_bytes(b"no parquet")
     _received(spark, [("e", "e.txt", b"one")]).coalesce(1).write.mode("append").parquet(source)
     with pytest.raises(Exception):
         stream_ingest(spark, source, root, str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
