@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.chat import format_conversations, format_digests
+from docmill.llm.codes import ORACLE_SQL as CODES_SQL
+from docmill.llm.codes import code_report
 from docmill.llm.decontaminate import benchmark_overlaps
+from docmill.llm.divergence import ORACLE_SQL as DIVERGENCE_SQL
+from docmill.llm.divergence import source_divergence
 from docmill.llm.language import language_report
 from docmill.llm.media import media_report
 from docmill.llm.mixing import ORACLE_SQL as MIXING_SQL
@@ -16,6 +20,7 @@ from docmill.llm.mixing import mix_sources
 from docmill.llm.near_dedup import near_duplicate_classes
 from docmill.llm.passages import repeated_passages
 from docmill.llm.secrets import secret_report
+from docmill.llm.sharding import shard_report
 from docmill.llm.toxicity import toxicity_report
 from docmill.llm.urls import judge_urls
 
@@ -67,9 +72,24 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_media_chunks": op10_media_chunks,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_sharding": op12_sharding,
+        "op13_vector_codes": op13_vector_codes,
         "op1_language_id": op1_language_id,
         "op2_url_filter": op2_url_filter,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -83,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": MIXING_SQL}
+    return {"op4_mixing": MIXING_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op13_vector_codes": CODES_SQL}
