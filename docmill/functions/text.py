@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.schemas import WS
@@ -22,6 +22,12 @@ def is_blank(col: Column) -> Column:
     return ~col.rlike(rf"[^{WS}]")
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that what follows reads as they are: a generator of one row stands between, which the
+    optimizer does not write them through again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 

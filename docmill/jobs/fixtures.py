@@ -63,7 +63,7 @@ def corpus_documents_sql(duck: bool) -> str:
       'd_' || CAST(doc_id AS STRING) || '.txt' AS original_filename, CASE WHEN doc_id % 50 = 6 THEN 'image/png' ELSE 'text/plain' END AS mime_type, {sha} AS sha256,
       CAST(CASE WHEN doc_id % 50 = 8 THEN 51 END AS INT) AS page_count, CAST(n_chars AS INT) AS character_count, CAST(doc_id % 4 + 1 AS INT) AS chunks_count,
       source AS source_name, CASE WHEN doc_id % 50 = 10 THEN 'ftp://x' ELSE 'https://example.com' END AS source_url, DATE '2024-01-01' AS published_at,
-      CASE WHEN doc_id % 50 = 12 THEN '[1]' ELSE '{{}}' END AS metadata, TIMESTAMP '2024-01-01 00:00:00' AS created_at
+      CASE doc_id % 50 WHEN 12 THEN '[1]' WHEN 13 THEN '{{bad' ELSE '{{}}' END AS metadata, TIMESTAMP '2024-01-01 00:00:00' AS created_at
     FROM <documents>"""
 
 
@@ -84,8 +84,12 @@ def pages_sql() -> str:
 
 
 def edged_pages_sql() -> str:
-    return f"""SELECT CAST(conv_id AS STRING) AS doc_key, CAST(turn + 1 AS INT) AS page_index,
-      'Report ' || CAST(conv_id AS STRING) || {NL} || text || {NL} || 'page ' || CAST(turn + 1 AS STRING) AS content FROM <conversations>"""
+    """Pages with edges of four kinds: equal lines and page numbers; numbers with their total; Roman numbers, and a foot whose number is no
+    page number; a date that stays, and a foot whose words change."""
+    page, conv, roman = "CAST(turn + 1 AS STRING)", "CAST(conv_id AS STRING)", "CASE turn + 1 WHEN 1 THEN 'i' WHEN 2 THEN 'ii' WHEN 3 THEN 'iii' WHEN 4 THEN 'iv' WHEN 5 THEN 'v' WHEN 6 THEN 'VI' WHEN 7 THEN 'vii' WHEN 8 THEN 'viii' WHEN 9 THEN 'ix' ELSE 'x' END"
+    head = f"CASE conv_id % 4 WHEN 0 THEN 'Report ' || {conv} WHEN 1 THEN 'Report, page ' || {page} WHEN 2 THEN 'Annex ' || {roman} ELSE 'As of 2024-01-05, sheet ' || CAST(turn + 11 AS STRING) END"
+    foot = f"CASE conv_id % 4 WHEN 0 THEN 'page ' || {page} WHEN 1 THEN {page} || '/' || CAST(max(turn) OVER (PARTITION BY conv_id) + 1 AS STRING) WHEN 2 THEN 'Sum ' || CAST(turn * 7 AS STRING) ELSE 'by ' || role END"
+    return f"""SELECT CAST(conv_id AS STRING) AS doc_key, CAST(turn + 1 AS INT) AS page_index, {head} || {NL} || text || {NL} || {foot} AS content FROM <conversations>"""
 
 
 def golden_sql(duck: bool) -> str:

@@ -120,7 +120,7 @@ def _rules(table: str) -> str:
     if table == "d":
         rules = {
             "status_indexed": "status <> 'indexed'", "title_not_blank": "trim(title) = ''", "mime_type_supported": "mime_type NOT IN ('text/markdown', 'text/plain', 'application/pdf')",
-            "page_count_limit": "page_count NOT BETWEEN 1 AND 50", "source_url_http": "NOT regexp_matches(source_url, '^https?://')", "metadata_object": "json_type(metadata) <> 'OBJECT'",
+            "page_count_limit": "page_count NOT BETWEEN 1 AND 50", "source_url_http": "NOT regexp_matches(source_url, '^https?://')", "metadata_object": "CASE WHEN json_valid(metadata) THEN json_type(metadata) <> 'OBJECT' ELSE metadata IS NOT NULL END",
             "character_count_limit": "character_count NOT BETWEEN 1 AND 500000", "chunks_count_positive": "chunks_count <= 0",
         }
         return " UNION ALL ".join(f"SELECT 'documents' AS table_name, id AS row_id, '{n}' AS rule FROM d WHERE {c}" for n, c in rules.items())
@@ -144,6 +144,12 @@ _SEGMENTED = """SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY posit
   FROM md WINDOW w AS (PARTITION BY doc_id ORDER BY position))"""
 
 
+_EDGE_DATE, _EDGE_NUMBER, _EDGE_ROMAN = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b", r"\b[0-9]{1,18}\b", r"\b[ivxlIVXL]+\b"
+_EDGE_TEMPLATE = f"regexp_replace(regexp_replace(regexp_replace(line, '{_EDGE_DATE}', chr(1), 'g'), '{_EDGE_NUMBER}', chr(2), 'g'), '{_EDGE_ROMAN}', chr(3), 'g')"
+#: Roman numerals up to 89 from tens and ones.
+_ROMAN = """SELECT n, list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx'], CAST(n // 10 + 1 AS INT)) || list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], CAST(n % 10 + 1 AS INT)) AS r FROM range(1, 90) AS t(n)"""
+
+
 def _sentences(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '([.!?…])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
@@ -191,10 +197,10 @@ def _chunked(*configs: tuple[str, int, int]) -> str:
 ), ended AS (
   SELECT *, coalesce(nullif(list_filter(list_transform(range(1, len(ends) + 1), lambda j: array_to_string(ends[j:], ' ')), lambda t: length(t) <= most)[1], before), '') AS tail FROM tailed
 ), k AS (
-  SELECT config, doc_id, segment, row_number() OVER (PARTITION BY config, doc_id ORDER BY segment, pos) - 1 AS chunk_index, content, CASE WHEN trim(section) <> '' THEN substr(section, 1, 500) END AS section, tab, overlap FROM (
-    SELECT config, doc_id, segment, pos, section, tab, length(tail) AS overlap,
+  SELECT config, sid, pos, doc_id, segment, row_number() OVER (PARTITION BY config, doc_id ORDER BY segment, pos) - 1 AS chunk_index, content, CASE WHEN trim(section) <> '' THEN substr(section, 1, 500) END AS section, tab, overlap FROM (
+    SELECT config, sid, doc_id, segment, pos, section, tab, length(tail) AS overlap,
       CASE WHEN prefix <> '' AND (pos > 1 OR NOT cut) THEN prefix || {gap} ELSE '' END || CASE WHEN tail <> '' THEN tail || ' ' ELSE '' END || text AS content FROM ended
-    UNION ALL SELECT config, doc_id, segment, 1, section, false, 0, first_content FROM place CROSS JOIN cfg WHERE first_kind = 'heading' AND blocks = 1 AND NOT cut))"""
+    UNION ALL SELECT config, sid, doc_id, segment, 1, section, false, 0, first_content FROM place CROSS JOIN cfg WHERE first_kind = 'heading' AND blocks = 1 AND NOT cut))"""
 
 
 _CHUNKS = _chunked(("1800/300", 1800, 300))
@@ -208,8 +214,9 @@ def oracle_sql() -> dict[str, str]:
         "ingest_blocks": f"""{_INGESTED} SELECT kind, count(*) AS blocks, CAST(sum(length({_strip('content')})) AS BIGINT) AS characters
           FROM (SELECT kind, content FROM md UNION ALL SELECT {_kind('content')}, content FROM plain) GROUP BY kind""",
         "mime_and_hash": f"{_RECEIVED} SELECT doc_id, lower(trim(split_part(mime_type, ';', 1))) AS mime, lower(regexp_extract(filename, '[^.](\\.[^.]*)$', 1)) AS extension, sha256(body) AS sha256 FROM r",
-        "url_check": """SELECT page_id, u AS url, CASE WHEN regexp_matches(u, '^https?://[^/?#:@]+(:[0-9]*)?([/?#]|$)') AND coalesce(try_cast(nullif(regexp_extract(u, '^https?://[^/?#:@]+:([0-9]*)', 1), '') AS INT), 0) <= 65535
-          THEN 'ok' ELSE 'invalid_source_url' END AS verdict FROM (SELECT page_id, unnest([url, replace(url, '://', ':///'), regexp_replace(url, '^(https?://[^/]*)', '\\1:99999')]) AS u FROM pages)""",
+        "url_check": """SELECT page_id, u AS url, CASE WHEN regexp_matches(u, '^https?://([^/?#:@\\[\\]]+|\\[2001:db8::7\\]|\\[v1[.]a\\])(:[0-9]*)?([/?#]|$)') AND coalesce(try_cast(nullif(regexp_extract(u, '^https?://[^/?#:@]+:([0-9]*)', 1), '') AS INT), 0) <= 65535
+          THEN 'ok' ELSE 'invalid_source_url' END AS verdict FROM (SELECT page_id, unnest([url, replace(url, '://', ':///'), regexp_replace(url, '^(https?://[^/]*)', '\\1:99999'),
+            regexp_replace(url, '^(https?://)[^/?#]*', '\\1[1.2.3.4]'), regexp_replace(url, '^(https?://)[^/?#]*', '\\1[abc]'), regexp_replace(url, '^(https?://)[^/?#]*', '\\1[2001:db8::7]'), regexp_replace(url, '^(https?://)[^/?#]*', '\\1[v1.a]')]) AS u FROM pages)""",
         "date_check": f"{_RECEIVED} SELECT doc_id, try_cast(published_at AS DATE) AS published_at, CASE WHEN try_cast(published_at AS DATE) IS NULL THEN 'invalid_published_at' END AS error_code FROM r",
         "metadata_check": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'metadata_reserved_key' WHEN 1 THEN 'invalid_metadata' END AS error_code,
           CASE WHEN event_id % 5 > 1 THEN replace(props, ' ', '') END AS canonical_json FROM events""",
@@ -225,16 +232,32 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN count(*) > 50 OR min(turn) <> 0 OR max(turn) + 1 <> count(*) OR count(DISTINCT turn) <> count(*) THEN 'page_limit_exceeded' WHEN bool_and(trim(coalesce(text, '')) = '') THEN 'no_extractable_text' END AS error_code
           FROM conversations GROUP BY conv_id""",
         "page_edges": f"""WITH p AS ({_D(X.edged_pages_sql())}), l AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') AS lines, count(*) OVER (PARTITION BY doc_key) AS total FROM p),
-          f AS (SELECT *, count(*) OVER (PARTITION BY doc_key, trim(lines[1])) AS heads, count(*) OVER (PARTITION BY doc_key, trim(lines[-1])) AS feet FROM l),
-          g AS (SELECT *, heads >= 3 AND heads >= total * 0.6 AS head_gone, feet >= 3 AND feet >= total * 0.6 AS foot_gone FROM f)
-          SELECT doc_key, CAST(page_index AS BIGINT) AS page_index, md5(array_to_string(lines[(CASE WHEN head_gone THEN 2 ELSE 1 END):(len(lines) - CASE WHEN foot_gone THEN 1 ELSE 0 END)], chr(10))) AS content_md5, head_gone, foot_gone FROM g""",
+          e AS (SELECT doc_key, page_index, total, 'head' AS side, trim(lines[1]) AS line FROM l WHERE len(lines) > 0 UNION ALL SELECT doc_key, page_index, total, 'foot', trim(lines[-1]) FROM l WHERE len(lines) > 1),
+          t AS (SELECT *, {_EDGE_TEMPLATE} AS template, regexp_extract_all(line, '{_EDGE_DATE}|{_EDGE_NUMBER}|{_EDGE_ROMAN}', 0) AS tokens FROM e),
+          v AS (SELECT doc_key, page_index, side, template, nth, tokens[nth] AS token, coalesce(try_cast(tokens[nth] AS BIGINT), (SELECT n FROM roman WHERE r = lower(tokens[nth]))) AS value FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS nth FROM t)),
+          f AS (SELECT doc_key, side, template, bool_and(fixed OR counts) AS steady FROM (SELECT doc_key, side, template, nth, min(token) = max(token) AS fixed, coalesce(count(value) = count(*) AND min(value - page_index) = max(value - page_index), false) AS counts FROM v GROUP BY ALL) GROUP BY ALL),
+          g AS (SELECT doc_key, side, template FROM t LEFT JOIN f USING (doc_key, side, template) WHERE coalesce(steady, true) GROUP BY ALL HAVING count(*) >= 3 AND count(*) >= max(total) * 0.6),
+          told AS (SELECT doc_key, page_index, bool_or(side = 'head') AS head_gone, bool_or(side = 'foot') AS foot_gone FROM t SEMI JOIN g USING (doc_key, side, template) GROUP BY ALL)
+          SELECT doc_key, CAST(page_index AS BIGINT) AS page_index, md5(array_to_string(lines[(CASE WHEN coalesce(head_gone, false) THEN 2 ELSE 1 END):(len(lines) - CASE WHEN coalesce(foot_gone, false) THEN 1 ELSE 0 END)], chr(10))) AS content_md5,
+            coalesce(head_gone, false) AS head_gone, coalesce(foot_gone, false) AS foot_gone FROM l LEFT JOIN told USING (doc_key, page_index)""".replace("FROM roman WHERE", f"FROM ({_ROMAN}) AS roman WHERE"),
         "segments": f"{_MD} SELECT doc_id, position, segment FROM ({_SEGMENTED})",
         "chunk_pack": f"{_CHUNKS} SELECT doc_id, chunk_index, length(content) AS character_count, section, tab AS contains_table, md5(content) AS content_md5 FROM k",
         "chunk_overlap": f"{_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(overlap) AS BIGINT) AS overlap, CAST(max(overlap) AS BIGINT) AS most_overlap FROM k GROUP BY doc_id",
-        "chunk_audit": f"""{_CHUNKS}, j AS (SELECT * FROM k JOIN place USING (doc_id, segment))
-          SELECT doc_id, chunk_index, unnest(list_filter([CASE WHEN trim(content) = '' THEN 'blank' END, CASE WHEN length(content) > 2400 THEN 'too_long' END, CASE WHEN overlap > 300 THEN 'overlap' END,
+        # which block has how many pieces in which chunk; by them what each damage breaks
+        "chunk_audit": f"""{_CHUNKS}, j AS (SELECT * FROM k JOIN place USING (doc_id, segment)), own AS (
+            SELECT sid, position, CASE WHEN folds THEN part - 1 ELSE part END AS pos, count(*) AS n FROM pack JOIN units USING (sid, u) JOIN (SELECT config, sid, part, folds FROM folded) USING (config, sid, part) GROUP BY ALL
+            UNION ALL SELECT sid, position, 1, 1 FROM roomed WHERE nth = 1 AND first_kind = 'heading' AND NOT cut
+          ), cover AS (
+            SELECT doc_id, position, chunk_index, CAST(sum(n) AS BIGINT) AS n, max(chunk_index) OVER (PARTITION BY doc_id) AS last, sum(sum(n)) OVER (PARTITION BY doc_id, position) AS all_n FROM own JOIN k USING (sid, pos) GROUP BY doc_id, position, chunk_index
+          )
+          SELECT 'cut' AS chunks, doc_id, chunk_index, NULL AS position, unnest(list_filter([CASE WHEN trim(content) = '' THEN 'blank' END, CASE WHEN length(content) > 2400 THEN 'too_long' END, CASE WHEN overlap > 300 THEN 'overlap' END,
             CASE WHEN NOT starts_with(content, prefix) THEN 'heading' END, CASE WHEN tab AND NOT regexp_matches(content, '(?m)^[ \\t]*\\|?[ \\t]*:?-{{3,}}') THEN 'table_head' END], lambda r: r IS NOT NULL)) AS rule FROM j
-          UNION ALL SELECT doc_id, NULL, 'index_gap' FROM k GROUP BY doc_id HAVING count(*) <> max(chunk_index) + 1 OR count(DISTINCT chunk_index) <> count(*)""",
+          UNION ALL SELECT 'cut', doc_id, NULL, NULL, 'index_gap' FROM k GROUP BY doc_id HAVING count(*) <> max(chunk_index) + 1 OR count(DISTINCT chunk_index) <> count(*)
+          UNION ALL SELECT 'damaged', doc_id, NULL, position, 'lost_block' FROM md WHERE doc_id % 12 = 1
+          UNION ALL SELECT 'damaged', doc_id, NULL, position, CASE WHEN n = all_n THEN 'lost_block' ELSE 'gap' END FROM cover WHERE doc_id % 12 = 2 AND chunk_index = 0
+          UNION ALL SELECT DISTINCT 'damaged', doc_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'index_gap' FROM k WHERE doc_id % 12 = 2 AND chunk_index > 0
+          UNION ALL SELECT 'damaged', doc_id, NULL, position, 'not_lossless' FROM md WHERE doc_id % 12 = 3 AND contains(content, chr(10) || '| 1 | 2 |')
+          UNION ALL SELECT 'damaged', doc_id, NULL, position, unnest(CASE WHEN n > 1 THEN ['double_cover', 'order'] ELSE ['double_cover'] END) FROM cover WHERE doc_id % 12 = 4 AND chunk_index = last""",
         "chunk_sweep": f"""{_chunked(("1200/200", 1200, 200), ("1800/300", 1800, 300), ("2400/400", 2400, 400))}
           SELECT config, count(*) AS chunks, CAST(max(length(content)) AS BIGINT) AS longest, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(max(overlap) AS BIGINT) AS most_overlap FROM k GROUP BY config""",
         "sentences": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import chunk_id, document_id, strip
 from docmill.jobs import fixtures as X
+from docmill.jobs.ingest import extracted_once
 from docmill.operators import chunking, corpus, evaluation, extraction, retrieval, validation, vectors
+from docmill.sources.scratch import written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -40,8 +42,7 @@ def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def rejection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    validated, bad = validation.validate(X.received(spark, sf_dir))
-    return validation.rejection_summary(bad.unionByName(extraction.extract(validated)[2]))
+    return validation.rejection_summary(extraction.screen(X.received(spark, sf_dir)).where("error_code is not null"))
 
 
 @_query
@@ -52,7 +53,7 @@ def mime_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array("url", F.replace("url", F.lit("://"), F.lit(":///")), F.regexp_replace("url", "^(https?://[^/]*)", "$1:99999"))).alias("url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array("url", F.replace("url", F.lit("://"), F.lit(":///")), F.regexp_replace("url", "^(https?://[^/]*)", "$1:99999"), *(F.regexp_replace("url", "^(https?://)[^/?#]*", f"$1[{host}]") for host in ("1.2.3.4", "abc", "2001:db8::7", "v1.a")))).alias("url"))
     return pages.select("page_id", "url", F.coalesce(validation.source_url_error(F.col("url")), F.lit("ok")).alias("verdict"))
 
 
@@ -146,11 +147,26 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc(chunks.groupBy("doc_key").agg(F.count("*").alias("chunks"), F.sum("overlap_characters").cast("long").alias("overlap"), F.max("overlap_characters").cast("long").alias("most_overlap")))
 
 
+def _damaged(chunks: DataFrame) -> DataFrame:
+    """Faults by the number of the document: no chunks at all, the first one missing, a table row cut out, the last
+    chunk told twice."""
+    m = F.col("doc_key").cast("long") % 12
+    last = F.max("chunk_index").over(Window.partitionBy("doc_key"))
+    some = chunks.where(~((m == 1) | ((m == 2) & (F.col("chunk_index") == 0))))
+    some = some.withColumn("content", F.when(m == 3, F.replace("content", F.lit("\n| 1 | 2 |"), F.lit(""))).otherwise(F.col("content"))).withColumn("character_count", F.length("content"))
+    again = chunks.withColumn("last", last).where((m == 4) & (F.col("chunk_index") == F.col("last"))).withColumn("chunk_index", F.col("last") + 1).drop("last")
+    return some.unionByName(again)
+
+
 @_query
 def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _markdown(spark, sf_dir)
-    told = chunking.audit_chunks(chunking.chunk(blocks)[0], blocks=blocks)
-    return _doc(told.withColumn("chunk_index", F.col("chunk_index").cast("long")))
+    """The chunks as they are cut, and damaged ones."""
+    blocks = written_once(_markdown(spark, sf_dir), "blocks")
+    chunks, rejected = chunking.chunk(blocks)
+    chunks = written_once(chunks, "chunks")
+    cut, damaged = (chunking.audit_chunks(c, blocks=blocks, rejected=rejected) for c in (chunks, _damaged(chunks)))
+    told = cut.withColumn("chunks", F.lit("cut")).unionByName(damaged.withColumn("chunks", F.lit("damaged")))
+    return _doc(told.withColumns({c: F.col(c).cast("long") for c in ("chunk_index", "position")}))
 
 
 @_query
@@ -390,6 +406,6 @@ def citation_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def ingest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From received files to blocks by kind: validation, extraction and dedup in one job."""
-    documents, _, _ = _extracted(spark, sf_dir)
+    documents, _ = extracted_once(X.received(spark, sf_dir))
     blocks = extraction.explode_blocks(corpus.dedup_batch(documents))
     return blocks.groupBy("kind").agg(F.count("*").alias("blocks"), F.sum(F.length(strip(F.col("content")))).alias("characters"))

@@ -2,12 +2,14 @@
 
 Runs of blocks of one page and section are a segment; frontmatter is one of its own. The heading
 line begins the first chunk of its segment and prefixes the others. A block that does not fit is cut
-at sentences, then hard; a table by rows with its two head lines repeated.
+at sentences, then hard; a table by rows with its two head lines repeated. Each chunk tells by spans
+which characters of which blocks it has, and where: what lies outside of them is repeated from elsewhere.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,7 +34,7 @@ class ChunkConfig:
 #: Fixed value: the configurations to compare.
 SWEEP = {"1200/200": ChunkConfig(1200, 2400, 200), "1800/300": ChunkConfig(1800, 2400, 300), "2400/400": ChunkConfig(2400, 2400, 400)}
 
-CHUNK_DDL = "array<struct<segment:int,content:string,page_index:int,page_label:string,section:string,contains_table:boolean,overlap_characters:int,error_code:string>>"
+CHUNK_DDL = "array<struct<segment:int,content:string,page_index:int,page_label:string,section:string,contains_table:boolean,overlap_characters:int,spans:array<struct<at:int,position:int,start:int,length:int>>,error_code:string>>"
 
 
 def segment_blocks(blocks: DataFrame) -> DataFrame:
@@ -54,26 +56,43 @@ def hard_cut(text: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
-def _units(kind: str, text: str, room: int) -> list[tuple[str, str, bool]] | None:
-    """(joiner before it, text, is a table) of one block; None if a table row does not fit."""
+def _sentences(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for gap in re.finditer(SENTENCE_END, text):
+        if gap.start() > at:
+            yield at, gap.start()
+        at = gap.end()
+    if at < len(text):
+        yield at, len(text)
+
+
+def _units(kind: str, text: str, room: int) -> list[tuple[str, str, bool, tuple[int, int, int]]] | None:
+    """(joiner before it, text, is a table, span) of one block; None if a table row does not fit. A span is (place in
+    the unit, place in the block, length)."""
     if len(text) <= room:
-        return [("\n\n", text, kind == "table")]
+        return [("\n\n", text, kind == "table", (0, 0, len(text)))]
     if kind == "table":
         lines = text.split("\n")
         head = "\n".join(lines[:2])
-        out, rows = [], []
-        for row in lines[2:]:
-            if len(head) + 1 + len(row) > room:
+        if len(head) > room:
+            return None
+        out, rows, begin, at = [], [], len(head) + 1, len(head) + 1
+        for row in [*lines[2:], None]:
+            if row is not None and len(head) + 1 + len(row) > room:
                 return None
-            if rows and len(head) + sum(len(r) + 1 for r in rows) + 1 + len(row) > room:
-                out.append("\n".join([head, *rows]))
-                rows = []
-            rows.append(row)
-        return [("\n\n", t, True) for t in [*out, "\n".join([head, *rows])]] if len(head) <= room else None
+            if row is None or (rows and at - begin + len(row) + len(head) + 1 > room):
+                unit = "\n".join([head, *rows])
+                out.append(("\n\n", unit, True, (len(head) + 1, begin, len(unit) - len(head) - 1) if out else (0, 0, len(unit))))
+                rows, begin = [], at
+            if row is not None:
+                rows.append(row)
+                at += len(row) + 1
+        return out
     out, joiner = [], "\n\n"
-    for sentence in (s for s in re.split(SENTENCE_END, text) if s):
-        for i in range(0, len(sentence), room):
-            out.append((joiner if i == 0 else "", sentence[i : i + room], False))
+    for begin, end in _sentences(text):
+        for i in range(begin, end, room):
+            piece = text[i : min(i + room, end)]
+            out.append((joiner if i == begin else "", piece, False, (0, i, len(piece))))
         joiner = " "
     return out
 
@@ -81,52 +100,61 @@ def _units(kind: str, text: str, room: int) -> list[tuple[str, str, bool]] | Non
 def _tail(text: str, most: int) -> str:
     """The longest run of whole sentences at the end, of ``most`` characters at most."""
     tail = ""
-    for s in reversed([s for s in re.split(SENTENCE_END, text) if s]):
-        longer = s if not tail else f"{s} {tail}"
+    for begin, end in reversed([*_sentences(text)]):
+        longer = text[begin:end] if not tail else f"{text[begin:end]} {tail}"
         if len(longer) > most:
             break
         tail = longer
     return "" if tail == text else tail
 
 
-def _pack(blocks: list[dict], config: ChunkConfig) -> tuple[list[tuple[str, bool, int]], str | None]:
-    """Chunks (content, holds a table, characters of overlap) of one segment, or an error."""
+def _pack(blocks: list[dict], config: ChunkConfig) -> tuple[list[tuple[str, bool, int, list[tuple[int, int, int, int]]]], str | None]:
+    """Chunks (content, holds a table, characters of overlap, spans) of one segment, or an error."""
     first = blocks[0]["content"] if blocks[0]["kind"] == "heading" else ""
     heading = first[:LONGEST_PREFIX]
     room = config.most - (len(heading) + 2 if heading else 0)
-    parts: list[list] = []  # text without the prefix, holds a table
+    parts: list[list] = []  # text without the prefix, holds a table, goes on without a joiner, spans
     # a heading that is longer than a prefix is text of the first chunk, and prefixes the others cut
     cut = first != heading
     body = blocks[1:] if first and not cut else blocks
+
+    def join(part: list, joiner: str, text: str, table: bool, spans: list, goes_on: bool) -> list:
+        shift = len(part[0]) + len(joiner)
+        return [part[0] + joiner + text, table, goes_on, part[3] + [(at + shift, *rest) for at, *rest in spans]]
+
     for block in body:
         units = _units(block["kind"], block["content"], room)
         if units is None:
             return [], "indivisible_table_row"
-        for joiner, text, table in units:
+        for joiner, text, table, (at, start, length) in units:
+            spans = [(at, block["position"], start, length)]
             if parts:
                 size = len(parts[-1][0]) + len(joiner) + len(text)
                 small = min(len(parts[-1][0]), len(text)) < config.fragment
                 limit = min(config.target, room)
                 if not (table or parts[-1][1]) and (size <= limit or (small and size <= room)):
-                    parts[-1][0] += joiner + text
+                    parts[-1] = join(parts[-1], joiner, text, False, spans, parts[-1][2])
                     continue
                 if (table or parts[-1][1]) and small and size <= room:
-                    parts[-1] = [parts[-1][0] + joiner + text, True, False]
+                    parts[-1] = join(parts[-1], joiner, text, True, spans, False)
                     continue
-            parts.append([text, table, joiner == ""])
+            parts.append([text, table, joiner == "", spans])
     if len(parts) > 1 and len(parts[-1][0]) < config.fragment and len(parts[-2][0]) + 2 + len(parts[-1][0]) <= room:
-        last = parts.pop()
-        parts[-1] = [parts[-1][0] + ("" if last[2] else "\n\n") + last[0], parts[-1][1] or last[1], parts[-1][2]]
+        text, table, goes_on, spans = parts.pop()
+        parts[-1] = join(parts[-1], "" if goes_on else "\n\n", text, parts[-1][1] or table, spans, parts[-1][2])
+    own = [(0, blocks[0]["position"], 0, len(first))]
     if not parts:
-        return [(first, False, 0)], None
+        return [(first, False, 0, own)], None
     out, front = [], body[0]["kind"] == "frontmatter"
-    for i, (text, table, _) in enumerate(parts):
+    for i, (text, table, _, spans) in enumerate(parts):
         tail = ""
         if i and not table and not parts[i - 1][1] and not front:
             tail = _tail(parts[i - 1][0], min(config.overlap, room - len(text) - 1))
         content = (tail + " " if tail else "") + text
         content = f"{heading}\n\n{content}" if heading and (i or not cut) else content
-        out.append((content, table, len(tail)))
+        shift = len(content) - len(text)
+        spans = [(at + shift, *rest) for at, *rest in spans]
+        out.append((content, table, len(tail), spans if i or cut or not heading else own + spans))
     return out, None
 
 
@@ -145,10 +173,11 @@ def _chunker(config: ChunkConfig):
                 chunks, error = _pack(own, config)
                 place = {"segment": own[0]["segment"], "page_index": own[0]["page_index"], "page_label": own[0]["page_label"]}
                 section = own[0]["section"][:500] if own[0]["section"] and own[0]["section"].strip() else None
-                for content, table, overlap in chunks:
-                    out.append({**place, "content": content, "section": section, "contains_table": table, "overlap_characters": overlap, "error_code": None})
+                for content, table, overlap, spans in chunks:
+                    told = [dict(zip(("at", "position", "start", "length"), s, strict=True)) for s in spans]
+                    out.append({**place, "content": content, "section": section, "contains_table": table, "overlap_characters": overlap, "spans": told, "error_code": None})
                 if error:
-                    out.append({**place, "content": None, "section": section, "contains_table": True, "overlap_characters": 0, "error_code": error})
+                    out.append({**place, "content": None, "section": section, "contains_table": True, "overlap_characters": 0, "spans": [], "error_code": error})
                 start = i
             return out
 
@@ -160,7 +189,11 @@ def _chunker(config: ChunkConfig):
 def chunk(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> tuple[DataFrame, DataFrame]:
     """(chunks, rejected) of ``blocks``: contiguous chunk_index from 0. A document with a table row
     that fits into no chunk is rejected as a whole. One shuffle brings the blocks of a document, at
-    most 500,000 characters, together."""
+    most 500,000 characters, together.
+
+    ``spans`` are the parts ``(at, position, start, length)`` of a chunk: its characters from ``at`` on are those of
+    the block ``position`` from ``start`` on. In all chunks of a document they tell each character of its blocks
+    once, in order, but for white space between sentences and rows."""
     own = segment_blocks(blocks)
     fields = ("position", "segment", "kind", "content", "page_index", "page_label", "section")
     whole = own.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("blocks"))
@@ -168,58 +201,93 @@ def chunk(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> tuple[DataF
     bad = F.exists("chunks", lambda c: c["error_code"].isNotNull())
     rejected = cut.where(bad).select("doc_key", F.lit("chunking").alias("stage"), F.lit("indivisible_table_row").alias("error_code"), F.lit("file").alias("error_field"))
     chunks = cut.where(~bad).select("doc_key", F.posexplode("chunks").alias("chunk_index", "c")).select(
-        "doc_key", "chunk_index", "c.content", F.length("c.content").alias("character_count"), "c.page_index", "c.page_label", "c.section", "c.contains_table", "c.overlap_characters", "c.segment"
+        "doc_key", "chunk_index", "c.content", F.length("c.content").alias("character_count"), "c.page_index", "c.page_label", "c.section", "c.contains_table", "c.overlap_characters", "c.segment", "c.spans"
     )
     return chunks, rejected
 
 
-def audit_chunks(chunks: DataFrame, config: ChunkConfig = ChunkConfig(), blocks: DataFrame | None = None) -> DataFrame:
-    """Violations ``(doc_key, chunk_index, rule)``: blank, too_long, overlap, character_count and index_gap
+def audit_chunks(chunks: DataFrame, config: ChunkConfig = ChunkConfig(), blocks: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """Violations ``(doc_key, chunk_index, position, rule)``: blank, too_long, overlap, character_count and index_gap
     from the chunks alone; with their ``blocks`` also page_crossing, section, heading, table_head and
-    not_lossless (of a segment without tables: what is left without prefix and overlap is its text, in order).
-    All are decided by what the text is, not by what it says."""
+    foreign_text (text that no block, prefix or overlap accounts for) of chunks, and what a sweep over the
+    spans finds in each block (``position``; chunk_index is null): lost_block (no chunk has any of it), gap (some text is in no
+    chunk), double_cover (some is in several), order, not_lossless (a chunk's text is not that of its span), unknown_block
+    and table_head (rows that go on without their head lines). Blocks of documents in ``rejected(doc_key)`` need no chunks.
+    All are decided by what the text is, not by what it says. Null contents break no rule of their own; empty tables have no
+    violations."""
     rules = F.array_compact(
         F.array(
             F.when(F.trim("content") == "", "blank"), F.when(F.length("content") > config.most, "too_long"),
             F.when(F.col("overlap_characters") > config.overlap, "overlap"), F.when(F.col("character_count") != F.length("content"), "character_count"),
         )
     )
-    own = chunks.select("doc_key", "chunk_index", F.explode(rules).alias("rule"))
+    no = F.lit(None).cast("int")
+    own = chunks.select("doc_key", "chunk_index", no.alias("position"), F.explode(rules).alias("rule"))
     places = chunks.groupBy("doc_key").agg(F.count("*").alias("n"), F.max("chunk_index").alias("high"), F.count_distinct("chunk_index").alias("places"))
-    gaps = places.where("n <> high + 1 or places <> n").select("doc_key", F.lit(None).cast("int").alias("chunk_index"), F.lit("index_gap").alias("rule"))
+    gaps = places.where("n <> high + 1 or places <> n").select("doc_key", no.alias("chunk_index"), no.alias("position"), F.lit("index_gap").alias("rule"))
     out = own.unionByName(gaps)
-    return out if blocks is None else out.unionByName(_audit_against(chunks, blocks))
-
+    if blocks is None:
+        return out
+    expected = blocks if rejected is None else blocks.join(rejected.select("doc_key").distinct(), "doc_key", "left_anti")
+    return out.unionByName(_audit_places(chunks, blocks)).unionByName(_audit_cover(chunks, expected))
 
-def _audit_against(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    def bare(text: Column) -> Column:
-        return F.regexp_replace(text, r"\s+", "")
 
-    # the blocks and the chunks of one segment: those of one document, at most
-    parts = segment_blocks(blocks).groupBy("doc_key", "segment").agg(F.array_sort(F.collect_list(F.struct("position", "kind", "content", "page_index", "section"))).alias("parts"))
-    parts = parts.withColumns({"first": F.col("parts")[0], "tables": F.exists("parts", lambda p: p["kind"] == "table")})
-    heading = F.when(F.col("first.kind") == "heading", F.col("first.content"))
-    parts = parts.withColumns({"prefix": F.substring(heading, 1, LONGEST_PREFIX), "cut": F.length(heading) > LONGEST_PREFIX})
-    joined = chunks.join(parts, ["doc_key", "segment"])
+def _audit_places(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What is wrong with chunks as parts of their segment."""
+    heads = segment_blocks(blocks).groupBy("doc_key", "segment").agg(F.min_by(F.struct("page_index", "section", "kind", F.substring("content", 1, LONGEST_PREFIX).alias("line")), "position").alias("first"))
+    joined = chunks.join(heads, ["doc_key", "segment"]).withColumn("prefix", F.when(F.col("first.kind") == "heading", F.col("first.line")))
     section = F.when(F.trim("first.section") != "", F.substring("first.section", 1, 500))
-    by_row = F.array_compact(
+    begin, end = F.get("spans", F.lit(0))["at"], F.element_at("spans", -1)["at"] + F.element_at("spans", -1)["length"]
+    repeated = F.coalesce(F.length("prefix") + 2, F.lit(0)) + F.when(F.col("overlap_characters") > 0, F.col("overlap_characters") + 1).otherwise(0)
+    between = F.transform("spans", lambda s, i: F.coalesce(F.substr("content", F.get("spans", i - 1)["at"] + F.get("spans", i - 1)["length"] + 1, s["at"] - F.get("spans", i - 1)["at"] - F.get("spans", i - 1)["length"]), F.lit("")))
+    foreign = ~begin.isin(0, repeated) | (end != F.length("content")) | F.exists(between, lambda x: x.rlike(r"\S"))
+    rules = F.array_compact(
         F.array(
             F.when(~F.col("page_index").eqNullSafe(F.col("first.page_index")), "page_crossing"), F.when(~F.col("section").eqNullSafe(section), "section"),
             F.when(~F.startswith("content", F.col("prefix")), "heading"),
             F.when(F.col("contains_table") & ~F.col("content").rlike(r"(?m)^[ \t]*\|?[ \t]*:?-{3,}"), "table_head"),
+            F.when(~F.col("contains_table") & foreign, "foreign_text"),
+        )
+    )
+    return joined.select("doc_key", "chunk_index", F.lit(None).cast("int").alias("position"), F.explode(rules).alias("rule"))
+
+
+def _audit_cover(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What a sweep over the spans of each block finds. The spans of a block, with their texts, are about as large as
+    the block."""
+    spans = chunks.select("doc_key", "chunk_index", "content", F.explode("spans").alias("s")).select(
+        "doc_key", F.col("s.position").alias("position"),
+        F.struct(
+            "chunk_index", "s.at", "s.start", "s.length", F.substr("content", F.col("s.at") + 1, F.col("s.length")).alias("text"),
+            F.when(F.col("s.start") > 0, F.substr("content", F.lit(1), F.col("s.at"))).alias("before"),
+        ).alias("span"),
+    )
+    spans = spans.groupBy("doc_key", "position").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    own = blocks.select("doc_key", "position", "kind", F.col("content").alias("source"))
+    both = own.join(spans, ["doc_key", "position"], "full")
+    source, text = F.col("source"), r"\S"
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))))
+    start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("gap"), F.lit(False).alias("twice"))
+    swept = F.aggregate(
+        by_start, start,
+        lambda state, s: F.struct(
+            F.greatest(state["end"], s["start"] + s["length"]).alias("end"),
+            (state["gap"] | ((s["start"] > state["end"]) & F.substr(source, state["end"] + 1, s["start"] - state["end"]).rlike(text))).alias("gap"),
+            (state["twice"] | ((s["start"] < state["end"]) & (s["length"] > 0))).alias("twice"),
+        ),
+    )
+    both = both.withColumn("swept", swept)
+    head = F.concat(F.array_join(F.slice(F.split(source, "\n"), 1, 2), "\n"), F.lit("\n"))
+    rules = F.array_compact(
+        F.array(
+            F.when(source.isNull(), "unknown_block"), F.when(F.col("spans").isNull() & source.rlike(text), "lost_block"),
+            F.when(F.col("swept.gap") | F.substr(source, F.col("swept.end") + 1).rlike(text), "gap"), F.when(F.col("swept.twice"), "double_cover"),
+            F.when(F.exists(F.transform("spans", lambda s, i: s["start"] < F.get("spans", i - 1)["start"]), lambda x: x), "order"),
+            F.when(F.exists("spans", lambda s: s["text"] != F.substr(source, s["start"] + 1, s["length"])), "not_lossless"),
+            F.when((F.col("kind") == "table") & F.exists("spans", lambda s: ~F.endswith(s["before"], head)), "table_head"),
         )
     )
-    rows = joined.select("doc_key", "chunk_index", F.explode(by_row).alias("rule"))
-    nth = F.row_number().over(Window.partitionBy("doc_key", "segment").orderBy("chunk_index"))
-    prefixed = F.col("prefix").isNotNull() & ~(F.col("cut") & (F.col("nth") == 1)) & (F.length("content") > F.length("prefix"))
-    body = F.when(prefixed, F.expr("substring(content, length(prefix) + 3)")).otherwise(F.col("content"))
-    text = F.when(F.col("overlap_characters") > 0, F.expr("substring(body, overlap_characters + 2)")).otherwise(F.col("body"))
-    rebuilt = joined.where(~F.col("tables")).withColumn("nth", nth).withColumn("body", body).withColumn("text", text)
-    rebuilt = rebuilt.groupBy("doc_key", "segment").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("texts"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"), F.first("cut").alias("cut"))
-    alone = (F.size("parts") == 1) | F.col("prefix").isNull() | F.col("cut")  # else the prefix is the first part
-    want = F.array_join(F.transform(F.when(alone, F.col("parts")).otherwise(F.slice("parts", 2, F.size("parts"))), lambda p: p["content"]), "")
-    lost = rebuilt.where(bare(F.array_join(F.transform("texts", lambda t: t["text"]), "")) != bare(want))
-    return rows.unionByName(lost.select("doc_key", F.col("texts")[0]["chunk_index"].alias("chunk_index"), F.lit("not_lossless").alias("rule")))
+    return both.select("doc_key", F.lit(None).cast("int").alias("chunk_index"), F.col("position").cast("int").alias("position"), F.explode(rules).alias("rule"))
 
 
 def chunk_config_sweep(blocks: DataFrame, configs: dict[str, ChunkConfig] = SWEEP) -> DataFrame:

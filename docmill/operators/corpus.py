@@ -82,7 +82,7 @@ def document_rules() -> dict[str, Column]:
             "mime_type_supported": c("mime_type").isin("text/markdown", "text/plain", "application/pdf"), "sha256_format": c("sha256").rlike(r"\A[0-9a-f]{64}\z"),
             "page_count_limit": c("page_count").between(1, 50), "character_count_limit": c("character_count").between(1, 500_000), "chunks_count_positive": c("chunks_count") > 0,
             "source_name_not_blank": _spaces("source_name"), "source_url_http": c("source_url").rlike("(?i)^https?://"),
-            "metadata_object": F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"),
+            "metadata_object": F.when(c("metadata").isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False))),
         }
     )
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill import schemas as S
-from docmill.functions.text import is_blank, strip
-from docmill.operators.validation import quarantine
+from docmill.functions.text import is_blank, settled, strip
+from docmill.operators.validation import content_sha256, judge, published_date, quarantine
 
 # Line patterns of the Markdown subset.
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
@@ -136,6 +136,32 @@ def extract(validated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return documents, explode_blocks(documents), quarantine(judged, "extraction")
 
 
+def screen(received: DataFrame) -> DataFrame:
+    """``received`` judged and extracted in one projection, without a filter or a shuffle: the columns of a document,
+    null where it is rejected, and ``stage``, ``error_code`` and ``error_field``, null where it is not. Nothing of a
+    rejected file is told but its doc_key and arrival_seq."""
+    judged = judge(received).withColumnRenamed("title", "given_title")
+    judged = settled(judged, early_code=F.col("error_code"), early_field=F.col("error_field")).drop("error_code", "error_field")
+    fine = F.col("early_code").isNull()
+    decoded = settled(judged, text=F.when(fine, decode_text(F.col("content"))))
+    late = settled(decoded, late_code=F.when(fine, extract_error(F.col("declared_mime"), F.col("text"))))
+    full = late.withColumn("text", F.when(F.col("late_code").isNull(), F.col("text")))
+    full = settled(full, blocks=blocks_of(F.col("declared_mime"), F.col("text")))
+    titled = settled(full, title=resolve_title(F.col("clean_title"), F.col("original_filename"), F.col("blocks")))
+    bad = fine & F.col("late_code").isNull() & ((F.col("title") == "") | (F.length("title") > S.MAX_TITLE_CHARS))
+    code = F.coalesce("early_code", "late_code", F.when(bad, "invalid_title"))
+    told = titled.withColumn("error_code", code)
+    good = F.col("error_code").isNull()
+    own = {
+        "sha256": content_sha256(F.col("content")), "original_filename": F.col("original_filename"), "mime_type": F.col("declared_mime"), "title": F.col("title"), "content": F.col("text"),
+        "character_count": F.length("text"), "page_count": F.lit(None).cast("int"), "source_name": F.col("clean_source"), "source_url": strip(F.col("source_url")),
+        "published_at": published_date(F.col("published_at")), "metadata": F.col("verdict.canonical_json"), "blocks": F.col("blocks"),
+    }
+    stage = F.when(F.col("early_code").isNotNull(), "validation").when(~good, "extraction")
+    field = F.coalesce("early_field", F.when(~good, "file"))
+    return told.select("doc_key", "arrival_seq", *(F.when(good, c).alias(n) for n, c in own.items()), stage.alias("stage"), "error_code", field.alias("error_field"))
+
+
 def explode_blocks(documents: DataFrame) -> DataFrame:
     """One row for each block; text has a single page without a number."""
     return documents.select("doc_key", F.posexplode("blocks").alias("position", "b")).select(
@@ -174,17 +200,49 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     return told.select("doc_key", "page_count", "character_count", error.alias("error_code"))
 
 
+#: What may vary in an edge: dates, numbers, Roman numerals.
+_EDGE_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b"
+_EDGE_NUMBER, _EDGE_ROMAN = r"\b[0-9]{1,18}\b", r"\b[ivxlIVXL]+\b"
+
+
+def _roman(n: int) -> str:
+    """A Roman numeral under 90."""
+    ones = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][n % 10]
+    return ("xl" if n // 10 == 4 else "l" * (n >= 50) + "x" * (n // 10 % 5)) + ones
+
+
+def edge_template(line: Column) -> Column:
+    """``line`` with a mark for each date, number and Roman numeral."""
+    for mark, pattern in (("\1", _EDGE_DATE), ("\2", _EDGE_NUMBER), ("\3", _EDGE_ROMAN)):
+        line = F.regexp_replace(line, pattern, mark)
+    return line
+
+
 def strip_repeated_edges(pages: DataFrame, min_pages: int = 3, min_share: float = 0.6) -> DataFrame:
     """``pages(doc_key, page_index, content)`` without first and last lines that stand on at least
-    ``min_pages`` pages and ``min_share`` of the pages of a document."""
-    lines = pages.withColumn("lines", F.filter(F.split("content", "\n"), lambda x: ~is_blank(x)))
-    ends = lines.withColumns({"head": strip(F.get("lines", F.lit(0))), "foot": strip(F.element_at(F.when(F.size("lines") > 1, F.col("lines")), -1))})
-    total = ends.groupBy("doc_key").agg(F.count("*").alias("total"))
-    for side in ("head", "foot"):
-        often = ends.where(F.col(side).isNotNull()).groupBy("doc_key", side).agg(F.count("*").alias("times")).join(total, "doc_key")
-        often = often.where((F.col("times") >= min_pages) & (F.col("times") >= F.col("total") * min_share)).select("doc_key", side, F.lit(True).alias(f"{side}_gone"))
-        ends = ends.join(often, ["doc_key", side], "left")
+    ``min_pages`` pages and ``min_share`` of the pages of a document: ``(doc_key, page_index, content, head_gone, foot_gone)``.
+
+    Lines are the same if they differ in dates, numbers and Roman numerals alone, and each of these is either the same on
+    all of them or counts the pages (its distance to page_index is the same). A line whose number does something else stays, and so do all
+    lines between the first and the last. Null contents are empty pages; repeated page numbers are pages each.
+    """
+    rows = pages.withColumn("lines", F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: ~is_blank(x)))
+    head, foot = F.get("lines", F.lit(0)), F.element_at(F.when(F.size("lines") > 1, F.col("lines")), -1)
+    ends = rows.select("doc_key", "page_index", F.explode(F.array(*(F.struct(F.lit(n).alias("side"), strip(x).alias("line")) for n, x in (("head", head), ("foot", foot))))).alias("e"))
+    ends = ends.select("doc_key", "page_index", "e.side", "e.line").where("line is not null").withColumn("template", edge_template(F.col("line")))
+    numerals = F.create_map(*[F.lit(x) for n in range(1, 90) for x in (_roman(n), n)])
+    place = ["doc_key", "side", "template"]
+    tokens = ends.select(*place, "page_index", F.posexplode(F.regexp_extract_all("line", F.lit(f"({_EDGE_DATE}|{_EDGE_NUMBER}|{_EDGE_ROMAN})"), F.lit(1))).alias("at", "token"))
+    off = F.coalesce(F.col("token").try_cast("bigint"), numerals[F.lower("token")].cast("long")) - F.col("page_index")
+    counts = (F.count("off") == F.count("*")) & (F.min("off") == F.max("off"))
+    steady = tokens.withColumn("off", off).groupBy(*place, "at").agg(((F.min("token") == F.max("token")) | F.coalesce(counts, F.lit(False))).alias("steady"))
+    loose = steady.groupBy(*place).agg(F.bool_and("steady").alias("steady")).where("not steady")
+    total = pages.groupBy("doc_key").agg(F.count("*").alias("total"))
+    often = ends.groupBy(*place).agg(F.count("*").alias("times")).join(loose, place, "left_anti").join(total, "doc_key")
+    often = often.where((F.col("times") >= min_pages) & (F.col("times") >= F.col("total") * min_share))
+    gone = ends.join(often.select(*place), place, "left_semi").groupBy("doc_key", "page_index").agg(*(F.bool_or(F.col("side") == n).alias(f"{n}_gone") for n in ("head", "foot")))
+    told = rows.join(gone, ["doc_key", "page_index"], "left").withColumns({f"{n}_gone": F.coalesce(f"{n}_gone", F.lit(False)) for n in ("head", "foot")})
     first = F.when(F.col("head_gone"), 2).otherwise(1)
     count = F.size("lines") - first + 1 - F.when(F.col("foot_gone"), 1).otherwise(0)
     kept = F.slice("lines", first, F.greatest(count, F.lit(0)))
-    return ends.select("doc_key", "page_index", F.array_join(kept, "\n").alias("content"), (F.coalesce("head_gone", F.lit(False))).alias("head_gone"), (F.coalesce("foot_gone", F.lit(False))).alias("foot_gone"))
+    return told.select("doc_key", "page_index", F.array_join(kept, "\n").alias("content"), "head_gone", "foot_gone")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,10 +12,16 @@ from pyspark.sql import functions as F
 
 from docmill import schemas as S
 from docmill.functions.text import strip
-from docmill.operators.vectors import assert_single_index
+from docmill.operators.vectors import assert_single_index, vector_error
 
 #: Queries and chunks meet in blocks of about so many: 4096 x 768 doubles are 25 MB.
 QUERY_BLOCK = CHUNK_BLOCK = 4096
+#: Chunks that stand for the places around them, at most (12 MB of 768 floats); rings around each of them, at most.
+PIVOTS, RINGS = 4096, 32
+#: Bounds are taken to be larger by this, for what rounding may do to them.
+_SLACK = 1e-6
+#: Products of unit vectors differ by less than this for any order of summing; pairs that are multiplied at once.
+_EQUAL, _PAIRS = 1e-9, 1 << 16
 
 
 def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,8 +39,13 @@ HITS = "query_id long, chunk_id string, document_id string, chunk_index int, raw
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, np.nan, norm)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row. In a matrix product the last bits of a value depend on the rows around it; here equal vectors have equal
+    values in all tasks, so that ties are ties."""
+    return (a * b).sum(axis=1)
 
 
 def _scorer(threshold: float):
@@ -39,10 +53,13 @@ def _scorer(threshold: float):
         if not len(queries) or not len(chunks):
             kinds = {"query_id": "int64", "chunk_id": object, "document_id": object, "chunk_index": "int32", "raw": "float64"}
             return pd.DataFrame({n: pd.Series(dtype=k) for n, k in kinds.items()})
-        sims = _unit(queries["asked"]) @ _unit(chunks["embedding"]).T
-        q, c = np.nonzero(sims >= threshold)
+        asked, units, least = _unit(queries["asked"]), _unit(chunks["embedding"]), np.maximum(queries["least"].to_numpy(), threshold)
+        q, c = np.nonzero(asked @ units.T >= least[:, None] - _EQUAL)
+        raw = np.concatenate([_products(asked[q[i : i + _PAIRS]], units[c[i : i + _PAIRS]]) for i in range(0, max(len(q), 1), _PAIRS)])
+        good = raw >= least[q]
+        q, c, raw = q[good], c[good], raw[good]
         own = chunks.iloc[c]
-        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": sims[q, c]})
+        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": raw})
         out["k"] = queries["top_k"].to_numpy()[q]
         out = out.sort_values(["query_id", "raw", "document_id", "chunk_index", "chunk_id"], ascending=[True, False, True, True, True])
         return out[out.groupby("query_id").cumcount() < out["k"]].drop(columns="k")  # no more of a block can be in the top k
@@ -50,11 +67,152 @@ def _scorer(threshold: float):
     return score
 
 
-def _in_blocks(df: DataFrame, key: str, size: int, other: int, names: tuple[str, str]) -> DataFrame:
-    """Rows dealt to blocks of about ``size``, each once for every block of the other side."""
-    blocks = max(-(-df.count() // size), 1)
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(names[0])
-    return df.select("*", own, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+@dataclass(frozen=True)
+class Rings:
+    """Chunks lie around the pivot that is nearest to them, in rings of about CHUNK_BLOCK chunks; a ring that has
+    more is cut into parts by hash. ``edges`` (pivots x rings + 1) are the angles between rings, ``parts`` the number
+    of parts of each ring (0: there is no such ring), ``groups`` and ``begins`` the groups of queries of a pivot."""
+
+    pivots: np.ndarray
+    edges: np.ndarray
+    parts: np.ndarray
+    groups: np.ndarray
+    begins: np.ndarray
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pivot of each row, the first of equally near ones, and the angle to it."""
+        sims = unit @ self.pivots.T
+        at, least = sims.argmax(1), sims.max(1) - _EQUAL
+        for row in np.flatnonzero((sims >= least[:, None]).sum(1) > 1):
+            some = np.flatnonzero(sims[row] >= least[row])
+            at[row] = some[_products(unit[[row] * len(some)], self.pivots[some]).argmax()]
+        return at, np.arccos(np.clip(_products(unit, self.pivots[at]), -1, 1))
+
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """What the cosine with a chunk of each ring is at most (rows x pivots x rings), by the triangle inequality of angles."""
+        angles = np.arccos(np.clip(unit @ self.pivots.T, -1, 1))[:, :, None]
+        least = np.maximum(np.maximum(angles - self.edges[None, :, 1:], self.edges[None, :, :-1] - angles), 0)
+        return np.where(self.parts[None] > 0, np.cos(np.minimum(least, np.pi)) + _SLACK, -2.0)
+
+
+def _ringed(rows: DataFrame, column: str, rings: Rings, schema: str) -> DataFrame:
+    """``rows`` with their ``pivot`` and ``angle``."""
+    sent = rows.sparkSession.sparkContext.broadcast(rings)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                batch["pivot"], batch["angle"] = sent.value.nearest(_unit(batch[column]))
+                yield batch
+
+    return rows.mapInPandas(place, f"{schema}, pivot int, angle double")
+
+
+def _rings(live: DataFrame, asked: DataFrame, total: int) -> Rings:
+    """Pivots are the chunks with the smallest hashes; the driver gets them, and for each the quantiles of the angles
+    around it and its number of queries."""
+    rows = live.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max(2 * total // CHUNK_BLOCK, 2), PIVOTS)).collect()
+    pivots = _unit(pd.Series([r.embedding for r in rows]))
+    rings = Rings(pivots, np.zeros((len(pivots), 2)), np.zeros((len(pivots), 1), np.int64), np.zeros(0), np.zeros(0))
+    steps = [i / RINGS for i in range(RINGS + 1)]
+    own = _ringed(live.select("embedding"), "embedding", rings, "embedding array<float>").groupBy("pivot")
+    told = own.agg(F.count("*").alias("n"), F.percentile_approx("angle", steps, 1000).alias("q"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
+    edges, parts = np.zeros((len(pivots), RINGS + 1)), np.zeros((len(pivots), RINGS), np.int64)
+    for r in told:
+        size = min(-(-r.n // CHUNK_BLOCK), RINGS)
+        cuts = [r.low, *(r.q[i * RINGS // size] for i in range(1, size)), r.high]
+        edges[r.pivot] = np.maximum.accumulate(np.pad(cuts, (0, RINGS - size), constant_values=r.high))
+        parts[r.pivot, :size] = -(-r.n // (size * CHUNK_BLOCK))
+    # pivots that lie near each other share groups of queries, so that a group needs few rings
+    asks = {r.pivot: r.n for r in _ringed(asked.select("asked"), "asked", rings, "asked array<double>").groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    sims, order, left = pivots @ pivots.T, [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, sims[order[-1]], -2).argmax()))
+        left[order[-1]] = False
+    groups, begins, at, room = np.ones(len(pivots), np.int64), np.zeros(len(pivots), np.int64), 0, QUERY_BLOCK
+    for p in order:
+        n = asks.get(p, 0)
+        if n > room:
+            at, room = at + 1, QUERY_BLOCK
+        begins[p], groups[p] = at, max(-(-n // QUERY_BLOCK), 1)
+        at, room = at + groups[p] - 1, room - n if groups[p] == 1 else 0
+    return Rings(pivots, edges, parts, groups, begins)
+
+
+def _routed(asked: DataFrame, rings: Rings, threshold: float) -> DataFrame:
+    """A row for each query and ring that may have a chunk over the threshold: ``(query_id, top_k, asked, least, q, pivot, ring,
+    bound, first)``; first is the ring with the largest bound."""
+    sent = asked.sparkSession.sparkContext.broadcast(rings)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rings = sent.value
+        step = max((1 << 22) // rings.parts.size, 1)
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.iloc[at : at + step].reset_index(drop=True)
+                unit = _unit(batch["asked"])
+                pivot, _ = rings.nearest(unit)
+                bounds = rings.bounds(unit)
+                best = bounds.reshape(len(batch), -1).argmax(1)
+                row, p, ring = np.nonzero(bounds >= threshold)
+                out = batch.iloc[row].copy()
+                spread = pd.util.hash_array(out["query_id"].to_numpy(np.int64)).astype(np.uint64) % rings.groups[pivot[row]].astype(np.uint64)
+                out["q"] = rings.begins[pivot[row]] + spread.astype(np.int64)
+                out["pivot"], out["ring"], out["bound"], out["first"] = p, ring, bounds[row, p, ring], best[row] == p * bounds.shape[2] + ring
+                yield out
+
+    return asked.mapInPandas(route, "query_id long, top_k int, asked array<double>, least double, q long, pivot int, ring int, bound double, first boolean")
+
+
+def _scored(routed: DataFrame, placed: DataFrame, rings: Rings, threshold: float) -> DataFrame:
+    """Hits of the pairs of a group of queries and a part of a ring that ``routed`` names; others do not move."""
+    spark = routed.sparkSession
+    at = [(int(p), int(r), int(rings.parts[p, r])) for p, r in zip(*np.nonzero(rings.parts), strict=True)]
+    parts = F.broadcast(spark.createDataFrame(at, "pivot int, ring int, parts int"))  # PIVOTS x RINGS rows at most
+    pairs = routed.select("pivot", "ring", F.col("q").alias("group")).distinct()
+    chunks = placed.join(parts, ["pivot", "ring"]).withColumn("part", F.expr("cast(pmod(xxhash64(chunk_id), parts) as int)")).drop("parts").join(pairs, ["pivot", "ring"])
+    asked = routed.join(parts, ["pivot", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asked.select("query_id", "top_k", "asked", "least", "pivot", "ring", "part", "q")
+    chunks = chunks.select("chunk_id", "document_id", "chunk_index", "embedding", "pivot", "ring", "part", F.col("group").alias("q"))
+    keys = ("pivot", "ring", "part", "q")
+    return asked.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(_scorer(threshold), HITS)
+
+
+def _placed(live: DataFrame, rings: Rings) -> DataFrame:
+    """Chunks with their pivot and ring."""
+    own = _ringed(live, "embedding", rings, "chunk_id string, document_id string, chunk_index int, embedding array<float>")
+    sent = live.sparkSession.sparkContext.broadcast(rings)
+
+    @F.pandas_udf("int")
+    def ring_of(pivots: pd.Series, angles: pd.Series) -> pd.Series:
+        # an angle that is an edge of several rings belongs to the first one
+        inner = np.where(np.arange(1, sent.value.parts.shape[1])[None] < (sent.value.parts > 0).sum(1)[:, None], sent.value.edges[:, 1:-1], np.inf)
+        return pd.Series((angles.to_numpy()[:, None] > inner[pivots.to_numpy()]).sum(1))
+
+    return own.withColumn("ring", ring_of("pivot", "angle"))
+
+
+def searchable(chunks: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks with a vector that can be searched, ``(chunk_id, error)`` of the others): those wait for a vector,
+    or have one of another length, with a value that is no finite number, or without direction."""
+    error = vector_error(F.col("embedding"), dimensions)
+    return chunks.where(error.isNull()), chunks.select("chunk_id", error.alias("error")).where("error is not null")
+
+
+def _hits_of(live: DataFrame, asked: DataFrame, threshold: float, total: int, queries: int) -> DataFrame:
+    if total <= CHUNK_BLOCK and queries <= QUERY_BLOCK:  # one block of each
+        one = [df.withColumn("block", F.lit(0)).groupBy("block") for df in (asked, live)]
+        return one[0].cogroup(one[1]).applyInPandas(_scorer(threshold), HITS)
+    rings = _rings(live, asked, total)
+    routed, placed = _routed(asked, rings, threshold), _placed(live, rings)
+    near = _scored(routed.where("first"), placed, rings, threshold)
+    # with top_k hits in its first ring, a query needs no ring whose bound lies under the last of them
+    last = near.groupBy("query_id").agg(F.sort_array(F.collect_list("raw"), False).alias("raws"))
+    known = last.select("query_id", "raws")
+    rest = routed.where("not first").join(known, "query_id", "left").withColumn("least", F.coalesce(F.get("raws", F.col("top_k") - 1) - _EQUAL, F.col("least")))
+    rest = rest.where(F.col("bound") >= F.col("least")).drop("raws")
+    return near.unionByName(_scored(rest, placed, rings, threshold))
 
 
 def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
@@ -62,18 +220,28 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
     documents that are indexed now, those with a cosine of the threshold or more, the top_k best;
     ties by document, place and chunk. Rank is by the raw value; similarity has four decimals.
 
-    Queries and chunks meet in blocks: a task has one block of each, whatever their number, and
-    nothing passes through the driver. Only the best of each pair of blocks are in the last ranking.
-    If both sides name their model and dimension, a mixture of them is an error.
+    The search is exact. Chunks lie in rings around pivots, and a query is sent to those rings alone whose angles
+    allow for a chunk over the threshold, and over its k-th best hit in the ring that it begins with.
+    Groups of queries and parts of rings meet in tasks of a bounded size, and nothing but pivots and counts
+    passes through the driver. Only the best of each meeting are in the last ranking.
+
+    Chunks without a vector, or with one that cannot be searched (see ``searchable``), are left out; queries
+    without such a vector, or without a top_k, have no hits. If both sides name their model and dimension, a mixture
+    of them is an error, and so are queries of several lengths. Repeated chunks are chunks each, repeated query_ids are an error of the
+    caller. Empty tables have no hits.
     """
     index = {"embedding_model", "embedding_dimensions"}
     if index <= set(chunks.columns) and index <= set(queries.columns):
-        assert_single_index(chunks, queries)
+        assert_single_index(chunks.where("embedding is not null"), queries.where("embedding is not null"))
+    asked = queries.select("query_id", "top_k", F.col("embedding").cast("array<double>").alias("asked"), F.lit(threshold).cast("double").alias("least"))
+    size = F.size("asked")
+    count, low, high = asked.where("asked is not null").agg(F.count("*"), F.min(size), F.max(size)).first()
+    if count and low != high:
+        raise ValueError(f"queries have vectors of {low} to {high} values")
+    asked = asked.where(vector_error(F.col("asked"), high or 0).isNull() & (F.col("top_k") > 0))
     live = chunks.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
-    live, asked = live.select("chunk_id", "document_id", "chunk_index", "embedding"), queries.select("query_id", "top_k", F.col("embedding").alias("asked"))
-    own = _in_blocks(asked, "query_id", QUERY_BLOCK, max(-(-live.count() // CHUNK_BLOCK), 1), ("q", "c"))
-    others = _in_blocks(live, "chunk_id", CHUNK_BLOCK, max(-(-asked.count() // QUERY_BLOCK), 1), ("c", "q"))
-    hits = own.groupBy("q", "c").cogroup(others.groupBy("q", "c")).applyInPandas(_scorer(threshold), HITS)
+    live = searchable(live.select("chunk_id", "document_id", "chunk_index", F.col("embedding").cast("array<float>").alias("embedding")), high or 0)[0]
+    hits = _hits_of(live, asked, threshold, live.count() if count else 0, count)
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "document_id", "chunk_index", "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= S.TOP_K_MAX)
     return ranked.join(queries.select("query_id", "top_k"), "query_id").where("rank <= top_k").select(
@@ -81,6 +249,17 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
     )
 
 
+def skipped_pairs(chunks: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> tuple[int, int]:
+    """(pairs of a group of queries and a part of a ring that the threshold alone skips, all pairs), of vectors that can be searched."""
+    asked = queries.select("query_id", "top_k", F.col("embedding").cast("array<double>").alias("asked"), F.lit(threshold).alias("least"))
+    live = chunks.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    rings = _rings(live, asked, live.count())
+    need = {(r.pivot, r.ring, r.q) for r in _routed(asked, rings, threshold).select("pivot", "ring", "q").distinct().collect()}
+    groups = int((rings.begins + rings.groups).max())
+    every = int(rings.parts.sum()) * groups
+    return every - sum(int(rings.parts[p, r]) for p, r, _ in need), every
+
+
 def gate_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Queries with their number of hits and ``insufficient_context`` where there is none."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("hits"))

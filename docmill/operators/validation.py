@@ -38,12 +38,14 @@ def normalized_mime(mime: Column) -> Column:
     return F.lower(strip(F.substring_index(mime, ";", 1)))
 
 
-def file_type_error(display: Column, mime: Column, content: Column) -> Column:
+def file_type_error(display: Column, mime: Column, content: Column, length: Column | None = None) -> Column:
+    """``length`` is that of the file where its content was not read."""
     expected = F.coalesce(*[F.when(extension(display) == e, m) for e, m in S.EXTENSIONS.items()])
-    declared, size = normalized_mime(mime), F.octet_length(content)
+    declared, size = normalized_mime(mime), F.octet_length(content).cast("long")
+    size = size if length is None else F.coalesce(size, length)
     pdf = declared == "application/pdf"
     return (
-        F.when(content.isNull(), "unsafe_file_content")
+        F.when(content.isNull() & (size.isNull() | (size <= S.MAX_FILE_BYTES)), "unsafe_file_content")
         .when(size == 0, "empty_file")
         .when(size > S.MAX_FILE_BYTES, "file_too_large")
         .when(expected.isNull(), "unsupported_file_extension")
@@ -67,12 +69,27 @@ def optional_text_error(stripped: Column, most: int, code: str) -> Column:
     return F.when((stripped == "") | (F.length(stripped) > most) | stripped.rlike(CONTROL), code)
 
 
-_URL = r"(?i)\Ahttps?://(?:[^/?#]*@)?(?:\[[^\]/?#]+\]|[^:/?#@\[\]]+)(?::[0-9]*)?(?:[/?#]|\z)"
+def _ipv6() -> str:
+    """An address of eight groups, of which one run of zeros may be left out, its last two as an IPv4 one."""
+    group, byte = "[0-9a-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    tail = rf"(?:{group}:{group}|{byte}(?:\.{byte}){{3}})"
+    whole = [f"(?:{group}:){{6}}{tail}"]
+    for before in range(8):  # groups before the run that is left out
+        some = f"(?:{group}(?::{group}){{0,{before - 1}}})?" if before else ""
+        if before <= 5:
+            whole += [f"{some}::(?:{group}:){{0,{5 - before}}}{tail}"] if before < 5 else [f"{some}::{tail}"]
+        whole.append(f"{some}::" + (f"(?:{group})?" if before < 7 else ""))
+    return rf"(?:{'|'.join(whole)})(?:%[^\]/?#%]+)?"
+
+
+_BRACKETS = rf"\[(?:{_ipv6()}|v[0-9a-f]+\.[^\]/?#]+)\]"
+_URL = rf"(?i)\Ahttps?://(?:[^/?#]*@)?(?:{_BRACKETS}|[^:/?#@\[\]]+)(?::[0-9]*)?(?:[/?#]|\z)"
 _PORT = r"(?i)\Ahttps?://(?:[^/?#]*@)?(?:\[[^\]/?#]+\]|[^:/?#@\[\]]+):([0-9]*)"
 
 
 def source_url_error(url: Column) -> Column:
-    """An absolute http(s) URL with a host and a possible port. It is never fetched."""
+    """An absolute http(s) URL with a host and a possible port; brackets hold an IPv6 address or one of a future version. It is
+    never fetched. A null URL passes."""
     clean = strip(url)
     port = F.regexp_extract(clean, _PORT, 1)
     good = clean.rlike(_URL) & ~clean.rlike(r"\p{Cc}") & ((port == "") | (F.coalesce(port.try_cast("decimal(38,0)"), F.lit(10**9)) <= 65535))
@@ -166,7 +183,7 @@ def judge(received: DataFrame) -> DataFrame:
     )
     code = F.coalesce(
         filename_error(F.col("original_filename")),
-        file_type_error(F.col("original_filename"), F.col("mime_type"), F.col("content")),
+        file_type_error(F.col("original_filename"), F.col("mime_type"), F.col("content"), F.col("length") if "length" in received.columns else None),
         F.col("verdict.error_code"),
         optional_text_error(F.col("clean_title"), S.MAX_TITLE_CHARS, "invalid_title"),
         optional_text_error(F.col("clean_source"), S.MAX_SOURCE_NAME_CHARS, "invalid_source_name"),

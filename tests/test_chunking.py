@@ -100,11 +100,48 @@ def test_audit_against_blocks_finds_faults(spark):
         return {r.rule for r in C.audit_chunks(good.withColumns({k: F.expr(v) for k, v in changes.items()}), blocks=blocks).collect()} - {"character_count"}
 
     assert rules(page_index="2") == {"page_crossing"} and rules(section="'X'") == {"section"}
-    assert rules(content="replace(content, '# H', '# G')") == {"heading"} and rules(content="replace(content, 'one two', 'two one')") == {"not_lossless"}
-    assert rules(content="replace(content, '|---|', '')") == {"table_head"}
+    assert rules(content="replace(content, '# H', '# G')") == {"heading", "not_lossless"} and rules(content="replace(content, 'one two', 'two one')") == {"not_lossless"}
+    assert rules(content="replace(content, '|---|', '')") == {"table_head", "not_lossless"}
+    assert rules(content="concat(content, ' more')") == {"foreign_text"}
 
 
 def test_audit_finds_faults(spark):
     rows = [("a", 0, " ", 1, 0), ("a", 2, "x" * 2401, 2401, 0), ("b", 0, "x", 1, 301)]
     bad = spark.createDataFrame(rows, "doc_key string, chunk_index int, content string, character_count int, overlap_characters int")
     assert {(r.doc_key, r.rule) for r in C.audit_chunks(bad).collect()} == {("a", "blank"), ("a", "too_long"), ("a", "index_gap"), ("b", "overlap")}
+
+
+def test_audit_tells_every_loss(spark):
+    """A segment or a document without chunks, a row cut out of a table, text told twice or in another order."""
+    row = "| " + "v" * 90 + " |"
+    table = "\n".join(["| a |", "|---|", *[f"{row} {i} |" for i in range(60)]])
+    long = " ".join(f"Sentence number {i:04d} says a little more than nothing." for i in range(200))
+    docs = [[{"content": "# A", "kind": "heading", "section": "A"}, {"content": "x", "section": "A"}, {"content": "y", "section": "B"}], [{"content": "alone"}], [{"content": table, "kind": "table"}], [{"content": long}]]
+    blocks = _blocks(spark, *docs)
+    good, _ = C.chunk(blocks)
+    good = good.persist()
+    assert C.audit_chunks(good, blocks=blocks).collect() == []
+
+    def told(chunks, **more):
+        return {(r.doc_key, r.position, r.rule) for r in C.audit_chunks(chunks, blocks=blocks, **more).collect()}
+
+    assert told(good.where("not (doc_key = '0' and segment = 0)")) == {("0", None, "index_gap"), ("0", 0, "lost_block"), ("0", 1, "lost_block")}
+    assert told(good.where("doc_key <> '1'")) == {("1", 0, "lost_block")}
+    assert told(good.where("doc_key <> '1'"), rejected=spark.createDataFrame([("1",)], "doc_key string")) == set()
+    short = "replace(content, ' 3 |\n', ' |\n')"
+    assert told(good.withColumn("content", F.expr(short)).withColumn("character_count", F.length("content"))) == {("2", 0, "not_lossless")}
+    assert told(good.where("not (doc_key = '2' and chunk_index = 1)")) == {("2", None, "index_gap"), ("2", 0, "gap")}
+    headless = good.withColumn("spans", F.expr("case when doc_key = '2' and chunk_index = 1 then transform(spans, s -> named_struct('at', s.at - 12, 'position', s.position, 'start', s.start, 'length', s.length)) else spans end"))
+    headless = headless.withColumn("content", F.expr("case when doc_key = '2' and chunk_index = 1 then substring(content, 13) else content end")).withColumn("character_count", F.length("content"))
+    assert ("2", 0, "table_head") in told(headless)
+    swapped = good.withColumn("chunk_index", F.expr("case when doc_key = '3' and chunk_index < 2 then 1 - chunk_index else chunk_index end"))
+    assert told(swapped) == {("3", 0, "order")}
+    again = good.where("doc_key = '3' and chunk_index = 1").withColumn("chunk_index", F.lit(1000))
+    assert {("3", 0, "double_cover"), ("3", 0, "order")} <= told(good.union(again))
+    assert told(good.withColumn("spans", F.expr("case when doc_key = '1' then transform(spans, s -> named_struct('at', s.at, 'position', 7, 'start', s.start, 'length', s.length)) else spans end"))) == {("1", 0, "lost_block"), ("1", 7, "unknown_block")}
+    good.unpersist()
+
+
+def test_audit_of_empty_tables(spark):
+    blocks = _blocks(spark)
+    assert C.audit_chunks(C.chunk(blocks)[0], blocks=blocks).collect() == []

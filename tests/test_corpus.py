@@ -1,14 +1,18 @@
 """Dedup, publishing, streaming and retrieval on small tables."""
 
 import datetime
+import hashlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docmill import schemas as S
-from docmill.operators import corpus, retrieval, vectors
-from docmill.sources.corpus import publish, read_corpus, read_received
+from docmill.jobs.ingest import extracted_once
+from docmill.operators import corpus, extraction, retrieval, validation, vectors
+from docmill.jobs.ingest import ingest_batch
+from docmill.sources import corpus as tables
+from docmill.sources.corpus import delete_published, index_files, known_documents, publish, read_corpus, read_received, read_rejected
 from docmill.streaming.ingest import stream_ingest
 
 
@@ -17,8 +21,6 @@ def _received(spark, rows):
 
 
 def test_rejected_first_copy_does_not_block(spark):
-    from docmill.jobs.ingest import ingest_batch
-
     rows = _received(spark, [("a", "bad.exe", b"same"), ("b", "ok.txt", b"same"), ("c", "later.txt", b"same"), ("d", "x.txt", b"other")])
     documents, chunks, bad = ingest_batch(rows, spark.createDataFrame([], S.DOCUMENTS_DDL), "2024-01-01 00:00:00")
     assert sorted(r.original_filename for r in documents.collect()) == ["ok.txt", "x.txt"]
@@ -67,8 +69,9 @@ def test_stream_replay_gives_the_same_corpus(spark, tmp_path):
     again = read_corpus(spark, root)
     assert {r.sha256 for r in again[0].collect()} == shas and {r.content for r in again[1].collect()} == {"one", "two"}
     # a corpus that cannot be read is no empty corpus
-    for attempt in (tmp_path / "corpus" / "documents" / "version=0").iterdir():
-        (attempt / "part-bad.parquet").write_bytes(b"no parquet")
+    for table in ("documents", "summaries"):
+        for attempt in (tmp_path / "corpus" / table / "version=0").iterdir():
+            (attempt / "part-bad.parquet").write_bytes(b"no parquet")
     _received(spark, [("e", "e.txt", b"one")]).coalesce(1).write.mode("append").parquet(source)
     with pytest.raises(Exception):
         stream_ingest(spark, source, root, str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
@@ -81,7 +84,136 @@ def test_read_received(spark, tmp_path):
     (tmp_path / "b.exe").write_bytes(b"y" * (S.MAX_FILE_BYTES + 10))
     manifest = spark.createDataFrame([("a.md", "k", 1, "named.md", "text/markdown", None, None, None, None, None)], "path string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.RECEIVED if f.name != "content"))
     got = {r.doc_key: r for r in read_received(spark, str(tmp_path), manifest).collect()}
-    assert got["k"].filename == "named.md" and (got["x/a.md"].filename, bytes(got["x/a.md"].content)) == ("a.md", b"nested") and len(got["b.exe"].content) == S.MAX_FILE_BYTES + 1
+    assert got["k"].filename == "named.md" and (got["x/a.md"].filename, bytes(got["x/a.md"].content)) == ("a.md", b"nested") and (got["b.exe"].content, got["b.exe"].length) == (None, S.MAX_FILE_BYTES + 10)
+
+
+def test_long_files_are_told_but_not_read(spark, tmp_path):
+    """Two folders of the root's own name in one another; a file that Spark could not hold in one value."""
+    root = tmp_path / "in"
+    (root / "in" / "in").mkdir(parents=True)
+    (root / "in" / "in" / "a.txt").write_bytes(b"deep")
+    with open(root / "huge.txt", "wb") as f:
+        f.truncate((1 << 31) + 5)  # sparse
+    manifest = spark.createDataFrame([("in/in/a.txt", "k", 1, None, "text/plain", None, None, None, None, None)], "path string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.RECEIVED if f.name != "content"))
+    rows = read_received(spark, str(root), manifest).withColumn("mime_type", F.lit("text/plain"))
+    assert {(r.doc_key, r.filename, r.error_code) for r in validation.judge(rows).collect()} == {("k", "a.txt", None), ("huge.txt", "huge.txt", "file_too_large")}
+    plan = read_received(spark, str(root), manifest)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LessThanOrEqual(length") >= 1 and plan.count("GreaterThan(length") >= 1
+
+
+def _version(spark, names, version):
+    """Documents by the names of their texts, with a chunk each."""
+    when = datetime.datetime(2024, 1, 1)
+    sha = {n: hashlib.sha256(n.encode()).hexdigest() for n in names}
+    docs = spark.createDataFrame([(f"id-{n}", "indexed", "t", f"{n}.txt", "text/plain", sha[n], None, 1, 1, None, None, None, "{}", when) for n in names], S.DOCUMENTS_DDL)
+    return docs, spark.createDataFrame([(f"c-{n}-{version}", f"id-{n}", 0, n, 1, None, None, None, None, False, [1.0, 0.0], "m", 2) for n in names], S.CHUNKS_DDL)
+
+
+def test_deletes_last_and_later_documents_live_again(spark, tmp_path):
+    root = str(tmp_path)
+
+    def alive():
+        documents, chunks = read_corpus(spark, root)
+        return sorted((r.id, r.version) for r in documents.collect()), sorted(r.id for r in chunks.collect())
+
+    def ids(*names):
+        return spark.createDataFrame([(f"id-{n}" if n else None,) for n in names], "id string")
+
+    publish(*_version(spark, ["a", "b", "c"], 0), root, "0")
+    publish(*_version(spark, ["d"], 1), root, "1")
+    lost = delete_published(spark, root, ids("a", "d", "zz", None), "delete-1")
+    assert [r.id for r in lost.collect()] == ["id-zz"] and [r.id for r in lost.collect()] == ["id-zz"]
+    assert alive() == ([("id-b", "0"), ("id-c", "0")], ["c-b-0", "c-c-0"])
+    # the bytes are not known any more, and are ingested again
+    batch = _version(spark, ["a", "b"], 2)[0].select("sha256")
+    assert [r.id for r in known_documents(spark, root, batch).collect()] == ["id-b"]
+    publish(*_version(spark, ["a"], 2), root, "2")
+    now = ([("id-a", "2"), ("id-b", "0"), ("id-c", "0")], ["c-a-2", "c-b-0", "c-c-0"])
+    assert alive() == now
+    # replays of the old version and of the delete change nothing
+    publish(*_version(spark, ["a", "b", "c"], 0), root, "0")
+    delete_published(spark, root, ids("a", "d", "zz"), "delete-1")
+    assert alive() == now and {r.id for r in known_documents(spark, root, batch).collect()} == {"id-a", "id-b"}
+    delete_published(spark, root, ids("a"), "delete-2")
+    assert alive() == ([("id-b", "0"), ("id-c", "0")], ["c-b-0", "c-c-0"])
+    # what is deleted is neither found nor cited
+    documents, chunks = read_corpus(spark, root)
+    asked = spark.createDataFrame([(1, 5, [1.0, 0.0])], "query_id long, top_k int, embedding array<double>")
+    hits = retrieval.retrieve(chunks.withColumnRenamed("id", "chunk_id"), documents, asked)
+    assert sorted(r.chunk_id for r in hits.collect()) == ["c-b-0", "c-c-0"]
+    answers = spark.createDataFrame([(1, "answered", ["c-a-0", "c-a-2", "c-b-0"])], "query_id long, status string, cited_chunk_ids array<string>")
+    valid, invalid = retrieval.check_citations(answers, hits, documents)
+    assert [r.chunk_id for r in valid.collect()] == ["c-b-0"] and sorted(r.chunk_id for r in invalid.collect()) == ["c-a-0", "c-a-2"]
+
+
+def test_a_batch_reads_only_the_files_of_its_hashes(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    monkeypatch.setattr(tables, "RANGE", 40)
+    names = [[f"t{v}-{i}" for i in range(100)] for v in range(4)]
+    batch = _version(spark, ["t0-3", "t1-7", "new", "newer"], "x")[0].select("sha256").unionAll(spark.createDataFrame([(None,)], "sha256 string"))
+    files = []
+    for v, some in enumerate(names):
+        publish(*_version(spark, some, v), root, str(v))
+        files.append(index_files(spark, root, batch))
+    assert len(spark.read.parquet(f"{root}/hashes").inputFiles()) >= 12
+    assert len(files[0]) == 1 and len(files[1]) == 2 and files[1] == files[2] == files[3]  # further versions are not read
+    got = known_documents(spark, root, batch)
+    read = {f.split("/hashes/")[1].rsplit("/", 1)[0] for f in got.inputFiles() if "/hashes/" in f}
+    assert read == {f.split("/hashes/")[1] for f in files[3]}
+
+    def plain(batch, **more):
+        known = read_corpus(spark, root, **more)[0].select("sha256", "id")
+        return sorted(map(tuple, known.join(batch.select("sha256").distinct(), "sha256", "left_semi").collect()))
+
+    everything = read_corpus(spark, root)[0].select("sha256")
+    for asked, more in ((batch, {}), (batch, {"without_version": "1"}), (everything, {}), (everything.where("false"), {})):
+        assert sorted(map(tuple, known_documents(spark, root, asked, **more).collect())) == plain(asked, **more)
+    monkeypatch.setattr(tables, "MOST_PROBES", 2)  # a batch that is too large for the summaries
+    assert sorted(map(tuple, known_documents(spark, root, batch).collect())) == plain(batch)
+
+
+def test_the_stream_keeps_its_rejects(spark, tmp_path):
+    """Rejects of validation, extraction and chunking under the version's commit: each once, after replays, too."""
+    source, root = str(tmp_path / "in"), str(tmp_path / "corpus")
+    table = b"| a |\n|---|\n| " + b"w" * 3000 + b" |"
+    rows = [("a", "a.txt", b"one"), ("b", "b.exe", b"two"), ("c", "c.txt", b" \n "), ("d", "d.txt", b"one"), ("e", "e.txt", table), ("f", "f.txt", b"three"), ("g", "g.txt", b"")]
+    cached = spark.range(3).cache()
+    assert cached.count() == 3
+    for part in (rows[:4], rows[4:]):
+        _received(spark, part).coalesce(1).write.mode("append").parquet(source)
+        stream_ingest(spark, source, root, str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
+    assert cached.is_cached and cached.storageLevel.useMemory  # the stream clears nothing of others
+    cached.unpersist()
+
+    def told():
+        return sorted((r.doc_key, r.stage, r.error_code) for r in read_rejected(spark, root).collect())
+
+    want = [("b", "validation", "unsupported_file_extension"), ("c", "extraction", "empty_extracted_text"), ("e", "chunking", "indivisible_table_row"), ("g", "validation", "empty_file")]
+    assert told() == want
+    published = read_corpus(spark, root)[0].count()
+    assert (published, len(rows)) == (2, published + len(want) + 1)  # d is a copy
+    stream_ingest(spark, source, root, str(tmp_path / "ck2"), "2024-01-01 00:00:00").awaitTermination()  # all in one batch, numbered 0
+    assert sorted({t for t in told()}) == want and read_corpus(spark, root)[0].count() == 2
+    again = ingest_batch(spark.read.schema(S.RECEIVED).parquet(source), lambda h: known_documents(spark, root, h), "2024-01-01 00:00:00")
+    assert again[0].count() == again[1].count() == 0 and again[2].count() == len(want)
+
+
+def test_one_run_of_each_helper(spark, tmp_path):
+    """Validation, extraction and dedup read the files once and run each helper once."""
+    from docmill.jobs import fixtures as X
+    from docmill.operators.extraction import screen
+
+    received = X.received(spark, "/root/testdata/sf0.001")
+    plan = screen(received)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and len(plan) < 40_000
+    assert [plan.count(f"{n}(") for n in ("_markdown_blocks", "_verdicts")] == [1, 1]
+    documents, rejected = extracted_once(received)
+    assert documents.count() + rejected.count() == received.count()
+    validated, bad = validation.validate(received)
+    old, _, worse = extraction.extract(validated)
+    same = ["doc_key", "arrival_seq", "sha256", "original_filename", "mime_type", "title", "content", "character_count", "page_count", "source_name", "source_url", "published_at", "metadata", "blocks"]
+    assert documents.select(same).exceptAll(old.select(same)).count() == 0 and old.count() == documents.count()
+    assert sorted(map(tuple, bad.unionByName(worse).collect())) == sorted(map(tuple, rejected.collect()))
 
 
 def test_delete_and_reconcile(spark):
@@ -121,11 +253,65 @@ def test_retrieval_in_many_blocks_and_with_its_guard(spark, monkeypatch):
     one = sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, 0.2).select("query_id", "rank", "chunk_id").collect()))
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
     monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "RINGS", 2)
     assert sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, 0.2).select("query_id", "rank", "chunk_id").collect())) == one
     with pytest.raises(ValueError):
         retrieval.retrieve(chunks, docs, queries.withColumn("embedding_model", F.lit("other")))
 
 
+CHUNKS = "chunk_id string, document_id string, chunk_index int, embedding array<float>"
+QUERIES = "query_id long, top_k int, embedding array<double>"
+
+
+def _brute(chunks, queries, threshold):
+    """All pairs; ties by document, place and chunk."""
+    good = [r for r in chunks if r[3] and all(x is not None and np.isfinite(x) for x in r[3]) and any(r[3])]
+    unit = np.array([r[3] for r in good], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    out = []
+    for q, k, v in queries:
+        if v is None or not any(v) or not all(map(np.isfinite, v)):
+            continue
+        sims = (unit * (np.array(v) / np.linalg.norm(v))).sum(1)
+        hits = sorted((-round(float(s), 9), r[1], r[2], r[0]) for s, r in zip(sims, good, strict=True) if s >= threshold)
+        out += [(q, n, h[3]) for n, h in enumerate(hits[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("spread", "threshold"), [(0.05, 0.6), (0.4, 0.3), (5.0, 0.1), (0.05, 0.9999999)])
+def test_pruned_search_is_exact(spark, monkeypatch, spread, threshold):
+    """Clustered and scattered vectors, exact copies (ties), vectors that cannot be searched, queries of many neighbours."""
+    for name, value in (("QUERY_BLOCK", 16), ("CHUNK_BLOCK", 25), ("RINGS", 3), ("PIVOTS", 12)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(10, 8))
+    base = centers[rng.integers(0, 10, 400)] + spread * rng.normal(size=(400, 8))
+    base[100:140] = base[99]
+    rows = [(f"c{i:03d}", f"d{i % 7}", i, [float(np.float32(x)) for x in v]) for i, v in enumerate(base)]
+    rows += [("n", "d1", 0, None), ("z", "d1", 1, [0.0] * 8), ("s", "d1", 2, [1.0] * 7), ("x", "d1", 3, [float("nan")] * 8), ("y", "d1", 4, [None] * 8), ("e", "d1", 5, [])]
+    asked = [(i, int(rng.integers(1, 11)), [float(x) for x in base[int(rng.integers(0, 400))] + 0.02 * rng.normal(size=8)]) for i in range(60)]
+    asked += [(100, 5, [float(np.float32(x)) for x in base[99]]), (101, 10, [float(np.float32(x)) for x in base[120]]), (102, 5, None), (103, 5, [0.0] * 8)]
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(7)], "id string")
+    want = _brute([r for r in rows if not r[3] or len(r[3]) == 8], asked, threshold)
+    for parts in (1, 6):
+        chunks, queries = spark.createDataFrame(rows, CHUNKS).repartition(parts), spark.createDataFrame(asked, QUERIES).repartition(parts)
+        got = sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, threshold).select("query_id", "rank", "chunk_id").collect()))
+        assert got == want
+    skipped, every = retrieval.skipped_pairs(chunks.where("size(embedding) = 8 and chunk_id like 'c%'"), queries.where("query_id < 100"), threshold)
+    assert 0 <= skipped < every and (spread > 0.1 or skipped > 0.25 * every)
+
+
+def test_search_over_vectors_that_are_not_there_yet(spark):
+    docs = spark.createDataFrame([("d",)], "id string")
+    rows = [("a", "d", 0, None), ("b", "d", 1, [1.0]), ("c", "d", 2, [0.0, 0.0]), ("e", "d", 3, [3.0, 4.0])]
+    chunks, queries = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([(1, 5, [0.6, 0.8]), (2, None, [0.6, 0.8]), (3, 5, None)], QUERIES)
+    assert [(r.query_id, r.chunk_id, r.similarity) for r in retrieval.retrieve(chunks, docs, queries).collect()] == [(1, "e", 1.0)]
+    assert {(r.chunk_id, r.error) for r in retrieval.searchable(chunks, 2)[1].collect()} == {("a", "wrong_dimension"), ("b", "wrong_dimension"), ("c", "zero_norm")}
+    assert retrieval.retrieve(chunks.where("false"), docs, queries).count() == retrieval.retrieve(chunks, docs, queries.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.retrieve(chunks, docs, spark.createDataFrame([(1, 5, [1.0]), (2, 5, [1.0, 2.0])], QUERIES))
+
+
 def test_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [float("inf"), 1.0]), (7, [None, 1.0])]
     df = spark.createDataFrame(rows, "i int, v array<float>")

@@ -102,7 +102,7 @@ def test_pages(spark):
     told = {r.doc_key: (r.page_count, r.error_code) for r in E.assemble_pages(pages).collect()}
     assert told == {"a": (3, None), "b": (1, "no_extractable_text"), "c": (1, "page_limit_exceeded"), "d": (51, "page_limit_exceeded")}
     kept = {(r.doc_key, r.page_index): r.content for r in E.strip_repeated_edges(pages.where("doc_key = 'a'")).collect()}
-    assert kept == {("a", 1): "x\n1", ("a", 2): "y\n2", ("a", 3): "z\n3"}
+    assert kept == {("a", 1): "x", ("a", 2): "y", ("a", 3): "z"}  # the last lines count the pages
 
 
 @pytest.mark.parametrize("name,want", [("a.md", ".md"), (".md", ""), ("a.tar.MD", ".md"), ("..a.txt", ".txt"), ("a", "")])
@@ -110,3 +110,26 @@ def test_extension(spark, name, want):
     from docmill.operators.validation import extension
 
     assert spark.createDataFrame([(name,)], "n string").select(extension(F.col("n"))).first()[0] == want
+
+
+def test_edges_with_page_counters_go(spark):
+    def stripped(*pages):
+        rows = [("d", i, p) for i, p in enumerate(pages, 1)]
+        got = E.strip_repeated_edges(spark.createDataFrame(rows, "doc_key string, page_index int, content string")).orderBy("page_index").collect()
+        return [r.content for r in got]
+
+    body = ["the same sentence\nfirst", "x\nthe same sentence\ny", "z\nthe same sentence", "last 4"]
+    framed = [f"Report, page {i}\n{b}\n{i}/4" for i, b in enumerate(body, 1)]
+    assert stripped(*framed) == body
+    roman = ["ix", "x", "XI", "xii"]
+    assert stripped(*[f"{r} of 2024-01-05\n{b}\nby {i * 7}" for i, (r, b) in enumerate(zip(roman, body))]) == [f"{b}\nby {i * 7}" for i, b in enumerate(body)]  # 0, 7, 14 is no page number
+    assert stripped(*[f"Chapter {c}\n{b}" for c, b in zip([1, 1, 2, 2], body)]) == [f"Chapter {c}\n{b}" for c, b in zip([1, 1, 2, 2], body)]
+    dated = [f"As of 2024-01-0{i}\nbody {i * i}" for i in range(1, 5)]
+    assert stripped(*dated) == dated  # another date on each page
+    assert stripped("page 1\na", "page 2\nb") == ["page 1\na", "page 2\nb"]  # too few pages
+    assert stripped("p 1\na", "p 2\nb", "p 3\nc", None, "") == ["a", "b", "c", "", ""]
+    assert stripped("p 1\na", "other\nb", "p 3\nc", "p 4\nd") == ["a", "other\nb", "c", "d"]  # three of four, each with its own number
+
+
+def test_edges_of_no_pages(spark):
+    assert E.strip_repeated_edges(spark.createDataFrame([], "doc_key string, page_index int, content string")).count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docmill import schemas as S
 from docmill.operators import validation as V
@@ -68,3 +69,28 @@ def test_normalized_fields_and_quarantine(spark):
 def test_partitions_do_not_matter(spark, parts):
     rows = _received(spark, [BASE | c for c, _ in CASES[:12]]).repartition(parts)
     assert sorted(r.error_code or "" for r in V.judge(rows).select("error_code").collect()) == sorted(w or "" for _, w in CASES[:12])
+
+
+def _plain_url(url):
+    """What the standard library's parser makes of it."""
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url)
+        return parts.scheme in ("http", "https") and bool(parts.hostname) and (parts.port is None or 0 <= parts.port <= 65535)
+    except ValueError:
+        return False
+
+
+def test_bracketed_hosts_as_the_standard_parser_judges_them(spark):
+    import random
+
+    r = random.Random(0)
+    hosts = ["abc", "1.2.3.4", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.256", "::01.2.3.4", "fe80::1%eth0", "12345::", "g::", "v1.a", "v1F.x:y", "v.a", "vz.a", "v1.", "", ":", ":::", "1:", ":1", "::%"]
+    for _ in range(400):
+        groups = [r.choice(["", "0", "a", "ffff", "12345", "1.2.3.4", "g"] + ["1"] * 6) for _ in range(r.randint(1, 10))]
+        hosts.append(":".join(groups))
+    urls = [f"http://[{h}]{end}" for h in hosts for end in ("/", ":80", "")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {u: e is None for u, e in df.select("url", V.source_url_error(F.col("url"))).collect()}
+    assert [u for u in urls if got[u] != _plain_url(u)] == []
