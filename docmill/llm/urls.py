@@ -37,7 +37,10 @@ class Rule:
 #: The rules of the production query. A rule fits its host and all subdomains.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", re.DOTALL | re.IGNORECASE)
+#: Where markup may begin; an element whose content is no text, and what ends it.
+_BEGIN = re.compile(r"<|&[a-z]+;", re.IGNORECASE)
+_ELEMENT = re.compile(r"<(?:(script)|(style))\b", re.IGNORECASE)
+_ENDS = [re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")]
 _WORD = re.compile(r"[^\W\d_]+")
 _BUCKETS = 1 << 18
 
@@ -62,6 +65,40 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return name, verdict
 
 
+def without_markup(html: str) -> str:
+    """``html`` with a space for each script or style element, comment, tag and entity. What is not closed is text, but
+    for its tag, if that is. One scan: an end that is not found is not looked for again."""
+    out, done, at, missing = [], 0, 0, set()
+
+    def after(kind: int | str, start: int) -> int:
+        """The place after the next end of that kind, or 0."""
+        if kind in missing:
+            return 0
+        if isinstance(kind, int):
+            found = _ENDS[kind].search(html, start)
+            place = found.end() if found else 0
+        else:
+            found = html.find(kind, start)
+            place = found + len(kind) if found >= 0 else 0
+        if not place:
+            missing.add(kind)
+        return place
+
+    while begin := _BEGIN.search(html, at):
+        start, at = begin.span()
+        if html[start] == "<":
+            element = _ELEMENT.match(html, start)
+            end = element and after(0 if element[1] else 1, element.end())
+            end = end or (html.startswith("<!--", start) and after("-->", start + 4)) or after(">", start + 1)
+            if not end:
+                continue
+            at = end
+        out += [html[done:start], " "]
+        done = at
+    out.append(html[done:])
+    return "".join(out)
+
+
 def page_words(pages: DataFrame) -> DataFrame:
     """``(word, n)``: how often each word occurs in the texts of all pages, without case. Null and empty
     pages have none; repeated rows count each; an empty table gives an empty one."""
@@ -70,7 +107,7 @@ def page_words(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found: Counter[str] = Counter()
             for html in batch.column(0).to_pylist():
-                found.update(_WORD.findall(_MARKUP.sub(" ", html).lower()))
+                found.update(_WORD.findall(without_markup(html).lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     found = pages.where("html is not null").select("html").mapInArrow(count, "word string, n long")
