@@ -10,6 +10,8 @@ product of counts and n-gram vectors.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,6 @@ _LETTERS: list[np.ndarray] = []
 def _letter_table() -> np.ndarray:
     """Code point -> lower-case letter or mark, else 0 (a word boundary)."""
     if not _LETTERS:
-        import unicodedata
-
         table = np.zeros(_TABLE_SIZE, np.uint32)
         for cp in range(_TABLE_SIZE - 1):
             ch = chr(cp)
@@ -95,6 +95,15 @@ def bundles(texts: list[str | None], dims: int) -> np.ndarray:
     return out
 
 
+#: Word characters that are no digits, no underscores and no combining marks are looked at one by one.
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of category L is in the text; marks alone make no text."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAYBE.finditer(text or ""))
+
+
 def prototypes(docs: DataFrame, dims: int = 1024, most_languages: int = 4096) -> tuple[list[str], np.ndarray]:
     """Language values and their bundles over all rows of ``docs(text, lang)`` that have both."""
 
@@ -148,7 +157,7 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> Da
                 own = bundles(texts[i:j], dims)
                 norm = np.linalg.norm(own, axis=1)
                 told, value = np.full(j - i, "und", object), np.zeros(j - i)
-                some = np.flatnonzero(norm > 0)
+                some = np.flatnonzero((norm > 0) & [has_letter(t) for t in texts[i:j]])
                 if len(langs) and len(some):
                     cosine = (own[some] / norm[some, None]) @ columns
                     best = cosine.argmax(axis=1)
