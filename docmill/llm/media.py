@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.store import Bloom, scratch_dir
+from docmill.llm.store import Bloom, forget, scratch_dir, stored
 from docmill.llm.text import mix, slices
 
 BLOCK = 576
@@ -29,6 +29,8 @@ _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 _MAGIC = b"CDC1"
 _ENTRY = "<16sI"
 _ENTRY_SIZE = struct.calcsize(_ENTRY)
+#: Digests that a task remembers.
+_REMEMBERED = 1 << 19
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -80,7 +82,8 @@ def _lane(digests: list[bytes]) -> np.ndarray:
 
 
 def write_media(docs: DataFrame, path: str) -> None:
-    """Store the texts of ``docs(doc_id, text)`` as payloads under ``path`` (manifest and chunks)."""
+    """Store the texts of ``docs(doc_id, text)`` as payloads under ``path`` (``built`` with the rows, and chunks), in two
+    passes over the texts: one finds the chunks that occur again, one builds both tables."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,39 +93,43 @@ def write_media(docs: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(lanes.view(np.int64))], ["lane"])
 
     again = docs.select("text").mapInArrow(names, "lane long").groupBy("lane").agg(F.count("*").alias("n")).where("n > 1")
+    again = stored(again.select("lane"), "repeated-chunks")
     shared = docs.sparkSession.sparkContext.broadcast(Bloom.sized(again, F.col("lane")).words)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("recipe", pa.binary()), ("own", pa.list_(pa.binary())), ("shared", pa.list_(pa.binary()))])
-
-    def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(shared.value)
+    forget(again)
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("recipe", pa.binary()), ("own", pa.list_(pa.binary())), ("shared", pa.list_(pa.binary())),
+            ("digest", pa.binary()), ("chunk", pa.binary()), ("kind", pa.string()),
+        ]
+    )
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and one for each chunk that may occur again; a task tells a chunk once, while it
+        remembers it."""
+        bloom, told = Bloom(shared.value), set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(texts):
-                rows = []
+                rows, found = [], {}
                 for payload, n, chunks, digests in _chunked(texts[i:j]):
                     kept = bloom.has(_lane(digests)).tolist()
                     recipe = _MAGIC + struct.pack("<QI", n, len(chunks)) + b"".join(struct.pack(_ENTRY, d, len(c)) for d, c in zip(digests, chunks, strict=True))
-                    own = [c for c, k in zip(chunks, kept, strict=True) if not k]
-                    rows.append((digest_of(payload), n, recipe, own, [d for d, k in zip(digests, kept, strict=True) if k]))
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *columns], schema=schema)
-
-    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(shared.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(texts):
-                found: dict[bytes, bytes] = {}
-                for _, _, chunks, digests in _chunked(texts[i:j]):
-                    for c, d, k in zip(chunks, digests, bloom.has(_lane(digests)).tolist(), strict=True):
-                        if k:
-                            found[d] = c
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "chunk"])
+                    found.update((d, c) for c, d, k in zip(chunks, digests, kept, strict=True) if k and d not in told)
+                    rows.append((digest_of(payload), n, recipe, [c for c, k in zip(chunks, kept, strict=True) if not k], [d for d, k in zip(digests, kept, strict=True) if k]))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:6], strict=True)]
+                none = [pa.nulls(j - i, pa.binary())] * 2
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *columns, *none, pa.array(["row"] * (j - i))], schema=schema)
+                if found:
+                    none = [pa.nulls(len(found), f.type) for f in list(schema)[:6]]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary()), pa.array(["chunk"] * len(found))], schema=schema)
+                    told = told | found.keys() if len(told) < _REMEMBERED else set(found)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows.mapInArrow(manifest, "doc_id long, key binary, n_bytes long, recipe binary, own array<binary>, shared array<binary>").write.option("compression", "zstd").parquet(f"{path}/manifest")
-    stored = rows.select("text").mapInArrow(chunks_of, "digest binary, chunk binary")
-    stored.groupBy("digest").agg(F.first("chunk").alias("chunk")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    kinds = "doc_id long, key binary, n_bytes long, recipe binary, own array<binary>, shared array<binary>, digest binary, chunk binary, kind string"
+    rows.mapInArrow(build, kinds).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/built")
+    spark = docs.sparkSession
+    built = spark.read.schema(kinds).parquet(f"{path}/built")
+    built.where("kind = 'chunk'").groupBy("digest").agg(F.first("chunk").alias("chunk")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
 
 def rebuild(recipe: bytes, own: list[bytes], kept: dict[bytes, bytes]) -> tuple[bytes, int]:
@@ -154,7 +161,8 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     media_bytes, media_sha256, feature)``. The stored form of a row is its recipe and its chunks."""
     import zlib
 
-    manifest, chunks = spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/chunks")
+    kinds = "doc_id long, key binary, n_bytes long, recipe binary, own array<binary>, shared array<binary>, kind string"
+    manifest, chunks = spark.read.schema(kinds).parquet(f"{path}/built").where("kind = 'row'"), spark.read.schema("digest binary, chunk binary").parquet(f"{path}/chunks")
 
     def reader(by: str):
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
