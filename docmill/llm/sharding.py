@@ -3,10 +3,10 @@
 A record's key is the hash of its text, so equal texts lie side by side. From key samples whose chance
 grows with the size of their records, quantiles of the bytes are taken as splitters, and records are
 partitioned by range. A range that turns out overfull is subdivided: a key with more than its share gets a
-range of its own, the rest is cut evenly. A group of equal texts stays together unless it is over half a
-shard (or very many rows): its range is then subdivided by doc_id, and rows that are equal in that too by
-their place in the table. The ranges, many more than shards, are given to the shards largest first, each
-to the one with the fewest bytes.
+range of its own, the rest is cut evenly. The range of a large group of equal texts is subdivided by doc_id, and
+rows that are equal in that too by their place in the table; its parts stay together, unless the group is over half
+a shard. The ranges, many more than shards, are given to the shards largest first, each to the one with the
+fewest bytes.
 
 The driver holds samples, splitters and totals of ranges: their number is bounded, whatever the
 number of rows. Places within a range are counted by a task for each range.
@@ -115,7 +115,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, ranges: int | None = None)
         # as many as fit into all bytes and rows at the most
         heavy = suspects.groupBy(F.col(key).alias("key")).agg(*totals).where((F.col("bytes") > share) | (F.col("rows") > most_rows // 2)).toPandas()
         splitters = subdivided(splitters, overfull, heavy["key"].to_numpy(np.int64), share)
-    cut = np.maximum(heavy["rows"].to_numpy(np.int64) // (most_rows // 2), np.where(heavy["bytes"] > half, heavy["bytes"] // share, 0).astype(np.int64)) + 1
+    # a task counts the rows of a part; only of a group over half a shard the parts may go to several shards
+    cut = np.maximum(heavy["rows"].to_numpy(np.int64) // (most_rows // 2), (heavy["bytes"] // share).to_numpy().astype(np.int64)) + 1
     split = heavy.assign(parts=cut, number=np.searchsorted(splitters, heavy["key"].to_numpy(np.int64), "right"))
     split = split[split["parts"] > 1]
     parts, twins = np.ones(len(splitters) + 1, np.int64), []
