@@ -33,8 +33,9 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x
 _TOGETHER, _HELD, _SLICE, _SHARED = 1 << 20, 1 << 19, 1 << 16, 255
 #: Slices of a lang at least, so that a lang with most of the terms is several tasks'.
 _LEAST_SLICES = 16
-#: Splitters are drawn from this share of the rows, from at most so many leaves; where they lie changes no result.
-_SAMPLED, _DRAWN = 16, 1 << 15
+#: Splitters are drawn from this share of the rows, from so many leaves for each range and no more than so many in all; where they
+#: lie changes no result.
+_SAMPLED, _EACH, _DRAWN = 16, 16, 1 << 16
 _LEAVES = pa.schema([("key", pa.binary()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -181,15 +182,19 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[RadixTrie]:
 def _splitters(rows: DataFrame, ranges: int) -> list[bytes]:
     """Keys that cut the leaves of a sample of the rows into equal parts."""
 
+    drawn = min(_EACH * ranges, _DRAWN)
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for trie in _tries(batches):
             keys = trie.leaves.column("key").combine_chunks().unique()
-            hashes = pd.util.hash_array(keys.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
-            least = np.argsort(hashes)[:_DRAWN]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(least)), pa.array(hashes[least])], ["key", "hash"])
-
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLED)) == 0).mapInArrow(draw, "key binary, hash long")
-    keys = sorted({bytes(r.key) for r in some.orderBy("hash").limit(_DRAWN).collect()})
+            hashes = pd.util.hash_array(keys.to_numpy(zero_copy_only=False), categorize=False)
+            hashes = hashes[order := np.argsort(hashes)]
+            cell, first = np.unique(hashes % np.uint64(drawn), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(hashes[first].view(np.int64)), keys.take(pa.array(order[first]))], ["cell", "hash", "key"])
+
+    # the key with the smallest hash of each cell: fewer than a task has, and added up before the driver
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLED)) == 0).mapInArrow(draw, "cell int, hash long, key binary")
+    keys = sorted(bytes(r.key) for r in some.groupBy("cell").agg(F.min_by("key", "hash").alias("key")).collect())
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
 
