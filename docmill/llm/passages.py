@@ -336,28 +336,46 @@ _GRID, _BLOCK, _SPAN, _STRETCH = 5, 17, 36, 40
 def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and variant: hashes of some shingles at the places of a grid around place c of each row,
     and hashes of all shingles from the first to the last of them. A stretch of ``shortest`` (46) places
-    with the required similarity has room for one substituted word, which changes five shingles.
-    Wherever it is, the stretch has a block and a further shingle at one of these places which it
+    with the required similarity has room for one word that is another, put in or left out, which changes four or five
+    shingles. Wherever it is, the stretch has a block and a further shingle at one of these places which it
     leaves as they are, on one side or the other. Close keys read all shingles but those of two
-    neighbouring steps of the grid, and some two have all that it changes."""
+    neighbouring steps of the grid, and some two have all that it changes.
+
+    A key reads two parts, with a gap for the change. A word put in or left out moves the part that does not have c by one
+    place: so that part is read where it should be and one place further, under one name, and one text's
+    first reading is the other's second. With c in the gap it may be either part."""
     span = _STRETCH if close else _SPAN
     if close:
-        reads = [[x for x in range(span) if not 0 <= x - gap < 2 * _GRID] for gap in range(0, span - _GRID, _GRID)]
+        reads = [(range(gap), range(gap + 2 * _GRID, span)) for gap in range(0, span - _GRID, _GRID)]
     else:
-        reads = [[*range(_BLOCK), span - 1], [0, *range(span - _BLOCK, span)]]
+        reads = [(range(_BLOCK), range(span - 1, span)), (range(1), range(span - _BLOCK, span))]
     sizes = np.array([len(x) for x in around], np.int64)
     s = np.concatenate([*around, np.zeros(0, np.uint16)]).astype(_U)
     offsets = np.arange(-((shortest - 1) // _GRID) * _GRID, shortest - span + 1, _GRID)
     x = c.astype(np.int64)[:, None] + offsets
     row, column = np.nonzero((x >= 0) & (x + span <= sizes[:, None]))
-    x, o = x[row, column] + (np.cumsum(sizes) - sizes)[row], (offsets[column] + 1000).astype(_U)
-    out = []
-    for side, places in enumerate([range(span), *reads]):
-        h = mix(o << _U(8) | _U(side))
+    begin = (np.cumsum(sizes) - sizes)[row]
+    further = x[row, column] + span < sizes[row]
+    o, at_c, x = (offsets[column] + 1000).astype(_U), -offsets[column], x[row, column] + begin
+    factor, rows, keys, variants = _U(0x9E3779B97F4A7C15), [], [], []
+
+    def hashed(h: np.ndarray, places: range, at: np.ndarray) -> np.ndarray:
         for step in places:
-            h = h * _U(0x9E3779B97F4A7C15) + s[x + step]
-        out.append(mix(h))
-    return np.tile(row, len(reads)), np.concatenate(out[1:]), np.tile(out[0], len(reads))
+            h = h * factor + s[at + step]
+        return h
+
+    whole = hashed(mix(o << _U(8)), range(span), x)
+    longer = mix(whole * factor + s[np.minimum(x + span, len(s) - 1)]) if len(s) else whole
+    for side, (first, second) in enumerate(reads, 1):
+        low, high = len(first), second.start  # c is in the first part or before it, or in the second or after it
+        every = np.ones(len(x), bool)
+        for moved_first, moved_second, some in ((0, 0, every), (0, 1, further & (at_c < high) & (len(second) > 0)), (1, 0, further & (at_c >= low) & (len(first) > 0))):
+            at = np.flatnonzero(some)
+            h = hashed(hashed(mix(o[at] << _U(8) | _U(side)), first, x[at] + moved_first), second, x[at] + moved_second)
+            rows.append(row[at])
+            keys.append(mix(h))
+            variants.append((longer if moved_first or moved_second else mix(whole))[at])
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(variants)
 
 
 def narrowed(windows: DataFrame, sequences: DataFrame, shortest: int, close: bool) -> tuple[DataFrame, DataFrame]:
