@@ -25,11 +25,12 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docmill.llm.store import forget, stored
+from docmill.llm.store import Bloom, forget, stored
 from docmill.llm.text import Words, maximal_runs, mix, shingles, slices
 
 _U = np.uint64
@@ -333,7 +334,7 @@ def with_state(windows: DataFrame, passages: DataFrame) -> DataFrame:
 _GRID, _BLOCK, _SPAN, _STRETCH = 5, 17, 36, 40
 
 
-def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: bool, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and variant: hashes of some shingles at the places of a grid around place c of each row,
     and hashes of all shingles from the first to the last of them. A stretch of ``shortest`` (46) places
     with the required similarity has room for one word that is another, put in or left out, which changes four or five
@@ -342,8 +343,8 @@ def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: b
     neighbouring steps of the grid, and some two have all that it changes.
 
     A key reads two parts, with a gap for the change. A word put in or left out moves the part that does not have c by one
-    place: so that part is read where it should be and one place further, under one name, and one text's
-    first reading is the other's second. With c in the gap it may be either part."""
+    place: so open windows (all, by default) read that part one place before and one further, too, under the same name;
+    others need not, as no two of them are held against each other. With c in the gap it may be either part."""
     span = _STRETCH if close else _SPAN
     if close:
         reads = [(range(gap), range(gap + 2 * _GRID, span)) for gap in range(0, span - _GRID, _GRID)]
@@ -355,7 +356,8 @@ def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: b
     x = c.astype(np.int64)[:, None] + offsets
     row, column = np.nonzero((x >= 0) & (x + span <= sizes[:, None]))
     begin = (np.cumsum(sizes) - sizes)[row]
-    further = x[row, column] + span < sizes[row]
+    moves = np.ones(len(row), bool) if open_ is None else open_[row]
+    before, further = moves & (x[row, column] > 0), moves & (x[row, column] + span < sizes[row])
     o, at_c, x = (offsets[column] + 1000).astype(_U), -offsets[column], x[row, column] + begin
     factor, rows, keys, variants = _U(0x9E3779B97F4A7C15), [], [], []
 
@@ -364,41 +366,56 @@ def narrow_keys(around: list[np.ndarray], c: np.ndarray, shortest: int, close: b
             h = h * factor + s[at + step]
         return h
 
-    whole = hashed(mix(o << _U(8)), range(span), x)
-    longer = mix(whole * factor + s[np.minimum(x + span, len(s) - 1)]) if len(s) else whole
+    whole = mix(hashed(mix(o << _U(8)), range(span), x))
     for side, (first, second) in enumerate(reads, 1):
         low, high = len(first), second.start  # c is in the first part or before it, or in the second or after it
-        every = np.ones(len(x), bool)
-        for moved_first, moved_second, some in ((0, 0, every), (0, 1, further & (at_c < high) & (len(second) > 0)), (1, 0, further & (at_c >= low) & (len(first) > 0))):
+        left, right = (at_c >= low) & (len(first) > 0), (at_c < high) & (len(second) > 0)
+        for moved_first, moved_second, some in ((0, 0, np.ones(len(x), bool)), (1, 0, left & moves), (-1, 0, left & before), (0, 1, right & further), (0, -1, right & moves)):
             at = np.flatnonzero(some)
             h = hashed(hashed(mix(o[at] << _U(8) | _U(side)), first, x[at] + moved_first), second, x[at] + moved_second)
             rows.append(row[at])
             keys.append(mix(h))
-            variants.append((longer if moved_first or moved_second else mix(whole))[at])
+            variants.append(whole[at])
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(variants)
 
 
-def narrowed(windows: DataFrame, sequences: DataFrame, shortest: int, close: bool) -> tuple[DataFrame, DataFrame]:
-    """The same windows ``(nid, key, place, open)`` under narrower keys, several for each; and the stored
-    table that this reads. Of settled windows that are equal over the whole span of a key one is kept."""
+def _narrower(shortest: int, close: bool, words: Broadcast | None):
+    """Narrow keys of the windows of a batch: with ``words``, the bits of a filter, only those that it may have."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, at, around = batch.column("key").to_numpy().view(np.uint64), batch.column("at").to_numpy(), batch.column("around")
-            rows, keys, variants = narrow_keys([np.frombuffer(around[r].as_buffer(), np.uint16) for r in range(batch.num_rows)], at, shortest, close)
+            open_ = batch.column("open").to_numpy(zero_copy_only=False)
+            rows, keys, variants = narrow_keys([np.frombuffer(around[r].as_buffer(), np.uint16) for r in range(batch.num_rows)], at, shortest, close, open_)
             keys = mix(keys ^ key[rows]) & ~_U(0xFF) | key[rows] & _U(0xFF)
-            told = [pa.array(keys.view(np.int64)), pa.array(variants.view(np.int64))]
+            if words is None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("nid").take(pa.array(rows)), batch.column("open").take(pa.array(rows))], ["key", "nid", "open"])
+                continue
+            some = Bloom(words.value).has(keys)
+            rows, told = pa.array(rows[some]), [pa.array(x[some].view(np.int64)) for x in (keys, variants)]
             yield pa.RecordBatch.from_arrays([batch.column("nid").take(rows), *told, batch.column("place").take(rows), batch.column("open").take(rows)], ["nid", "key", "variant", "place", "open"])
 
+    return narrow
+
+
+def narrowed(windows: DataFrame, sequences: DataFrame, shortest: int, close: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """The same windows ``(nid, key, place, open)`` under narrower keys, several for each; and the stored
+    tables that this reads. Of settled windows that are equal over the whole span of a key one is kept. Most keys
+    are one text's: the keys alone are counted first, and windows are told under those only that a filter of the others may have."""
     begin = F.greatest(_c("place") - shortest, F.lit(0))
     own = windows.join(sequences, "nid").select(
         "nid", "key", "place", "open", (_c("place") - begin).alias("at"), F.substring("sequence", 2 * begin + 1, F.lit(4 * shortest + 2)).alias("around")
     )
-    own = raw = stored(own.mapInArrow(narrow, "nid long, key long, variant long, place long, open boolean"), "narrowed")
-    told = own.groupBy("key").agg(F.min("nid").alias("least"), F.max("nid").alias("most"), F.bool_or("open").alias("some"))
-    own = own.join(told.where("some and least <> most").select("key"), "key", "left_semi")
-    settled = own.where("not open").groupBy("key", "variant").agg(F.min("nid").alias("nid"), F.min_by("place", "nid").alias("place"), F.lit(False).alias("open"))
-    return own.where("open").select("nid", "key", "place", "open").unionByName(settled.select("nid", "key", "place", "open")), raw
+    own = stored(own, "around")
+    told = own.mapInArrow(_narrower(shortest, close, None), "key long, nid long, open boolean")
+    told = told.groupBy("key").agg(F.min("nid").alias("least"), F.max("nid").alias("most"), F.bool_or("open").alias("some"))
+    told = stored(told.where("some and least <> most").select("key"), "shared-keys")
+    words = windows.sparkSession.sparkContext.broadcast(Bloom.sized(told, F.col("key")).words)
+    rows = stored(own.mapInArrow(_narrower(shortest, close, words), "nid long, key long, variant long, place long, open boolean"), "narrowed")
+    forget(own)
+    shared = rows.join(told, "key", "left_semi")
+    settled = shared.where("not open").groupBy("key", "variant").agg(F.min("nid").alias("nid"), F.min_by("place", "nid").alias("place"), F.lit(False).alias("open"))
+    return shared.where("open").select("nid", "key", "place", "open").unionByName(settled.select("nid", "key", "place", "open")), [told, rows]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: int = 4, enough: int = 2) -> DataFrame:
@@ -439,7 +456,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     narrow, raw = narrowed(groups.where(large), sequences, shortest, False)
     narrow, close_raw = narrowed(narrow.withColumn("key", F.expr("key & 255L")).distinct(), sequences, shortest, True)
     windows = stored(narrow, "close-groups")
-    forget(raw, close_raw)
+    forget(*raw, *close_raw)
     for leaders_each in chain((1,), accumulate(repeat(4), mul, initial=1)):  # 1, 1, 4, 16 ...
         pairs, rest, led = leader_pairs(windows, leaders_each)
         pairs = stored(pairs if more is None else pairs.unionByName(more), "window-pairs")
