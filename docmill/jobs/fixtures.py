@@ -33,6 +33,12 @@ def markdown_sql() -> str:
     return f"({front} || {body} || CASE {v} WHEN 1 THEN {fence} WHEN 2 THEN {table} WHEN 3 THEN {items} ELSE '' END)"
 
 
+def edited_sql() -> str:
+    """Each document twice, before (even numbers) and after (odd ones): every ninth has a paragraph more at its end."""
+    more = f"CASE WHEN n = 1 AND doc_id % 9 = 4 THEN {NL} || {NL} || 'A paragraph that was added to document ' || CAST(doc_id AS STRING) || '.' ELSE '' END"
+    return f"SELECT doc_id * 2 + n AS doc_id, {markdown_sql()} || {more} AS text FROM <documents> CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) AS two"
+
+
 def received_sql() -> str:
     m, i, md = "(doc_id % 20)", "CAST(doc_id AS STRING)", markdown_sql()
     back = "chr(92)"

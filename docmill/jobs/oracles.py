@@ -154,11 +154,12 @@ def _sentences(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '([.!?…])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 
-def _chunked(*configs: tuple[str, int, int]) -> str:
+def _chunked(*configs: tuple[str, int, int], source: str = "") -> str:
     """Greedy packing unit by unit, for configurations (name, target, overlap) with the limit 2400 and the fragment
     300: ``k(config, doc_id, segment, chunk_index, content, section, tab, overlap)``. Tables fit into a chunk here."""
     gap, rows = "chr(10) || chr(10)", ", ".join(f"('{name}', {target}, {overlap})" for name, target, overlap in configs)
-    return f"""{_MD}, seg AS ({_SEGMENTED}), headed AS (
+    md = "WITH RECURSIVE " + _markdown(source) if source else _MD
+    return f"""{md}, seg AS ({_SEGMENTED}), headed AS (
   SELECT *, dense_rank() OVER (ORDER BY doc_id, segment) AS sid, row_number() OVER w AS nth, count(*) OVER (PARTITION BY doc_id, segment) AS blocks,
     first_value(kind) OVER w AS first_kind, first_value(content) OVER w AS first_content FROM seg WINDOW w AS (PARTITION BY doc_id, segment ORDER BY position)
 ), roomed AS (
@@ -258,6 +259,9 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT DISTINCT 'damaged', doc_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'index_gap' FROM k WHERE doc_id % 12 = 2 AND chunk_index > 0
           UNION ALL SELECT 'damaged', doc_id, NULL, position, 'not_lossless' FROM md WHERE doc_id % 12 = 3 AND contains(content, chr(10) || '| 1 | 2 |')
           UNION ALL SELECT 'damaged', doc_id, NULL, position, unnest(CASE WHEN n > 1 THEN ['double_cover', 'order'] ELSE ['double_cover'] END) FROM cover WHERE doc_id % 12 = 4 AND chunk_index = last""",
+        "reindex_diff": f"""{_chunked(("1800/300", 1800, 300), source=_D(X.edited_sql()))}, old AS (SELECT DISTINCT md5(content) AS h FROM k WHERE doc_id % 2 = 0), new AS (SELECT md5(content) AS h, count(*) AS n FROM k WHERE doc_id % 2 = 1 GROUP BY 1)
+          SELECT h AS content_md5, CASE WHEN h IN (SELECT h FROM old) THEN 'moved' ELSE 'embed' END AS part, n AS chunks FROM new
+          UNION ALL SELECT NULL, 'gone', count(*) FROM old WHERE h NOT IN (SELECT h FROM new)""",
         "chunk_sweep": f"""{_chunked(("1200/200", 1200, 200), ("1800/300", 1800, 300), ("2400/400", 2400, 400))}
           SELECT config, count(*) AS chunks, CAST(max(length(content)) AS BIGINT) AS longest, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(max(overlap) AS BIGINT) AS most_overlap FROM k GROUP BY config""",
         "sentences": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
@@ -277,12 +281,17 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'chunk', id FROM c WHERE document_id NOT IN (SELECT id FROM gone)""",
         "delete_not_found": f"{_CORPUS} SELECT DISTINCT 'no-' || id AS id FROM d WHERE doc_id % 10 = 0",
         "list_page": f"{_CORPUS} SELECT id, arg_min(status, doc_id) AS status, arg_min(mime_type, doc_id) AS mime_type FROM d GROUP BY id ORDER BY id LIMIT 20 OFFSET 40",
+        "list_deep_page": f"""{_CORPUS}, own AS (SELECT *, created_at + to_minutes(CAST(doc_id % 997 AS INTEGER)) AS made FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1)
+          SELECT id, status, mime_type, strftime(made, '%Y-%m-%d %H:%M:%S') AS created_at FROM own ORDER BY made DESC, id LIMIT 20 OFFSET (SELECT count(*) - 27 FROM own)""",
         "list_total": f"{_CORPUS} SELECT count(DISTINCT id) AS total FROM d",
         "get_public": f"{_CORPUS} SELECT id, title, sha256, source_name, source_url FROM d WHERE id IN (SELECT id FROM d WHERE doc_id % 8 = 0)",
         "stable_ids": f"SELECT doc_id, {_ID} AS document_id, {_CHUNK_ID} AS chunk_id FROM documents",
         "schema_audit": f"""{_CORPUS} {_rules('d')} UNION ALL {_rules('c')}
           UNION ALL SELECT 'documents', id, 'id_unique' FROM d GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'documents', sha256, 'sha256_unique' FROM d GROUP BY sha256 HAVING count(*) > 1
           UNION ALL SELECT 'chunks', document_id || '/' || chunk_index, 'document_index_unique' FROM c GROUP BY document_id, chunk_index HAVING count(*) > 1""",
+        "schema_audit_patched": f"""{_CORPUS} {_rules('d')} UNION ALL {_rules('c')}
+          UNION ALL SELECT 'documents', id, 'id_unique' FROM d GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'documents', sha256, 'sha256_unique' FROM d GROUP BY sha256 HAVING count(*) > 1
+          UNION ALL SELECT 'chunks', document_id || '/' || chunk_index, 'document_index_unique' FROM c GROUP BY document_id, chunk_index HAVING count(*) > 1""",
         "count_reconcile": f"""{_CORPUS} SELECT d.id, CAST(chunks_count AS BIGINT) AS declared, coalesce(n, 0) AS actual FROM d LEFT JOIN (SELECT document_id, count(*) AS n FROM c GROUP BY 1) AS k ON k.document_id = d.id
           WHERE chunks_count <> coalesce(n, 0) OR coalesce(n, 0) = 0""",
         "vector_errors": f"{_BAD} SELECT vec_id, {_ERROR} AS error FROM v",

@@ -234,6 +234,19 @@ def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.list_documents(documents.join(first, ["id", "doc_id"], "left_semi"), 20, 40).select("id", "status", "mime_type")
 
 
+def _dated(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("created_at", F.expr("created_at + make_dt_interval(0, 0, cast(doc_id % 997 as int))"))
+
+
+@_query
+def list_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page but one of the whole list."""
+    documents = _corpus_documents(spark, sf_dir)
+    first = documents.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    own = _dated(documents.join(first, ["id", "doc_id"], "left_semi"))
+    return corpus.list_deep(own, 20, own.count() - 27, 50).select("id", "status", "mime_type", F.col("created_at").cast("string").alias("created_at"))
+
+
 @_query
 def list_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.count_documents(_corpus_documents(spark, sf_dir))
@@ -257,6 +270,31 @@ def schema_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.audit_schema(_corpus_documents(spark, sf_dir), _corpus_chunks(spark, sf_dir), 4)
 
 
+@_query
+def schema_audit_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all rows, from an older one of other rows: since then some were added, and others are gone."""
+    documents, chunks = _corpus_documents(spark, sf_dir), _corpus_chunks(spark, sf_dir)
+    of = F.floor(F.col("id").cast("long") / 2)
+    ghosts = documents.where("doc_id % 11 = 5").withColumn("id", F.concat(F.lit("ghost-"), "id"))
+    old = corpus.keyed_audit(documents.where("doc_id % 7 <> 3").unionByName(ghosts), chunks.where(of % 7 != 3), 4)
+    now = corpus.patch_audit(old, documents, chunks, documents.where("doc_id % 7 = 3").unionByName(ghosts), chunks.where(of % 7 == 3), 4)
+    return now.select("table_name", "row_id", "rule")
+
+
+@_query
+def reindex_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents before and after some of them got a paragraph more: which vectors move, which texts are new."""
+    both = X.in_spark(spark, sf_dir, X.edited_sql()).select(F.col("doc_id").cast("string").alias("doc_key"), "text")
+    blocks = extraction.explode_blocks(both.withColumn("blocks", extraction.blocks_of(F.lit("text/markdown"), F.col("text"))))
+    cut = written_once(chunking.chunk(blocks)[0].select(F.concat_ws("/", "doc_key", "chunk_index").alias("chunk_id"), F.col("doc_key").cast("long").alias("version"), "content"), "versions")
+    vector = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.lit(0.5).cast("float"))
+    old = cut.where("version % 2 = 0").withColumns({"embedding": vector, "embedding_model": F.lit("m"), "embedding_dimensions": F.lit(4)})
+    moved, pending, gone = vectors.reindex(old, cut.where("version % 2 = 1"), "m", 4)
+    key = F.md5(F.col("content").cast("binary")).alias("content_md5")
+    told = moved.groupBy(key).agg(F.lit("moved").alias("part"), F.count("*").alias("chunks")).unionByName(pending.select(key, F.lit("embed").alias("part"), "chunks"))
+    return told.unionByName(gone.agg(F.lit("gone").alias("part"), F.count("*").alias("chunks")).withColumn("content_md5", F.lit(None).cast("string")))
+
+
 @_query
 def count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.reconcile_chunk_counts(_corpus_documents(spark, sf_dir), _corpus_chunks(spark, sf_dir))

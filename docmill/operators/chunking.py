@@ -48,10 +48,12 @@ def segment_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def split_sentences(text: Column) -> Column:
+    """Sentences, without the white space between them. A null text has null, an empty one none."""
     return F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
 
 
 def hard_cut(text: Column, size: int) -> Column:
+    """Pieces of ``size`` characters, the last one shorter. A null or empty text has none."""
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 

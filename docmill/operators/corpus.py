@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import document_id
@@ -28,6 +30,8 @@ def resolve_against_corpus(batch: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def new_documents(batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """The first arrivals of a batch whose bytes no document has. Rows without a hash are left out, repeated documents
+    change nothing; an empty batch gives an empty table, and against no documents all are new."""
     return dedup_batch(batch).join(documents.select("sha256"), "sha256", "left_anti")
 
 
@@ -48,8 +52,48 @@ def list_documents(documents: DataFrame, limit: int = 20, offset: int = 0) -> Da
     return documents.select(*PUBLIC).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
+#: Ranges of the order of the list, each inside those before it.
+_PAGE_LEVELS = ("date_trunc('day', created_at)", "date_trunc('hour', created_at)", "date_trunc('minute', created_at)", "date_trunc('second', created_at)", "created_at", "substr(id, 1, 2)", "substr(id, 1, 4)")
+
+
+def locate_page(documents: DataFrame, limit: int, offset: int, enough: int = 10_000) -> tuple[DataFrame, int]:
+    """(the documents of the ranges of (created_at, id) that hold a page, the page's offset among them). Counts for each range tell
+    which ones, from days on to parts of ids, as long as there are more than ``enough`` documents in them. A page meets
+    no more ranges than it has rows, and their number alone comes to the driver."""
+    rows, at = documents, offset
+    for level in _PAGE_LEVELS:
+        key = F.expr(level)
+        counts = rows.groupBy(key.alias("range")).agg(F.count("*").alias("n"))
+        if level.startswith("substr"):
+            order = [F.asc_nulls_first("range")]
+            if rows.select("created_at").distinct().limit(2).count() > 1:
+                break  # ids are in order within one time alone
+        else:
+            order = [F.desc_nulls_last("range")]
+        so_far = counts.withColumn("end", F.sum("n").over(Window.orderBy(*order))).withColumn("start", F.col("end") - F.col("n"))  # a row for each range
+        met = so_far.where((F.col("start") < at + limit) & (F.col("end") > at)).select("range", "n", "start").collect()
+        if not met:
+            return rows.limit(0), 0
+        values = [r.range for r in met]
+        some = key.isin([v for v in values if v is not None])
+        rows = rows.where(F.coalesce(some, F.lit(False)) | (key.isNull() if None in values else F.lit(False)))
+        at -= min(r.start for r in met)
+        if sum(r.n for r in met) <= enough:
+            break
+    return rows, at
+
+
+def list_deep(documents: DataFrame, limit: int = 20, offset: int = 0, enough: int = 10_000) -> DataFrame:
+    """The same page as ``list_documents``, for offsets of any depth: only the ranges that hold it are sorted."""
+    if not 1 <= limit <= 100 or offset < 0:
+        raise ValueError("limit is 1..100 and offset 0 or more")
+    rows, at = locate_page(documents, limit, offset, enough)
+    return list_documents(rows, limit, at)
+
+
 def count_documents(documents: DataFrame) -> DataFrame:
-    """``(total)``: how many documents all pages of the list have together."""
+    """``(total)``: how many documents all pages of the list have together. Repeated ids count once, null ones not;
+    no documents are 0."""
     return documents.agg(F.count_distinct("id").alias("total"))
 
 
@@ -103,32 +147,67 @@ def chunk_rules(dimensions: int) -> dict[str, Column]:
     )
 
 
-def audit_schema(documents: DataFrame, chunks: DataFrame, dimensions: int = 768) -> DataFrame:
-    """Violations ``(table_name, row_id, rule)`` of the corpus schema: checks, keys and references."""
+_NO_KEY = "\0"
+
+
+def _keys(documents: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """What each kind of rule looks at: the rows, with the ``key`` whose rows it takes together."""
+
+    def keyed(df: DataFrame, *columns: str) -> DataFrame:
+        return df.withColumn("key", F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit(_NO_KEY)) for c in columns)))
+
+    return {
+        "document": keyed(documents, "id"), "document_sha256": keyed(documents, "sha256"), "chunk": keyed(chunks, "id"),
+        "chunk_place": keyed(chunks, "document_id", "chunk_index"), "chunk_document": keyed(chunks, "document_id"),
+    }
 
-    def told(df: DataFrame, table: str, row: Column, rule: Column | str) -> DataFrame:
-        return df.select(F.lit(table).alias("table_name"), row.cast("string").alias("row_id"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"))
 
-    def repeated(df: DataFrame, table: str, keys: list[str], rule: str) -> DataFrame:
-        return told(df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), table, F.concat_ws("/", *keys), rule)
+def _audit(own: dict[str, DataFrame], documents: DataFrame, dimensions: int) -> DataFrame:
+    """Violations ``(table_name, row_id, rule, kind, key)`` of the rows of each kind; of a key all rows must be there."""
+
+    def told(df: DataFrame, kind: str, row: Column, rule: Column | str) -> DataFrame:
+        return df.select(F.lit(f"{kind.split('_')[0]}s").alias("table_name"), row.cast("string").alias("row_id"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), F.lit(kind).alias("kind"), "key")
+
+    def repeated(kind: str, keys: list[str], rule: str) -> DataFrame:
+        return told(own[kind].where(F.col(keys[0]).isNotNull()).groupBy("key", *keys).agg(F.count("*").alias("n")).where("n > 1"), kind, F.concat_ws("/", *keys), rule)
 
     parts = [
-        told(documents.withColumn("rule", F.explode(_failed(document_rules()))), "documents", F.col("id"), F.col("rule")),
-        told(chunks.withColumn("rule", F.explode(_failed(chunk_rules(dimensions)))), "chunks", F.col("id"), F.col("rule")),
-        repeated(documents, "documents", ["id"], "id_unique"),
-        repeated(documents, "documents", ["sha256"], "sha256_unique"),
-        repeated(chunks, "chunks", ["id"], "id_unique"),
-        repeated(chunks, "chunks", ["document_id", "chunk_index"], "document_index_unique"),
-        told(chunks.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti").where("document_id is not null"), "chunks", F.col("id"), "document_exists"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        told(own["document"].withColumn("rule", F.explode(_failed(document_rules()))), "document", F.col("id"), F.col("rule")),
+        told(own["chunk"].withColumn("rule", F.explode(_failed(chunk_rules(dimensions)))), "chunk", F.col("id"), F.col("rule")),
+        repeated("document", ["id"], "id_unique"), repeated("document_sha256", ["sha256"], "sha256_unique"), repeated("chunk", ["id"], "id_unique"),
+        repeated("chunk_place", ["document_id", "chunk_index"], "document_index_unique"),
+        told(own["chunk_document"].join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti").where("document_id is not null"), "chunk_document", F.col("id"), "document_exists"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def audit_schema(documents: DataFrame, chunks: DataFrame, dimensions: int = 768) -> DataFrame:
+    """Violations ``(table_name, row_id, rule)`` of the corpus schema: checks, keys and references. A null breaks only the
+    rules that ask for a value. Empty tables have none."""
+    return keyed_audit(documents, chunks, dimensions).select("table_name", "row_id", "rule")
+
+
+def keyed_audit(documents: DataFrame, chunks: DataFrame, dimensions: int = 768) -> DataFrame:
+    """``audit_schema`` with the ``kind`` of each rule and the ``key`` of the rows it was told for, to be patched later."""
+    return _audit(_keys(documents, chunks), documents, dimensions)
+
+
+def patch_audit(violations: DataFrame, documents: DataFrame, chunks: DataFrame, changed_documents: DataFrame, changed_chunks: DataFrame, dimensions: int = 768) -> DataFrame:
+    """``keyed_audit`` of tables that have changed, from ``violations``, that of before. The changed rows are those that are
+    new and those that are gone. Only rows that share a key with one of them are looked at again: the same row, the same hash, the same
+    place in a document, the chunks of a document that came or went. All else stays as it was told. Without changes nothing is
+    looked at."""
+    changed = _keys(changed_documents, changed_chunks)
+    touched = [df.select(F.lit(kind).alias("kind"), "key") for kind, df in changed.items()]
+    touched.append(changed["document"].select(F.lit("chunk_document").alias("kind"), "key"))
+    touched = reduce(DataFrame.union, touched).distinct()
+    again = {kind: df.join(touched.where(F.col("kind") == kind).select("key"), "key", "left_semi") for kind, df in _keys(documents, chunks).items()}
+    return violations.join(touched, ["kind", "key"], "left_anti").unionByName(_audit(again, documents, dimensions))
 
 
 def reconcile_chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents whose chunks_count is not the number of their chunks."""
+    """Documents whose chunks_count is not the number of their chunks, or which have none. A null count is not held
+    against the number; repeated documents are each told."""
     actual = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("actual"))
     told = documents.select("id", F.col("chunks_count").cast("long").alias("declared")).join(actual, "id", "left")
     return told.select("id", "declared", F.coalesce("actual", F.lit(0).cast("long")).alias("actual")).where("declared <> actual or actual = 0")

@@ -44,5 +44,7 @@ def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def citation_precision(valid: DataFrame, invalid: DataFrame) -> DataFrame:
+    """``(citations, valid, precision)``: one row; without citations 0 and two nulls. Repeated citations count each, as
+    ``check_citations`` tells each once."""
     both = valid.withColumn("ok", F.lit(1)).unionByName(invalid.withColumn("ok", F.lit(0)))
     return both.agg(F.count("*").alias("citations"), F.sum("ok").alias("valid"), F.avg("ok").alias("precision"))

@@ -261,14 +261,16 @@ def skipped_pairs(chunks: DataFrame, queries: DataFrame, threshold: float = S.TH
 
 
 def gate_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """Queries with their number of hits and ``insufficient_context`` where there is none."""
+    """Queries with their number of hits and ``insufficient_context`` where there is none. A null query_id has no hits;
+    repeated queries are told each; no queries give an empty table."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
     told = queries.select("query_id").join(n, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
     return told.withColumn("status", F.when(F.col("hits") == 0, "insufficient_context"))
 
 
 def build_context(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranked hits with their text and provenance, one row each."""
+    """Ranked hits with their text and provenance, one row each. A hit whose chunk or document is not there is left
+    out; repeated chunks repeat their hit."""
     text = chunks.select("chunk_id", "content", "page_index", "page_label", "section")
     title = documents.select(F.col("id").alias("document_id"), "title")
     return hits.join(text, "chunk_id").join(title, "document_id")

@@ -27,9 +27,9 @@ from docmill import schemas as S
 COMMITS = "version string, attempt string, sequence long"
 HASHES = "sha256 string, id string"
 SUMMARIES = "range int, ranges int, n long, bits binary"
-#: Hashes of a file of hashes, about; of a batch that is held against the summaries (8 bytes each go to all tasks): a
+#: Hashes of a file of hashes, about; of a batch that is held against the summaries (16 bytes each go to all tasks): a
 #: larger one reads all files.
-RANGE, MOST_PROBES = 1 << 18, 1 << 22
+RANGE, MOST_PROBES = 1 << 18, 1 << 20
 _BITS_EACH, _PROBES = 32, 8
 
 
@@ -189,11 +189,12 @@ def index_files(spark: SparkSession, root: str, batch: DataFrame, without_versio
     last = _without(_last(spark, root), without_version)
     rows = _read(spark, f"{root}/summaries", f"{SUMMARIES}, version string, attempt string").join(F.broadcast(last.select("version", "attempt")), ["version", "attempt"])
     path = F.concat_ws("", F.lit(f"{root}/hashes/version="), "version", F.lit("/attempt="), "attempt", F.lit("/range="), F.col("range").cast("string"))
-    probes = batch.where("sha256 is not null").select("sha256").distinct().limit(MOST_PROBES + 1).toPandas()["sha256"]
+    place, high, low = (F.conv(F.substring("sha256", at, 8), 16, 10).cast("long") for at in (1, 17, 25))
+    probes = batch.where("sha256 is not null").select(place.alias("place"), F.shiftleft(high, 32).bitwiseOR(low).alias("word")).distinct().limit(MOST_PROBES + 1).toPandas()
     if len(probes) <= MOST_PROBES:
-        places = np.array([int(h[:8], 16) for h in probes], np.uint64)
+        places, words = probes["place"].to_numpy(np.int64).astype(np.uint64), probes["word"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(places, kind="stable")
-        sent = spark.sparkContext.broadcast((places[order], _words(probes)[order]))
+        sent = spark.sparkContext.broadcast((places[order], words[order]))
 
         def may_hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, words = sent.value

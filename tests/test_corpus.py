@@ -325,3 +325,68 @@ def test_schema_audit_on_valid_rows(spark):
     docs, chunks = spark.createDataFrame([doc], S.DOCUMENTS_DDL), spark.createDataFrame([chunk], S.CHUNKS_DDL)
     assert corpus.audit_schema(docs, chunks).count() == 0
     assert {r.rule for r in corpus.audit_schema(docs.union(docs), chunks.withColumn("embedding_dimensions", F.lit(767))).collect()} == {"id_unique", "sha256_unique", "embedding_dimensions_fixed"}
+
+
+def test_deep_pages_are_those_of_the_whole_sort(spark):
+    import random
+
+    r = random.Random(5)
+    times = [datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=r.choice([0, 0, 0, 59, 60, 3600, 86400 * r.randint(0, 3)])) for _ in range(400)] + [None] * 20
+    rows = [(f"{r.randrange(16**6):06x}" if r.random() < 0.97 else None, "indexed", "t", "f", "text/plain", t) for t in times]
+    documents = spark.createDataFrame(rows, "id string, status string, title string, original_filename string, mime_type string, created_at timestamp").repartition(4).cache()
+    for offset in (0, 7, 211, 395, 410, 419, 420, 1000):
+        want = [(x.created_at, x.id) for x in corpus.list_documents(documents, 10, offset).collect()]
+        assert [(x.created_at, x.id) for x in corpus.list_deep(documents, 10, offset, enough=15).collect()] == want, offset
+    same = documents.withColumn("created_at", F.lit(datetime.datetime(2024, 1, 1)))
+    near, at = corpus.locate_page(same, 10, 395, enough=15)
+    assert near.count() < 40 and [x.id for x in corpus.list_documents(near, 10, at).collect()] == [x.id for x in corpus.list_documents(same, 10, 395).collect()]
+    documents.unpersist()
+
+
+def test_patched_audit_is_the_full_audit(spark):
+    """Random ingests and deletes, with faults of every kind, repeated keys, orphans and null ids."""
+    import random
+
+    r = random.Random(6)
+    when = datetime.datetime(2024, 1, 1)
+
+    def document():
+        n = r.choice([None, *range(12)]) if r.random() < 0.9 else r.randrange(100)
+        bad = r.random() < 0.3
+        return (None if n is None else f"d{n}", "pending" if bad else "indexed", "t", "f", r.choice(["text/plain", "image/png"]), None if r.random() < 0.1 else f"{r.randrange(6):064x}", None, 1, 1, None, None, None, r.choice(["{}", "[1]", "{bad", None]), when)
+
+    def chunk():
+        return (r.choice([None, *[f"c{i}" for i in range(20)]]), r.choice([None, *[f"d{i}" for i in range(14)]]), r.choice([-1, 0, 1]), r.choice(["x", " "]), 1, None, None, None, None, False, [1.0], "m", r.choice([1, 2]))
+
+    docs, chunks = [document() for _ in range(25)], [chunk() for _ in range(40)]
+
+    def frames(d, c):
+        return spark.createDataFrame(d, S.DOCUMENTS_DDL), spark.createDataFrame(c, S.CHUNKS_DDL)
+
+    told = corpus.keyed_audit(*frames(docs, chunks), 1).collect()
+    for _ in range(4):
+        gone, lost = r.sample(docs, 4), r.sample(chunks, 6)
+        new, more = [document() for _ in range(5)], [chunk() for _ in range(7)]
+        for x in gone:
+            docs.remove(x)
+        for x in lost:
+            chunks.remove(x)
+        docs, chunks = docs + new, chunks + more
+        now, changed = frames(docs, chunks), frames(gone + new, lost + more)
+        before = spark.createDataFrame(told, "table_name string, row_id string, rule string, kind string, key string") if told else corpus.keyed_audit(*frames([], []), 1)
+        told = corpus.patch_audit(before, *now, *changed, 1).select("table_name", "row_id", "rule", "kind", "key").collect()
+        full = sorted(str(tuple(x)) for x in corpus.audit_schema(*now, 1).collect())
+        assert full == sorted(str((x.table_name, x.row_id, x.rule)) for x in told) and len(full) > 10
+    nothing = frames([], [])
+    assert corpus.patch_audit(corpus.keyed_audit(*nothing, 1), *nothing, *nothing, 1).count() == 0
+
+
+def test_reindexing_embeds_only_new_texts(spark):
+    old = [("1", "kept", [1.0, 0.0], "m", 2), ("2", "twice", [0.0, 1.0], "m", 2), ("3", "twice", None, None, None), ("4", "gone", [1.0, 1.0], "m", 2), ("5", "other model", [1.0, 1.0], "n", 2), ("6", "zero", [0.0, 0.0], "m", 2), ("7", None, [1.0, 1.0], "m", 2)]
+    new = [("a", "twice"), ("b", "new"), ("c", "new"), ("d", "kept"), ("e", "kept"), ("f", "other model"), ("g", "zero"), ("h", None)]
+    frames = (spark.createDataFrame(old, "chunk_id string, content string, embedding array<float>, embedding_model string, embedding_dimensions int"), spark.createDataFrame(new, "chunk_id string, content string"))
+    moved, pending, gone = vectors.reindex(*frames, "m", 2)
+    assert sorted((r.chunk_id, r.embedding) for r in moved.collect()) == [("a", [0.0, 1.0]), ("d", [1.0, 0.0]), ("e", [1.0, 0.0])]
+    assert sorted((r.content, r.chunks) for r in pending.collect()) == [("new", 2), ("other model", 1), ("zero", 1)]
+    assert gone.count() == 1
+    assert [x.count() for x in vectors.reindex(*(f.where("false") for f in frames), "m", 2)] == [0, 0, 0]
