@@ -418,6 +418,15 @@ def narrowed(windows: DataFrame, sequences: DataFrame, shortest: int, close: boo
     return shared.where("open").select("nid", "key", "place", "open").unionByName(settled.select("nid", "key", "place", "open")), [told, rows]
 
 
+def distinct_groups(windows: DataFrame) -> DataFrame:
+    """``windows(nid, key, place, open)`` without keys whose windows are just those of another key of the same function:
+    neighbouring keys of a long stretch, which would make the same pairs again. Groups are told apart by their size and the sums of two hashes."""
+    sums = [F.try_sum(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "nid", "place", "open"), 24)) for seed in (1, 2)]
+    own = windows.groupBy("key").agg(F.count("*").alias("n"), *(F.coalesce(x, F.col("key")).alias(f"s{i}") for i, x in enumerate(sums)))
+    kept = own.groupBy(F.col("key").bitwiseAND(255).alias("f"), "n", "s0", "s1").agg(F.min("key").alias("key"))
+    return windows.join(kept.select("key"), "key", "left_semi")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: int = 4, enough: int = 2) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` that come again in another document: ``(doc_id, other_id,
     word_start, word_end, other_start, copies)``.
@@ -455,8 +464,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     more = open_pairs(groups.where(~large).drop("size"))
     narrow, raw = narrowed(groups.where(large), sequences, shortest, False)
     narrow, close_raw = narrowed(narrow.withColumn("key", F.expr("key & 255L")).distinct(), sequences, shortest, True)
-    windows = stored(narrow, "close-groups")
+    close = stored(narrow.distinct(), "close-groups")
     forget(*raw, *close_raw)
+    windows = stored(distinct_groups(close), "distinct-groups")
+    forget(close)
     for leaders_each in chain((1,), accumulate(repeat(4), mul, initial=1)):  # 1, 1, 4, 16 ...
         pairs, rest, led = leader_pairs(windows, leaders_each)
         pairs = stored(pairs if more is None else pairs.unionByName(more), "window-pairs")

@@ -527,8 +527,8 @@ def test_matching_stretches_equal_brute_force():
     assert passages.matching_stretches([x], [y.astype(np.uint16)], np.array([-1]), np.array([0]), 46, 0.8).tolist() == [[0, 0, 50, 0, 51]]
 
 
-def _narrow_keys_of(a, close):
-    return set(passages.narrow_keys([a[:0], a], np.array([0, 100]), 46, close)[1].tolist())
+def _narrow_keys_of(a, close, settled=False):
+    return set(passages.narrow_keys([a[:0], a], np.array([0, 100]), 46, close, np.array([True, not settled]))[1].tolist())
 
 
 @pytest.mark.parametrize("close", [False, True])
@@ -549,6 +549,50 @@ def test_narrow_keys_survive_a_substituted_word(close):
     assert not close or not _narrow_keys_of(a, close) & _narrow_keys_of(b, close)
 
 
+@pytest.mark.parametrize("close", [False, True])
+def test_narrow_keys_survive_a_word_put_in_or_left_out(close):
+    rng = np.random.default_rng(20)
+    for start in range(0, 46, 4):  # where the window's place lies in the passage of text a, of 46 shingles
+        for at in range(1, 46, 2):  # shingles at .. at + 3 of a are gone; b has five others there
+            if at <= start < at + 4:
+                continue  # the place itself is changed: another window's
+            a, b = rng.integers(0, 2**16, (2, 240)).astype(np.uint16)
+            begin = 100 - start
+            moved = 0 if start < at else 1  # the place of b's window: texts are aligned there
+            b[begin - moved : begin - moved + at] = a[begin : begin + at]
+            b[begin - moved + at + 5 : begin - moved + 47] = a[begin + at + 4 : begin + 46]
+            assert b[100] == a[100]
+            for settled_a, settled_b in ((False, False), (True, False), (False, True)):
+                assert _narrow_keys_of(a, close, settled_a) & _narrow_keys_of(b, close, settled_b), (start, at)
+
+
+def test_pairs_in_groups_of_every_size_are_told(spark):
+    """Pairs of a passage with one word changed, put in or left out, in groups of 10, 40 and 400 looser variants of the passage,
+    which are no passages of one another."""
+    rng, texts, pairs = random.Random(21), [], set()
+    for size in (10, 40, 400):
+        for edit in ("change", "put in", "leave out"):
+            base = words_of(rng, 58, 10**6)
+
+            def looser():
+                copy = list(base)
+                for at in rng.sample(range(58), 8):
+                    copy[at] = f"q{rng.randrange(10**7)}"
+                return copy
+
+            for k in range(size):
+                one = looser()
+                some = [one]
+                if k < 2 * min(size // 4, 15):
+                    other, at = list(one), rng.randrange(8, 50)
+                    other[at : at + (edit != "put in")] = [] if edit == "leave out" else [f"new{rng.randrange(10**7)}"]
+                    some.append(other)
+                    pairs |= {len(texts), len(texts) + 1}
+                texts += [[*words_of(rng, rng.randint(20, 60), 10**6), *t, *words_of(rng, rng.randint(20, 60), 10**6)] for t in some]
+    got = {r.doc_id for r in passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert len(got & pairs) >= 0.97 * len(pairs) and len(got - pairs) <= 0.01 * len(texts)
+
+
 def test_every_passage_of_a_pair_is_told(spark):
     rng = random.Random(18)
     two = [words_of(rng, 240, 10**6) for _ in range(2)]
