@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,9 +110,9 @@ def _ringed(rows: DataFrame, column: str, rings: Rings, schema: str) -> DataFram
 
 
 def _rings(live: DataFrame, asked: DataFrame, total: int) -> Rings:
-    """Pivots are the chunks with the smallest hashes; the driver gets them, and for each the quantiles of the angles
+    """Pivots are the chunks with the smallest hashes: more than there will be clusters, so that rings are narrow. The driver gets them, and for each the quantiles of the angles
     around it and its number of queries."""
-    rows = live.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max(2 * total // CHUNK_BLOCK, 2), PIVOTS)).collect()
+    rows = live.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max(2 * total // CHUNK_BLOCK, 2 * math.isqrt(total)), PIVOTS)).collect()
     pivots = _unit(pd.Series([r.embedding for r in rows]))
     rings = Rings(pivots, np.zeros((len(pivots), 2)), np.zeros((len(pivots), 1), np.int64), np.zeros(0), np.zeros(0))
     steps = [i / RINGS for i in range(RINGS + 1)]
@@ -119,10 +120,12 @@ def _rings(live: DataFrame, asked: DataFrame, total: int) -> Rings:
     told = own.agg(F.count("*").alias("n"), F.percentile_approx("angle", steps, 1000).alias("q"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
     edges, parts = np.zeros((len(pivots), RINGS + 1)), np.zeros((len(pivots), RINGS), np.int64)
     for r in told:
+        # rings of about CHUNK_BLOCK chunks, and narrow ones for the few that lie far from every pivot
         size = min(-(-r.n // CHUNK_BLOCK), RINGS)
-        cuts = [r.low, *(r.q[i * RINGS // size] for i in range(1, size)), r.high]
-        edges[r.pivot] = np.maximum.accumulate(np.pad(cuts, (0, RINGS - size), constant_values=r.high))
-        parts[r.pivot, :size] = -(-r.n // (size * CHUNK_BLOCK))
+        at = sorted({i * RINGS // size for i in range(1, size)} | {RINGS - (RINGS >> k) for k in range(2, 6) if 0 < RINGS >> k and r.n >= 16})
+        cuts, shares = [r.low, *(r.q[i] for i in at), r.high], np.diff([0, *at, RINGS]) / RINGS
+        edges[r.pivot] = np.maximum.accumulate(np.pad(cuts, (0, RINGS - len(shares)), constant_values=r.high))
+        parts[r.pivot, : len(shares)] = np.ceil(np.maximum(r.n * shares / CHUNK_BLOCK, 1e-9))
     # pivots that lie near each other share groups of queries, so that a group needs few rings
     asks = {r.pivot: r.n for r in _ringed(asked.select("asked"), "asked", rings, "asked array<double>").groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     sims, order, left = pivots @ pivots.T, [0], np.ones(len(pivots), bool)
@@ -249,15 +252,13 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
     )
 
 
-def skipped_pairs(chunks: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> tuple[int, int]:
-    """(pairs of a group of queries and a part of a ring that the threshold alone skips, all pairs), of vectors that can be searched."""
-    asked = queries.select("query_id", "top_k", F.col("embedding").cast("array<double>").alias("asked"), F.lit(threshold).alias("least"))
+def skipped_meetings(chunks: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> tuple[int, int]:
+    """(meetings of a query and a ring that the threshold alone skips, all meetings), of vectors that can be searched."""
+    asked = queries.select("query_id", "top_k", F.col("embedding").cast("array<double>").alias("asked"), F.lit(threshold).cast("double").alias("least"))
     live = chunks.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
     rings = _rings(live, asked, live.count())
-    need = {(r.pivot, r.ring, r.q) for r in _routed(asked, rings, threshold).select("pivot", "ring", "q").distinct().collect()}
-    groups = int((rings.begins + rings.groups).max())
-    every = int(rings.parts.sum()) * groups
-    return every - sum(int(rings.parts[p, r]) for p, r, _ in need), every
+    every = asked.count() * int((rings.parts > 0).sum())
+    return every - _routed(asked, rings, threshold).count(), every
 
 
 def gate_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:

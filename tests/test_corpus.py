@@ -297,7 +297,7 @@ def test_pruned_search_is_exact(spark, monkeypatch, spread, threshold):
         chunks, queries = spark.createDataFrame(rows, CHUNKS).repartition(parts), spark.createDataFrame(asked, QUERIES).repartition(parts)
         got = sorted(map(tuple, retrieval.retrieve(chunks, docs, queries, threshold).select("query_id", "rank", "chunk_id").collect()))
         assert got == want
-    skipped, every = retrieval.skipped_pairs(chunks.where("size(embedding) = 8 and chunk_id like 'c%'"), queries.where("query_id < 100"), threshold)
+    skipped, every = retrieval.skipped_meetings(chunks.where("size(embedding) = 8 and chunk_id like 'c%'"), queries.where("query_id < 100"), threshold)
     assert 0 <= skipped < every and (spread > 0.1 or skipped > 0.25 * every)
 
 
