@@ -204,6 +204,8 @@ def searchable(chunks: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame
 
 
 def _hits_of(live: DataFrame, asked: DataFrame, threshold: float, total: int, queries: int) -> DataFrame:
+    if not total or not queries:
+        return live.sparkSession.createDataFrame([], HITS)
     if total <= CHUNK_BLOCK and queries <= QUERY_BLOCK:  # one block of each
         one = [df.withColumn("block", F.lit(0)).groupBy("block") for df in (asked, live)]
         return one[0].cogroup(one[1]).applyInPandas(_scorer(threshold), HITS)

@@ -301,7 +301,7 @@ def test_pruned_search_is_exact(spark, monkeypatch, spread, threshold):
     assert 0 <= skipped < every and (spread > 0.1 or skipped > 0.25 * every)
 
 
-def test_search_over_vectors_that_are_not_there_yet(spark):
+def test_search_over_vectors_that_are_not_there_yet(spark, monkeypatch):
     docs = spark.createDataFrame([("d",)], "id string")
     rows = [("a", "d", 0, None), ("b", "d", 1, [1.0]), ("c", "d", 2, [0.0, 0.0]), ("e", "d", 3, [3.0, 4.0])]
     chunks, queries = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([(1, 5, [0.6, 0.8]), (2, None, [0.6, 0.8]), (3, 5, None)], QUERIES)
@@ -310,6 +310,8 @@ def test_search_over_vectors_that_are_not_there_yet(spark):
     assert retrieval.retrieve(chunks.where("false"), docs, queries).count() == retrieval.retrieve(chunks, docs, queries.where("false")).count() == 0
     with pytest.raises(ValueError):
         retrieval.retrieve(chunks, docs, spark.createDataFrame([(1, 5, [1.0]), (2, 5, [1.0, 2.0])], QUERIES))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
+    assert retrieval.retrieve(chunks.where("false"), docs, queries).count() == retrieval.retrieve(chunks, docs, queries.where("false")).count() == 0
 
 
 def test_vectors(spark):
