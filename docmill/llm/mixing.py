@@ -8,7 +8,8 @@ than its share, until the first source ends; the others keep their proportions,
 the next release where none is left to fill a slot.
 
 The schedule has a row for each block: blocks grow with the table, so that there are no more than
-``MOST_BLOCKS`` and one for each source, whatever the number of rows, and one fold can make it. Ranks
+``MOST_BLOCKS`` and one for each source, whatever the number of rows, and one fold can make it, which
+looks at few sources for each block, however many there are. Ranks
 inside a source are counted in hash buckets and summed, so that no task sorts a whole source.
 """
 
@@ -24,8 +25,8 @@ from docmill.llm.store import stored
 
 #: Blocks have so many rows at least; the number of blocks, but for the last one of each source.
 LEAST_BLOCK, MOST_BLOCKS = 8, 1 << 16
-#: Blocks that are scheduled in one go: their list is copied no more than this many times.
-_GO = 256
+#: Blocks that are scheduled in one go.
+_GO = 128
 
 
 def _sources(docs: DataFrame, weights: Mapping[str, float] | None, block: int | None) -> DataFrame:
@@ -45,54 +46,63 @@ def _sources(docs: DataFrame, weights: Mapping[str, float] | None, block: int |
 
 def _schedule(sources: DataFrame) -> DataFrame:
     """``(key, turn, slot, start)``: for each block its slot and the place of its first row in the mixture.
-    Sources without a weight come after all others, one after the other."""
+    Sources without a weight come after all others, one after the other.
+
+    Blocks are scheduled in goes of ``_GO``. A go looks at the next block of those sources only that it can
+    reach, however many others wait: of blocks with one release time the ``_GO`` most urgent, and of releases those up
+    to the last one that time can leap to, and a go further. The others are passed on as they are."""
     row = sources.where("w > 0").agg(F.array_sort(F.collect_list(F.struct("key", "w", "blocks"))).alias("s"))
-    row = row.select(F.col("s.key").alias("keys"), F.col("s.w").alias("w"), F.col("s.blocks").alias("b"), F.aggregate("s.w", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
-    total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)
+    row = row.select(F.col("s.key").alias("keys"), "s", *(F.aggregate(f"s.{n}", F.lit(0).cast("long"), lambda a, x: a + x).alias(m) for n, m in (("w", "all"), ("blocks", "total"))))
 
     def let(value: Column, body) -> Column:
         return F.transform(F.array(value), body)[0]
 
-    def open_blocks(done: Column) -> Column:
-        """Release, deadline, weight and number of each source that has a block left."""
-        some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: done[i] < F.col("b")[i])
-        return F.transform(
-            some,
-            lambda i: F.struct(
-                F.call_function("div", done[i] * F.col("all"), F.col("w")[i]).alias("release"),
-                F.call_function("div", (done[i] + 1) * F.col("all") + F.col("w")[i] - 1, F.col("w")[i]).alias("deadline"),
-                (-F.col("w")[i]).alias("light"), i.alias("i"),
-            ),
-        )
+    def block_of(done: Column, light: Column, i: Column, blocks: Column) -> Column:
+        """Release, deadline, weight and number of the next block of a source; ``light`` is the weight, negative."""
+        release, deadline = (F.call_function("div", x, -light) for x in (done * F.col("all"), (done + 1) * F.col("all") - light - 1))
+        return F.struct(release.alias("release"), deadline.alias("deadline"), light.alias("light"), i.alias("i"), done.alias("done"), blocks.alias("blocks"))
 
     def step(state: Column, _: Column) -> Column:
-        def place(blocks: Column) -> Column:
-            now = F.greatest(state["now"], F.array_min(F.transform(blocks, lambda x: x["release"])))
-
-            def take(t: Column) -> Column:
-                urgent = F.transform(F.filter(blocks, lambda x: x["release"] <= t), lambda x: F.struct(x["deadline"], x["light"], x["i"].alias("i")))
-                return let(
-                    F.array_min(urgent)["i"],
-                    lambda p: F.struct(
-                        (t + 1).alias("now"), F.transform(state["done"], lambda d, i: d + F.when(i == p, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("done"),
-                        F.concat(state["turns"], F.array(F.struct(p.alias("i"), state["done"][p].alias("turn"), t.alias("slot")))).alias("turns"),
-                    ),
-                )
-
-            return let(now, take)
-
-        return let(open_blocks(state["done"]), place)
+        def take(t: Column) -> Column:
+            released = F.filter(state["open"], lambda x: x["release"] <= t)
+            return let(
+                F.array_min(F.transform(released, lambda x: F.struct(x["deadline"], x["light"], x["i"].alias("i"), x["done"].alias("done")))),
+                lambda p: F.struct(
+                    (t + 1).alias("now"),
+                    F.filter(
+                        F.transform(state["open"], lambda x: F.when(x["i"] == p["i"], block_of(x["done"] + 1, x["light"], x["i"], x["blocks"])).otherwise(x)), lambda x: x["done"] < x["blocks"]
+                    ).alias("open"),
+                    F.concat(state["turns"], F.array(F.struct(p["i"].alias("i"), p["done"].alias("turn"), t.alias("slot")))).alias("turns"),
+                ),
+            )
+
+        return let(F.greatest(state["now"], F.array_min(F.transform(state["open"], lambda x: x["release"]))), take)
 
     none = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("slot"))), lambda _: F.lit(False))
 
     def go(state: Column, k: Column) -> Column:
-        some = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_GO).cast("long"), total - k * _GO))
-        own = F.aggregate(some, F.struct(state["now"].alias("now"), state["done"].alias("done"), none.alias("turns")), step)
-        return let(own, lambda x: F.struct(x["now"].alias("now"), x["done"].alias("done"), F.concat(state["turns"], x["turns"]).alias("turns")))
-
-    start = F.struct(F.lit(0).cast("long").alias("now"), F.transform("w", lambda _: F.lit(0).cast("long")).alias("done"), none.alias("turns"))
-    gos = F.sequence(F.lit(0).cast("long"), F.call_function("div", total - 1, F.lit(_GO).cast("long")))
-    made = row.where(F.size("w") > 0).select("keys", F.explode(F.aggregate(gos, start, go)["turns"]).alias("x"))
+        def reached(blocks: Column, at: Column) -> Column:
+            x, before = F.get(blocks, at), F.get(blocks, at - _GO)
+            return (at < _GO) | (x["release"] <= F.get(blocks, F.lit(_GO))["release"] + _GO) & (before["release"] < x["release"])
+
+        def run(blocks: Column) -> Column:
+            steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_GO).cast("long"), F.col("total") - k * _GO))
+            start = F.struct(state["now"].alias("now"), F.filter(blocks, lambda _, at: reached(blocks, at)).alias("open"), none.alias("turns"))
+            return let(
+                F.aggregate(steps, start, step),
+                lambda x: F.struct(
+                    x["now"].alias("now"), F.concat(x["open"], F.filter(blocks, lambda _, at: ~reached(blocks, at))).alias("open"), F.concat(state["goes"], F.array(x["turns"])).alias("goes")
+                ),
+            )
+
+        released = F.transform(state["open"], lambda x: x.withField("release", F.greatest(x["release"], state["now"])))
+        return let(F.sort_array(released), run)
+
+    zero = F.lit(0).cast("long")
+    blocks = F.transform("s", lambda x, i: block_of(zero, -x["w"], i, x["blocks"]))
+    start = F.struct(zero.alias("now"), blocks.alias("open"), F.filter(F.array(none), lambda _: F.lit(False)).alias("goes"))
+    goes = F.sequence(zero, F.call_function("div", F.col("total") - 1, F.lit(_GO).cast("long")))
+    made = row.where(F.size("s") > 0).select("keys", F.explode(F.flatten(F.aggregate(goes, start, go)["goes"])).alias("x"))
     made = made.select(F.col("keys")[F.col("x.i")].alias("key"), "x.turn", "x.slot")
     late = sources.where("w <= 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"), F.lit(None).cast("long").alias("slot"))
     both = made.unionByName(late).join(sources.select("key", "n", "block"), "key")
@@ -112,7 +122,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     through 65,536, if that is more. Rows of a source are in the order of md5(doc_id), then doc_id; repeated
     rows get a place each. No row is left out or repeated, and there may be any number of sources.
     Columns of docs named mix_block, mix_slot or mix_position are replaced; null and empty texts are
-    rows like others. An empty table gives an empty result.
+    rows like others; a null doc_id counts as an empty one. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
     p = "_mix"

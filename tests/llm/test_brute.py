@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
@@ -12,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from docmill.llm import language, passages, toxicity, urls
+from docmill.llm import language, mixing, passages, toxicity, urls
 from docmill.llm.text import Words, shingles
 
 
@@ -219,3 +220,42 @@ def test_told_spans_are_passages(spark):
         a = shingled(own)
         alike = max(len(a & b) / len(a | b) for b in (shingled(other[r.other_start : r.other_start + len(own) + d]) for d in range(-3, 4)))
         assert alike >= 0.8, (r, alike)
+
+
+# ---------------------------------------------------------------- op4
+
+
+def earliest_deadline_first(sources: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(key, turn, slot) of (key, weight, blocks) with a heap over all sources."""
+    sources, now, told = sorted(sources), 0, []
+    total, ready = sum(w for _, w, _ in sources), []
+    waiting = [(0, i, 0) for i in range(len(sources))]
+    while waiting or ready:
+        now = now if ready else max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            _, i, turn = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(turn + 1) * total // sources[i][1]), -sources[i][1], i, turn))
+        _, _, i, turn = heapq.heappop(ready)
+        told.append((sources[i][0], turn, now))
+        now += 1
+        if turn + 1 < sources[i][2]:
+            heapq.heappush(waiting, ((turn + 1) * total // sources[i][1], i, turn + 1))
+    return told
+
+
+@pytest.mark.parametrize("go, many", [(2, 1), (3, 40), (8, 150), (128, 400)])
+def test_schedule_by_goes_equals_one_heap_over_all_sources(spark, monkeypatch, go, many):
+    monkeypatch.setattr(mixing, "_GO", go)  # goes that are shorter than the list, with leaps of time and many ties
+    rng = random.Random(many)
+    sources = [(f"s{i}", rng.choice([1, 1, 2, 50, rng.randint(1, 1000), 10**6]), rng.choice([1, 1, 2, 3, 25])) for i in range(many)]
+    df = spark.createDataFrame([(k, 2 * b, w, 2, b) for k, w, b in sources], "key string, n long, w long, block long, blocks long")
+    got = sorted((tuple(r) for r in mixing._schedule(df).select("key", "turn", "slot").collect()), key=lambda r: r[2])
+    assert got == earliest_deadline_first(sources)
+
+
+def test_six_thousand_sources_equal_one_heap(spark):
+    rng = random.Random(7)
+    sources = [(f"s{i:04}", rng.randint(1, 10**5), 2) for i in range(6000)]
+    df = spark.createDataFrame([(k, 2 * b, w, 2, b) for k, w, b in sources], "key string, n long, w long, block long, blocks long")
+    got = sorted((tuple(r) for r in mixing._schedule(df).select("key", "turn", "slot").collect()), key=lambda r: r[2])
+    assert got == earliest_deadline_first(sources)
