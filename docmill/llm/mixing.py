@@ -51,34 +51,36 @@ def _schedule(sources: DataFrame) -> DataFrame:
     Blocks are scheduled in goes of ``_GO``. A go looks at the next block of those sources only that it can
     reach, however many others wait: of blocks with one release time the ``_GO`` most urgent, and of releases those up
     to the last one that time can leap to, and a go further. The others are passed on as they are."""
-    row = sources.where("w > 0").agg(F.array_sort(F.collect_list(F.struct("key", "w", "blocks"))).alias("s"))
-    row = row.select(F.col("s.key").alias("keys"), "s", *(F.aggregate(f"s.{n}", F.lit(0).cast("long"), lambda a, x: a + x).alias(m) for n, m in (("w", "all"), ("blocks", "total"))))
+    row = sources.where("w > 0").agg(F.array_sort(F.collect_list(F.struct("key", "w", "blocks", "n"))).alias("s"), F.max("block").alias("block"))
+    row = row.select(F.col("s.key").alias("keys"), "s", "block", *(F.aggregate(f"s.{n}", F.lit(0).cast("long"), lambda a, x: a + x).alias(m) for n, m in (("w", "all"), ("blocks", "total"))))
 
     def let(value: Column, body) -> Column:
         return F.transform(F.array(value), body)[0]
 
-    def block_of(done: Column, light: Column, i: Column, blocks: Column) -> Column:
+    def block_of(done: Column, light: Column, i: Column, blocks: Column, n: Column) -> Column:
         """Release, deadline, weight and number of the next block of a source; ``light`` is the weight, negative."""
         release, deadline = (F.call_function("div", x, -light) for x in (done * F.col("all"), (done + 1) * F.col("all") - light - 1))
-        return F.struct(release.alias("release"), deadline.alias("deadline"), light.alias("light"), i.alias("i"), done.alias("done"), blocks.alias("blocks"))
+        return F.struct(release.alias("release"), deadline.alias("deadline"), light.alias("light"), i.alias("i"), done.alias("done"), blocks.alias("blocks"), n.alias("n"))
 
     def step(state: Column, _: Column) -> Column:
         def take(t: Column) -> Column:
             released = F.filter(state["open"], lambda x: x["release"] <= t)
             return let(
-                F.array_min(F.transform(released, lambda x: F.struct(x["deadline"], x["light"], x["i"].alias("i"), x["done"].alias("done")))),
+                F.array_min(F.transform(released, lambda x: F.struct(x["deadline"], x["light"], *(x[n].alias(n) for n in ("i", "done", "n"))))),
                 lambda p: F.struct(
-                    (t + 1).alias("now"),
+                    (t + 1).alias("now"), (state["rows"] + F.least(F.col("block"), p["n"] - p["done"] * F.col("block"))).alias("rows"),
                     F.filter(
-                        F.transform(state["open"], lambda x: F.when(x["i"] == p["i"], block_of(x["done"] + 1, x["light"], x["i"], x["blocks"])).otherwise(x)), lambda x: x["done"] < x["blocks"]
+                        F.transform(state["open"], lambda x: F.when(x["i"] == p["i"], block_of(x["done"] + 1, *(x[n] for n in ("light", "i", "blocks", "n")))).otherwise(x)),
+                        lambda x: x["done"] < x["blocks"],
                     ).alias("open"),
-                    F.concat(state["turns"], F.array(F.struct(p["i"].alias("i"), p["done"].alias("turn"), t.alias("slot")))).alias("turns"),
+                    F.concat(state["turns"], F.array(F.struct(p["i"].alias("i"), p["done"].alias("turn"), t.alias("slot"), state["rows"].alias("start")))).alias("turns"),
                 ),
             )
 
         return let(F.greatest(state["now"], F.array_min(F.transform(state["open"], lambda x: x["release"]))), take)
 
-    none = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("slot"))), lambda _: F.lit(False))
+    zero = F.lit(0).cast("long")
+    none = F.filter(F.array(F.struct(F.lit(0).alias("i"), zero.alias("turn"), zero.alias("slot"), zero.alias("start"))), lambda _: F.lit(False))
 
     def go(state: Column, k: Column) -> Column:
         def reached(blocks: Column, at: Column) -> Column:
@@ -87,29 +89,30 @@ def _schedule(sources: DataFrame) -> DataFrame:
 
         def run(blocks: Column) -> Column:
             steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_GO).cast("long"), F.col("total") - k * _GO))
-            start = F.struct(state["now"].alias("now"), F.filter(blocks, lambda _, at: reached(blocks, at)).alias("open"), none.alias("turns"))
+            start = F.struct(state["now"].alias("now"), state["rows"].alias("rows"), F.filter(blocks, lambda _, at: reached(blocks, at)).alias("open"), none.alias("turns"))
             return let(
                 F.aggregate(steps, start, step),
                 lambda x: F.struct(
-                    x["now"].alias("now"), F.concat(x["open"], F.filter(blocks, lambda _, at: ~reached(blocks, at))).alias("open"), F.concat(state["goes"], F.array(x["turns"])).alias("goes")
+                    x["now"].alias("now"), x["rows"].alias("rows"), F.concat(x["open"], F.filter(blocks, lambda _, at: ~reached(blocks, at))).alias("open"),
+                    F.concat(state["goes"], F.array(x["turns"])).alias("goes"),
                 ),
             )
 
         released = F.transform(state["open"], lambda x: x.withField("release", F.greatest(x["release"], state["now"])))
         return let(F.sort_array(released), run)
 
-    zero = F.lit(0).cast("long")
-    blocks = F.transform("s", lambda x, i: block_of(zero, -x["w"], i, x["blocks"]))
-    start = F.struct(zero.alias("now"), blocks.alias("open"), F.filter(F.array(none), lambda _: F.lit(False)).alias("goes"))
+    blocks = F.transform("s", lambda x, i: block_of(zero, -x["w"], i, x["blocks"], x["n"]))
+    start = F.struct(zero.alias("now"), zero.alias("rows"), blocks.alias("open"), F.filter(F.array(none), lambda _: F.lit(False)).alias("goes"))
     goes = F.sequence(zero, F.call_function("div", F.col("total") - 1, F.lit(_GO).cast("long")))
-    made = row.where(F.size("s") > 0).select("keys", F.explode(F.flatten(F.aggregate(goes, start, go)["goes"])).alias("x"))
-    made = made.select(F.col("keys")[F.col("x.i")].alias("key"), "x.turn", "x.slot")
-    late = sources.where("w <= 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"), F.lit(None).cast("long").alias("slot"))
-    both = made.unionByName(late).join(sources.select("key", "n", "block"), "key")
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("slot").isNull(), "slot", "key", "turn")  # a row for each block
-    rows = F.least(F.col("block"), F.col("n") - F.col("turn") * F.col("block"))
-    after = F.coalesce(F.max("slot").over(order) + 1, F.lit(0)) + F.count_if(F.col("slot").isNull()).over(order) - 1
-    return both.select("key", "turn", F.coalesce("slot", after).alias("slot"), (F.sum(rows).over(order.rowsBetween(Window.unboundedPreceding, 0)) - rows).alias("start"))
+    made = row.where(F.size("s") > 0).select("keys", F.aggregate(goes, start, go).alias("x")).select("keys", "x.now", "x.rows", F.flatten("x.goes").alias("turns"))
+    made = stored(made, "turns")
+    slots, rows = made.select("now", "rows").first() or (0, 0)  # what the blocks of sources without a weight come after
+    before = Window.partitionBy(F.lit(1)).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source without a weight
+    late = sources.where("w <= 0").select("key", "blocks", "block", *((F.coalesce(F.sum(n).over(before), zero) + told).alias(f"first_{n}") for n, told in (("blocks", slots), ("n", rows))))
+    late = late.select("key", "block", "first_blocks", "first_n", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("turn"))
+    late = late.select("key", "turn", (F.col("first_blocks") + F.col("turn")).alias("slot"), (F.col("first_n") + F.col("turn") * F.col("block")).alias("start"))
+    made = made.select("keys", F.explode("turns").alias("x"))
+    return made.select(F.col("keys")[F.col("x.i")].alias("key"), "x.turn", "x.slot", "x.start").unionByName(late)
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int | None = None) -> DataFrame:

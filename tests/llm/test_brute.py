@@ -9,6 +9,7 @@ import re
 import time
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -248,9 +249,14 @@ def test_schedule_by_goes_equals_one_heap_over_all_sources(spark, monkeypatch, g
     monkeypatch.setattr(mixing, "_GO", go)  # goes that are shorter than the list, with leaps of time and many ties
     rng = random.Random(many)
     sources = [(f"s{i}", rng.choice([1, 1, 2, 50, rng.randint(1, 1000), 10**6]), rng.choice([1, 1, 2, 3, 25])) for i in range(many)]
-    df = spark.createDataFrame([(k, 2 * b, w, 2, b) for k, w, b in sources], "key string, n long, w long, block long, blocks long")
-    got = sorted((tuple(r) for r in mixing._schedule(df).select("key", "turn", "slot").collect()), key=lambda r: r[2])
-    assert got == earliest_deadline_first(sources)
+    late = [("a", 0, 3), ("t", 0, 2)]  # each source but the late ones has a last block of one row
+    df = spark.createDataFrame([(k, 2 * b - (w > 0), w, 2, b) for k, w, b in [*sources, *late]], "key string, n long, w long, block long, blocks long")
+    got = sorted((tuple(r) for r in mixing._schedule(df).select("key", "turn", "slot", "start").collect()), key=lambda r: r[2])
+    want = earliest_deadline_first(sources)
+    want += [(k, turn, want[-1][2] + 1 + i) for i, (k, turn) in enumerate((k, turn) for k, _, b in late for turn in range(b))]
+    last = {k: b - 1 for k, _, b in sources}
+    starts = accumulate((2 - (last.get(k) == turn) for k, turn, _ in want), initial=0)
+    assert got == [(*x, start) for x, start in zip(want, starts, strict=False)]
 
 
 def test_six_thousand_sources_equal_one_heap(spark):
