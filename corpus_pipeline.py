@@ -10,15 +10,13 @@ along, and an empty table gives an empty table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm.decontaminate import without_overlaps
 from docmill.llm.mixing import mix_sources
 from docmill.llm.near_dedup import keep_one
 from docmill.llm.secrets import redact
-from docmill.llm.store import scratch_dir
+from docmill.llm.store import stored
 from docmill.llm.toxicity import without_toxic
 
 
@@ -64,10 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.option("compression", "zstd").parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            docs = stored(docs, f"pipeline-{k}-{name}")  # texts go to Python in small batches
     return docs
