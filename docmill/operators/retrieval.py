@@ -8,21 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill import schemas as S
 from docmill.functions.text import strip
 from docmill.operators.vectors import assert_single_index, vector_error
+from docmill.sources.scratch import written_once
 
-#: Queries and chunks meet in blocks of about so many: 4096 x 768 doubles are 25 MB.
-QUERY_BLOCK = CHUNK_BLOCK = 4096
+#: Queries and chunks meet in groups and cells of at most so many, and of at most so many values (32 MB).
+QUERY_BLOCK = CHUNK_BLOCK = 1 << 14
+_VALUES = 1 << 22
 #: Chunks that stand for the places around them, at most (12 MB of 768 floats); rings around each of them, at most.
-PIVOTS, RINGS = 4096, 32
+PIVOTS, RINGS = 4096, 8
 #: Bounds are taken to be larger by this, for what rounding may do to them.
 _SLACK = 1e-6
-#: Products of unit vectors differ by less than this for any order of summing; pairs that are multiplied at once.
-_EQUAL, _PAIRS = 1e-9, 1 << 16
+#: Products of unit vectors differ by less than this for any order of summing.
+_EQUAL = 1e-9
+#: Pairs that are multiplied at once (8 MB), and the chunks among them.
+_PRODUCTS, _TILE = 1 << 20, 1 << 10
 
 
 def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +40,7 @@ def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 HITS = "query_id long, chunk_id string, document_id string, chunk_index int, raw double"
+LIVE = "chunk_id string, document_id string, chunk_index int, embedding array<float>"
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -43,157 +48,176 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row. In a matrix product the last bits of a value depend on the rows around it; here equal vectors have equal
-    values in all tasks, so that ties are ties."""
-    return (a * b).sum(axis=1)
+def _products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Row ``i`` of a by row ``j`` of b, row by row. In a matrix product the last bits of a value depend on the rows around it; here equal
+    vectors have equal values in all tasks, so that ties are ties."""
+    step = max(_VALUES // a.shape[1], 1)
+    return np.concatenate([(a[i[k : k + step]] * b[j[k : k + step]]).sum(axis=1) for k in range(0, max(len(i), 1), step)])
+
+
+def _best(q: np.ndarray, c: np.ndarray, raw: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, chunk, value, rank from 0) of the ``k[q]`` best hits of each query; of equal ones the first chunks."""
+    order = np.lexsort((c, -raw, q))
+    q, c, raw = q[order], c[order], raw[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    good = rank < k[q]
+    return q[good], c[good], raw[good], rank[good]
 
 
 def _scorer(threshold: float):
     def score(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        """The best hits of a meeting. Whatever the vectors are, there are never more than _PRODUCTS pairs at once and top_k hits of
+        a query: a query's k-th hit so far is the least that later chunks must reach."""
         if not len(queries) or not len(chunks):
             kinds = {"query_id": "int64", "chunk_id": object, "document_id": object, "chunk_index": "int32", "raw": "float64"}
             return pd.DataFrame({n: pd.Series(dtype=k) for n, k in kinds.items()})
-        asked, units, least = _unit(queries["asked"]), _unit(chunks["embedding"]), np.maximum(queries["least"].to_numpy(), threshold)
-        q, c = np.nonzero(asked @ units.T >= least[:, None] - _EQUAL)
-        raw = np.concatenate([_products(asked[q[i : i + _PAIRS]], units[c[i : i + _PAIRS]]) for i in range(0, max(len(q), 1), _PAIRS)])
-        good = raw >= least[q]
-        q, c, raw = q[good], c[good], raw[good]
+        chunks = chunks.sort_values(["document_id", "chunk_index", "chunk_id"], na_position="first")
+        asked, least = _unit(queries["asked"]), np.maximum(queries["least"].to_numpy(), threshold)
+        k = np.minimum(queries["top_k"].to_numpy(), S.TOP_K_MAX)
+        most, hits = int(k.max()), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for at in range(0, len(chunks), _TILE):
+            units, found = _unit(chunks["embedding"].iloc[at : at + _TILE]), [hits]
+            step = _PRODUCTS // len(units)
+            for begin in range(0, len(asked), step):
+                own, low = asked[begin : begin + step], least[begin : begin + step]
+                near, cut = own @ units.T, low - _EQUAL
+                many = np.flatnonzero((near >= cut[:, None]).sum(1) > most)
+                if len(many):
+                    cut[many] = np.maximum(cut[many], np.partition(near[many], -most, axis=1)[:, -most] - 2 * _EQUAL)
+                q, c = np.nonzero(near >= cut[:, None])
+                raw = _products(own, q, units, c)
+                good = raw >= low[q]
+                found.append(_best(q[good] + begin, c[good] + at, raw[good], k)[:3])
+            *hits, rank = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+            last = rank == k[hits[0]] - 1
+            least[hits[0][last]] = hits[2][last]
+        q, c, raw = hits
         own = chunks.iloc[c]
-        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": raw})
-        out["k"] = queries["top_k"].to_numpy()[q]
-        out = out.sort_values(["query_id", "raw", "document_id", "chunk_index", "chunk_id"], ascending=[True, False, True, True, True])
-        return out[out.groupby("query_id").cumcount() < out["k"]].drop(columns="k")  # no more of a block can be in the top k
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "chunk_id": own["chunk_id"].to_numpy(), "document_id": own["document_id"].to_numpy(), "chunk_index": own["chunk_index"].to_numpy(), "raw": raw})
 
     return score
 
 
-@dataclass(frozen=True)
-class Rings:
-    """Chunks lie around the pivot that is nearest to them, in rings of about CHUNK_BLOCK chunks; a ring that has
-    more is cut into parts by hash. ``edges`` (pivots x rings + 1) are the angles between rings, ``parts`` the number
-    of parts of each ring (0: there is no such ring), ``groups`` and ``begins`` the groups of queries of a pivot."""
+def _packed(counts: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of neighbours with so many rows, in cells of ``size`` rows at most. What has
+    more rows than a cell has cells of its own, over which it is spread."""
+    first, parts, at, room = [], [], 0, size
+    for n in counts:
+        if n > room and room < size:
+            at, room = at + 1, size
+        first.append(at)
+        parts.append(max(-(-n // size), 1))
+        at, room = (at + parts[-1], size) if parts[-1] > 1 else (at, room - n)
+    return np.array(first, np.int64), np.array(parts, np.int64)
 
-    pivots: np.ndarray
-    edges: np.ndarray
-    parts: np.ndarray
-    groups: np.ndarray
-    begins: np.ndarray
-
-    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pivot of each row, the first of equally near ones, and the angle to it."""
-        sims = unit @ self.pivots.T
-        at, least = sims.argmax(1), sims.max(1) - _EQUAL
-        for row in np.flatnonzero((sims >= least[:, None]).sum(1) > 1):
-            some = np.flatnonzero(sims[row] >= least[row])
-            at[row] = some[_products(unit[[row] * len(some)], self.pivots[some]).argmax()]
-        return at, np.arccos(np.clip(_products(unit, self.pivots[at]), -1, 1))
 
-    def bounds(self, unit: np.ndarray) -> np.ndarray:
-        """What the cosine with a chunk of each ring is at most (rows x pivots x rings), by the triangle inequality of angles."""
-        angles = np.arccos(np.clip(unit @ self.pivots.T, -1, 1))[:, :, None]
-        least = np.maximum(np.maximum(angles - self.edges[None, :, 1:], self.edges[None, :, :-1] - angles), 0)
-        return np.where(self.parts[None] > 0, np.cos(np.minimum(least, np.pi)) + _SLACK, -2.0)
+def _pivots(live: DataFrame, total: int) -> np.ndarray:
+    """The chunks with the smallest hashes, each text's vector once: more than there will be clusters, so that rings are narrow. Those that lie
+    near each other stand near each other."""
+    rows = live.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max(2 * total // CHUNK_BLOCK, 2 * math.isqrt(total)), PIVOTS)).collect()
+    pivots = np.unique(_unit(pd.Series([r.embedding for r in rows])), axis=0)
+    sims, order, left = pivots @ pivots.T, [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, sims[order[-1]], -2).argmax()))
+        left[order[-1]] = False
+    return pivots[order]
 
 
-def _ringed(rows: DataFrame, column: str, rings: Rings, schema: str) -> DataFrame:
-    """``rows`` with their ``pivot`` and ``angle``."""
-    sent = rows.sparkSession.sparkContext.broadcast(rings)
+def _nearest(rows: DataFrame, column: str, pivots: np.ndarray, schema: str) -> DataFrame:
+    """``rows`` with the ``pivot`` that is nearest and the ``angle`` to it."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                batch["pivot"], batch["angle"] = sent.value.nearest(_unit(batch[column]))
-                yield batch
+        step = max(_PRODUCTS // len(sent.value), 1)
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.iloc[at : at + step]
+                sims = _unit(batch[column]) @ sent.value.T
+                yield batch.assign(pivot=sims.argmax(1).astype(np.int32), angle=np.arccos(np.clip(sims.max(1), -1, 1)))
 
     return rows.mapInPandas(place, f"{schema}, pivot int, angle double")
 
 
-def _rings(live: DataFrame, asked: DataFrame, total: int) -> Rings:
-    """Pivots are the chunks with the smallest hashes: more than there will be clusters, so that rings are narrow. The driver gets them, and for each the quantiles of the angles
-    around it and its number of queries."""
-    rows = live.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max(2 * total // CHUNK_BLOCK, 2 * math.isqrt(total)), PIVOTS)).collect()
-    pivots = _unit(pd.Series([r.embedding for r in rows]))
-    rings = Rings(pivots, np.zeros((len(pivots), 2)), np.zeros((len(pivots), 1), np.int64), np.zeros(0), np.zeros(0))
-    steps = [i / RINGS for i in range(RINGS + 1)]
-    own = _ringed(live.select("embedding"), "embedding", rings, "embedding array<float>").groupBy("pivot")
-    told = own.agg(F.count("*").alias("n"), F.percentile_approx("angle", steps, 1000).alias("q"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
-    edges, parts = np.zeros((len(pivots), RINGS + 1)), np.zeros((len(pivots), RINGS), np.int64)
-    for r in told:
-        # rings of about CHUNK_BLOCK chunks, and narrow ones for the few that lie far from every pivot
-        size = min(-(-r.n // CHUNK_BLOCK), RINGS)
-        at = sorted({i * RINGS // size for i in range(1, size)} | {RINGS - (RINGS >> k) for k in range(2, 6) if 0 < RINGS >> k and r.n >= 16})
-        cuts, shares = [r.low, *(r.q[i] for i in at), r.high], np.diff([0, *at, RINGS]) / RINGS
-        edges[r.pivot] = np.maximum.accumulate(np.pad(cuts, (0, RINGS - len(shares)), constant_values=r.high))
-        parts[r.pivot, : len(shares)] = np.ceil(np.maximum(r.n * shares / CHUNK_BLOCK, 1e-9))
-    # pivots that lie near each other share groups of queries, so that a group needs few rings
-    asks = {r.pivot: r.n for r in _ringed(asked.select("asked"), "asked", rings, "asked array<double>").groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    sims, order, left = pivots @ pivots.T, [0], np.ones(len(pivots), bool)
-    left[0] = False
-    while left.any():
-        order.append(int(np.where(left, sims[order[-1]], -2).argmax()))
-        left[order[-1]] = False
-    groups, begins, at, room = np.ones(len(pivots), np.int64), np.zeros(len(pivots), np.int64), 0, QUERY_BLOCK
-    for p in order:
-        n = asks.get(p, 0)
-        if n > room:
-            at, room = at + 1, QUERY_BLOCK
-        begins[p], groups[p] = at, max(-(-n // QUERY_BLOCK), 1)
-        at, room = at + groups[p] - 1, room - n if groups[p] == 1 else 0
-    return Rings(pivots, edges, parts, groups, begins)
+@dataclass(frozen=True)
+class Rings:
+    """Chunks lie around the pivot that is nearest to them, in rings. ``at`` is the pivot of a ring, ``low`` and ``high`` the angles to
+    it between which its chunks lie. Neighbouring rings are a cell: ``first`` and ``parts`` tell the cells of each ring."""
 
+    pivots: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    @property
+    def step(self) -> int:
+        """So many queries are held against all rings at once."""
+        return max(_PRODUCTS // max(len(self.at), len(self.pivots)), 1)
 
-def _routed(asked: DataFrame, rings: Rings, threshold: float) -> DataFrame:
-    """A row for each query and ring that may have a chunk over the threshold: ``(query_id, top_k, asked, least, q, pivot, ring,
-    bound, first)``; first is the ring with the largest bound."""
-    sent = asked.sparkSession.sparkContext.broadcast(rings)
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """What the cosine with a chunk of each ring is at most (rows x rings), by the triangle inequality of angles."""
+        angles = np.arccos(np.clip(unit @ self.pivots.T, -1, 1))[:, self.at]
+        return np.cos(np.clip(np.maximum(angles - self.high, self.low - angles), 0, np.pi)) + _SLACK
+
+    def cell_bounds(self, unit: np.ndarray) -> np.ndarray:
+        """The same for the cells (rows x cells)."""
+        _, begins = np.unique(self.first, return_index=True)
+        return np.repeat(np.maximum.reduceat(self.bounds(unit), begins, axis=1), self.parts[begins], axis=1)
+
+
+def _ringed(live: DataFrame, total: int, size: int) -> tuple[DataFrame, Rings]:
+    """(chunks with their ``cell``, rings). The place of each chunk is found and written once; pivots and a row for each
+    ring pass through the driver. A cell has ``size`` chunks at most, equal vectors too."""
+    spark, pivots = live.sparkSession, _pivots(live, total)
+    own = written_once(_nearest(live, "embedding", pivots, LIVE).withColumn("nth", F.monotonically_increasing_id()), "placed")
+    around = own.groupBy("pivot").agg(F.min("angle").alias("low"), (F.max("angle") - F.min("angle")).alias("width"))
+    ring = F.when(F.col("width") > 0, F.least(F.floor((F.col("angle") - F.col("low")) / F.col("width") * RINGS), F.lit(RINGS - 1))).otherwise(0).cast("int")
+    own = own.join(F.broadcast(around), "pivot").withColumn("ring", ring).drop("low", "width")  # PIVOTS rows at most
+    told = own.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("pivot", "ring").collect()
+    first, parts = _packed([r.n for r in told], size)
+    at = spark.createDataFrame([(r.pivot, r.ring, int(f), int(p)) for r, f, p in zip(told, first, parts, strict=True)], "pivot int, ring int, first int, parts int")
+    placed = own.join(F.broadcast(at), ["pivot", "ring"]).withColumn("cell", _spread("nth"))  # PIVOTS x RINGS rows at most
+    low, high = (np.array([r[c] for r in told]) for c in ("low", "high"))
+    return placed.select("chunk_id", "document_id", "chunk_index", "embedding", "cell"), Rings(pivots, np.array([r.pivot for r in told]), low, high, first, parts)
+
+
+def _spread(column: str) -> Column:
+    return (F.col("first") + F.pmod(F.xxhash64(column), F.col("parts"))).cast("int")
+
+
+def _routed(asked: DataFrame, rings: Rings, threshold: float, size: int) -> DataFrame:
+    """Queries with the ``cells`` that may have a chunk over the threshold and the ``bounds`` of these, largest first, and a group ``q``
+    of at most about ``size`` queries that lie near each other."""
+    spark = asked.sparkSession
+    sent = spark.sparkContext.broadcast(rings)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rings = sent.value
-        step = max((1 << 22) // rings.parts.size, 1)
         for whole in batches:
-            for at in range(0, len(whole), step):
-                batch = whole.iloc[at : at + step].reset_index(drop=True)
-                unit = _unit(batch["asked"])
-                pivot, _ = rings.nearest(unit)
-                bounds = rings.bounds(unit)
-                best = bounds.reshape(len(batch), -1).argmax(1)
-                row, p, ring = np.nonzero(bounds >= threshold)
-                out = batch.iloc[row].copy()
-                spread = pd.util.hash_array(out["query_id"].to_numpy(np.int64)).astype(np.uint64) % rings.groups[pivot[row]].astype(np.uint64)
-                out["q"] = rings.begins[pivot[row]] + spread.astype(np.int64)
-                out["pivot"], out["ring"], out["bound"], out["first"] = p, ring, bounds[row, p, ring], best[row] == p * bounds.shape[2] + ring
-                yield out
-
-    return asked.mapInPandas(route, "query_id long, top_k int, asked array<double>, least double, q long, pivot int, ring int, bound double, first boolean")
-
-
-def _scored(routed: DataFrame, placed: DataFrame, rings: Rings, threshold: float) -> DataFrame:
-    """Hits of the pairs of a group of queries and a part of a ring that ``routed`` names; others do not move."""
-    spark = routed.sparkSession
-    at = [(int(p), int(r), int(rings.parts[p, r])) for p, r in zip(*np.nonzero(rings.parts), strict=True)]
-    parts = F.broadcast(spark.createDataFrame(at, "pivot int, ring int, parts int"))  # PIVOTS x RINGS rows at most
-    pairs = routed.select("pivot", "ring", F.col("q").alias("group")).distinct()
-    chunks = placed.join(parts, ["pivot", "ring"]).withColumn("part", F.expr("cast(pmod(xxhash64(chunk_id), parts) as int)")).drop("parts").join(pairs, ["pivot", "ring"])
-    asked = routed.join(parts, ["pivot", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.select("query_id", "top_k", "asked", "least", "pivot", "ring", "part", "q")
-    chunks = chunks.select("chunk_id", "document_id", "chunk_index", "embedding", "pivot", "ring", "part", F.col("group").alias("q"))
-    keys = ("pivot", "ring", "part", "q")
-    return asked.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(_scorer(threshold), HITS)
-
-
-def _placed(live: DataFrame, rings: Rings) -> DataFrame:
-    """Chunks with their pivot and ring."""
-    own = _ringed(live, "embedding", rings, "chunk_id string, document_id string, chunk_index int, embedding array<float>")
-    sent = live.sparkSession.sparkContext.broadcast(rings)
-
-    @F.pandas_udf("int")
-    def ring_of(pivots: pd.Series, angles: pd.Series) -> pd.Series:
-        # an angle that is an edge of several rings belongs to the first one
-        inner = np.where(np.arange(1, sent.value.parts.shape[1])[None] < (sent.value.parts > 0).sum(1)[:, None], sent.value.edges[:, 1:-1], np.inf)
-        return pd.Series((angles.to_numpy()[:, None] > inner[pivots.to_numpy()]).sum(1))
-
-    return own.withColumn("ring", ring_of("pivot", "angle"))
+            for at in range(0, len(whole), rings.step):
+                batch = whole.iloc[at : at + rings.step]
+                bounds = rings.cell_bounds(_unit(batch["asked"]))
+                cells, n = np.argsort(-bounds, axis=1, kind="stable").astype(np.int32), (bounds >= threshold).sum(1)
+                yield batch.assign(cells=[c[:m] for c, m in zip(cells, n, strict=True)], bounds=[b[c[:m]] for b, c, m in zip(bounds, cells, n, strict=True)])
+
+    schema = "query_id long, top_k int, asked array<double>, least double"
+    near = _nearest(asked, "asked", rings.pivots, schema).drop("angle")
+    routed = written_once(near.mapInPandas(route, f"{schema}, pivot int, cells array<int>, bounds array<double>"), "routed")
+    told = routed.groupBy("pivot").agg(F.count("*").alias("n")).orderBy("pivot").collect()  # PIVOTS rows at most
+    if not told:
+        return routed.withColumn("q", F.lit(0)).drop("pivot")
+    groups = [(r.pivot, int(f), int(p)) for r, f, p in zip(told, *_packed([r.n for r in told], size), strict=True)]
+    return routed.join(F.broadcast(spark.createDataFrame(groups, "pivot int, first int, parts int")), "pivot").withColumn("q", _spread("query_id")).drop("pivot", "first", "parts")
+
+
+def _scored(asked: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """Hits of the meetings of a group ``q`` of queries and a ``cell`` of chunks; others do not move."""
+    asked = asked.select("query_id", "top_k", "asked", "least", "cell", "q")
+    pairs = asked.select("cell", F.col("q").alias("group")).distinct()
+    chunks = placed.join(pairs, "cell").select("chunk_id", "document_id", "chunk_index", "embedding", "cell", F.col("group").alias("q"))
+    return asked.groupBy("cell", "q").cogroup(chunks.groupBy("cell", "q")).applyInPandas(_scorer(threshold), HITS)
 
 
 def searchable(chunks: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
@@ -203,21 +227,22 @@ def searchable(chunks: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame
     return chunks.where(error.isNull()), chunks.select("chunk_id", error.alias("error")).where("error is not null")
 
 
-def _hits_of(live: DataFrame, asked: DataFrame, threshold: float, total: int, queries: int) -> DataFrame:
+def _hits_of(live: DataFrame, asked: DataFrame, threshold: float, total: int, queries: int, dimensions: int) -> DataFrame:
     if not total or not queries:
         return live.sparkSession.createDataFrame([], HITS)
-    if total <= CHUNK_BLOCK and queries <= QUERY_BLOCK:  # one block of each
+    most = max(_VALUES // max(dimensions, 1), 1)  # of long vectors fewer meet
+    chunk_block, query_block = min(CHUNK_BLOCK, most), min(QUERY_BLOCK, most)
+    if total <= chunk_block and queries <= query_block:  # one block of each
         one = [df.withColumn("block", F.lit(0)).groupBy("block") for df in (asked, live)]
         return one[0].cogroup(one[1]).applyInPandas(_scorer(threshold), HITS)
-    rings = _rings(live, asked, total)
-    routed, placed = _routed(asked, rings, threshold), _placed(live, rings)
-    near = _scored(routed.where("first"), placed, rings, threshold)
-    # with top_k hits in its first ring, a query needs no ring whose bound lies under the last of them
+    placed, rings = _ringed(live, total, chunk_block)
+    routed = _routed(asked, rings, threshold, query_block)
+    near = written_once(_scored(routed.where("size(cells) > 0").withColumn("cell", F.col("cells")[0]), placed, threshold), "near")
+    # with top_k hits in its first cell, a query needs no cell whose bound lies under the last of them
     last = near.groupBy("query_id").agg(F.sort_array(F.collect_list("raw"), False).alias("raws"))
-    known = last.select("query_id", "raws")
-    rest = routed.where("not first").join(known, "query_id", "left").withColumn("least", F.coalesce(F.get("raws", F.col("top_k") - 1) - _EQUAL, F.col("least")))
-    rest = rest.where(F.col("bound") >= F.col("least")).drop("raws")
-    return near.unionByName(_scored(rest, placed, rings, threshold))
+    rest = routed.join(last, "query_id", "left").withColumn("least", F.coalesce(F.get("raws", F.least(F.col("top_k"), F.lit(S.TOP_K_MAX)) - 1) - _EQUAL, F.col("least")))
+    rest = rest.withColumn("to", F.explode(F.expr("slice(arrays_zip(cells, bounds), 2, size(cells))"))).where(F.col("to.bounds") >= F.col("least"))
+    return near.unionByName(_scored(rest.withColumn("cell", F.col("to.cells")), placed, threshold))
 
 
 def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
@@ -225,10 +250,10 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
     documents that are indexed now, those with a cosine of the threshold or more, the top_k best;
     ties by document, place and chunk. Rank is by the raw value; similarity has four decimals.
 
-    The search is exact. Chunks lie in rings around pivots, and a query is sent to those rings alone whose angles
-    allow for a chunk over the threshold, and over its k-th best hit in the ring that it begins with.
-    Groups of queries and parts of rings meet in tasks of a bounded size, and nothing but pivots and counts
-    passes through the driver. Only the best of each meeting are in the last ranking.
+    The search is exact. Chunks lie in rings around pivots, neighbouring rings are a cell, and a query is sent to those cells alone whose
+    angles allow for a chunk over the threshold, and over its k-th best hit in the cell that it begins with.
+    Groups of queries and cells meet in tasks of a bounded size, and nothing but pivots and counts
+    passes through the driver. Only the best of each meeting are in the last ranking. All but the last meetings are made at once.
 
     Chunks without a vector, or with one that cannot be searched (see ``searchable``), are left out; queries
     without such a vector, or without a top_k, have no hits. If both sides name their model and dimension, a mixture
@@ -246,7 +271,7 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
     asked = asked.where(vector_error(F.col("asked"), high or 0).isNull() & (F.col("top_k") > 0))
     live = chunks.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
     live = searchable(live.select("chunk_id", "document_id", "chunk_index", F.col("embedding").cast("array<float>").alias("embedding")), high or 0)[0]
-    hits = _hits_of(live, asked, threshold, live.count() if count else 0, count)
+    hits = _hits_of(live, asked, threshold, live.count() if count else 0, count, high or 0)
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "document_id", "chunk_index", "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= S.TOP_K_MAX)
     return ranked.join(queries.select("query_id", "top_k"), "query_id").where("rank <= top_k").select(
@@ -257,10 +282,17 @@ def retrieve(chunks: DataFrame, documents: DataFrame, queries: DataFrame, thresh
 def skipped_meetings(chunks: DataFrame, queries: DataFrame, threshold: float = S.THRESHOLD) -> tuple[int, int]:
     """(meetings of a query and a ring that the threshold alone skips, all meetings), of vectors that can be searched."""
     asked = queries.select("query_id", "top_k", F.col("embedding").cast("array<double>").alias("asked"), F.lit(threshold).cast("double").alias("least"))
-    live = chunks.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    rings = _rings(live, asked, live.count())
-    every = asked.count() * int((rings.parts > 0).sum())
-    return every - _routed(asked, rings, threshold).count(), every
+    live = chunks.select("chunk_id", F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("int").alias("chunk_index"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rings = _ringed(live, live.count(), CHUNK_BLOCK)[1]
+    sent = chunks.sparkSession.sparkContext.broadcast(rings)
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), sent.value.step):
+                yield pd.DataFrame({"n": (sent.value.bounds(_unit(whole["asked"].iloc[at : at + sent.value.step])) >= threshold).sum(1)})
+
+    every = asked.count() * len(rings.at)
+    return every - (asked.select("asked").mapInPandas(met, "n long").agg(F.sum("n")).first()[0] or 0), every
 
 
 def gate_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -301,6 +301,39 @@ def test_pruned_search_is_exact(spark, monkeypatch, spread, threshold):
     assert 0 <= skipped < every and (spread > 0.1 or skipped > 0.25 * every)
 
 
+def test_a_meeting_of_copies_needs_no_row_for_each_pair():
+    """3,000 equal chunks and 1,000 queries that all find them: 3 million pairs over the threshold, five hits a query."""
+    import tracemalloc
+
+    import pandas as pd
+
+    vector = np.arange(1, 17, dtype=np.float32)
+    chunks = pd.DataFrame({"chunk_id": [f"c{i:04d}" for i in range(3000)], "document_id": "d", "chunk_index": np.arange(3000, dtype=np.int32)[::-1], "embedding": [vector] * 3000})
+    queries = pd.DataFrame({"query_id": np.arange(1000), "top_k": 5, "asked": [vector.astype(float)] * 1000, "least": 0.5})
+    tracemalloc.start()
+    hits = retrieval._scorer(0.5)(queries, chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(hits["chunk_id"]) == [f"c{i:04d}" for i in range(2999, 2994, -1)] * 1000
+    assert peak < 150e6
+
+
+def test_no_cell_of_chunks_grows_with_copies(spark, monkeypatch):
+    """Copies all lie at one angle, in one ring; they are spread over cells, and a query moves once to a cell."""
+    monkeypatch.setattr(retrieval, "PIVOTS", 12)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 8))
+    base[100:] = base[99]
+    live = spark.createDataFrame([(f"c{i:03d}", "d", i, [float(x) for x in v]) for i, v in enumerate(base)], CHUNKS)
+    placed, rings = retrieval._ringed(live, 300, 40)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 80
+    asked = spark.createDataFrame([(i, 5, [float(x) for x in v], 0.0) for i, v in enumerate(base)], "query_id long, top_k int, asked array<double>, least double")
+    routed = retrieval._routed(asked, rings, -1.0, 50)
+    assert routed.count() == 300 and routed.where(f"size(cells) = {len(sizes)}").count() == 300
+    assert max(r["count"] for r in routed.groupBy("q").count().collect()) <= 100
+
+
 def test_search_over_vectors_that_are_not_there_yet(spark, monkeypatch):
     docs = spark.createDataFrame([("d",)], "id string")
     rows = [("a", "d", 0, None), ("b", "d", 1, [1.0]), ("c", "d", 2, [0.0, 0.0]), ("e", "d", 3, [3.0, 4.0])]
