@@ -133,3 +133,17 @@ def test_edges_with_page_counters_go(spark):
 
 def test_edges_of_no_pages(spark):
     assert E.strip_repeated_edges(spark.createDataFrame([], "doc_key string, page_index int, content string")).count() == 0
+
+
+def test_few_documents_are_objects_at_once():
+    """A batch of 3,000 documents: what Python holds of it is a few of them, and it tells them bit by bit."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"# {i}\n\n" + "some text\n\n" * 50 for i in range(3000)])
+    tracemalloc.start()
+    told = [len(some) for some in E._markdown_blocks(iter([texts]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(told) == 3000 and max(told) <= E.AT_ONCE and peak < 10e6
