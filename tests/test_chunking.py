@@ -145,3 +145,26 @@ def test_audit_tells_every_loss(spark):
 def test_audit_of_empty_tables(spark):
     blocks = _blocks(spark)
     assert C.audit_chunks(C.chunk(blocks)[0], blocks=blocks).collect() == []
+
+
+def test_few_documents_are_cut_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    block = {"position": 0, "segment": 0, "kind": "paragraph", "content": "Some words. " * 400, "page_index": None, "page_label": None, "section": None}
+    blocks = pa.array([[block]] * 1000)
+    tracemalloc.start()
+    told = [len(some) for some in C._chunker(C.ChunkConfig()).func(iter([blocks]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(told) == 1000 and max(told) <= C.AT_ONCE and peak < 10e6
+
+
+def test_a_sweep_brings_blocks_together_once(spark):
+    blocks = _blocks(spark, [{"content": "x" * 5000}], [{"content": "| a |\n|---|\n| " + "w" * 3000 + " |", "kind": "table"}])
+    swept = C.chunk_config_sweep(blocks)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 2
+    assert sorted(map(tuple, swept.collect())) == [("1200/200", 3, 2400, 5000, 0), ("1800/300", 3, 2400, 5000, 0), ("2400/400", 3, 2400, 5000, 0)]
+    assert sorted(map(tuple, C.chunk_config_sweep(blocks.where("false")).collect())) == [(n, 0, None, None, None) for n in sorted(C.SWEEP)]
