@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +125,12 @@ def _counter(log2_buckets: int):
     return count
 
 
-def _weights(clean: np.ndarray, toxic: np.ndarray, prior: float, errors: float, least: float) -> np.ndarray:
-    """Log-odds less ``errors`` standard errors; under ``least`` nothing is left of them."""
+def _weights(clean: np.ndarray, toxic: np.ndarray, sums: tuple[int, int], buckets: int, prior: float, errors: float, least: float) -> np.ndarray:
+    """Log-odds less ``errors`` standard errors; under ``least`` nothing is left of them. ``sums`` are those of the
+    clean and the toxic counts of all buckets."""
     both = clean + toxic
-    alpha = prior * (both + 0.01) / (both.sum() + 0.01 * len(both))
-    n1, n0 = toxic.sum() + prior, clean.sum() + prior
+    alpha = prior * (both + 0.01) / (sum(sums) + 0.01 * buckets)
+    n1, n0 = sums[1] + prior, sums[0] + prior
     y1, y0 = toxic + alpha, clean + alpha
     delta = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
     error = np.sqrt(1.0 / y1 + 1.0 / y0)
@@ -136,6 +138,18 @@ def _weights(clean: np.ndarray, toxic: np.ndarray, prior: float, errors: float,
     return np.where((both > 0) & (size >= least), np.sign(delta) * size, 0.0).astype(np.float32)
 
 
+def _weigher(*options):
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights that are not 0."""
+        for batch in batches:
+            clean, toxic = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2))
+            weights = _weights(clean, toxic, *options)
+            at = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(weights[at])], ["bucket", "weight"])
+
+    return weigh
+
+
 _STEP = 0.1
 
 
@@ -143,22 +157,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, log2_buckets
     """Learn from the labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``max_rows`` of them:
     the law of clean text where it is 4, with weights from where it is 1 to 3; then the weights from
     all of them. Without rows of both classes every weight is 0, and every text clean. ``level`` is the
-    number of times that clean text may do as well as a text that counts as toxic."""
+    number of times that clean text may do as well as a text that counts as toxic. Counts stay in Spark; the driver
+    has the weights alone."""
     spark = docs.sparkSession
     rows = stored(_training_rows(docs, labels, max_rows), "toxicity-training")
 
-    def counts(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        counted = some.mapInArrow(_counter(log2_buckets), "bucket int, clean long, toxic long")
-        table = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2**log2_buckets rows at most
-        out = np.zeros((2, 1 << log2_buckets))
-        out[:, table["bucket"]] = table["clean"], table["toxic"]
-        return out[0], out[1]
+    def counts(*each: DataFrame) -> DataFrame:
+        table = reduce(DataFrame.union, each).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        return stored(table, "toxicity-counts")
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(_counter(log2_buckets), "bucket int, clean long, toxic long")
+
+    def weights(table: DataFrame, sums: tuple[int, int]) -> np.ndarray:
+        weigh = _weigher(sums, 1 << log2_buckets, prior, errors, least)
+        told = table.mapInArrow(weigh, "bucket int, weight float").toArrow()  # of 2**log2_buckets at most, those that are not 0
+        out = np.zeros(1 << log2_buckets, np.float32)
+        out[told["bucket"].to_numpy()] = told["weight"].to_numpy()
+        return out
+
+    def sums(table: DataFrame) -> tuple[int, int]:
+        return tuple(n or 0 for n in table.agg(F.sum("clean"), F.sum("toxic")).first())
 
-    clean, toxic = counts(rows.where("fold < 4"))
-    if not clean.any() or not toxic.any():
+    some = counts(counted(rows.where("fold < 4")))
+    if not all(n := sums(some)):
         return ToxicityModel(np.zeros(1 << log2_buckets, np.float32), drift, 1.0, 1.0, level)
-    draft = ToxicityModel(_weights(clean, toxic, prior, errors, least), drift, 1.0, 1.0)
-    clean, toxic = (x + y for x, y in zip((clean, toxic), counts(rows.where("fold = 4")), strict=True))
+    draft = ToxicityModel(weights(some, n), drift, 1.0, 1.0)
+    every = counts(some, counted(rows.where("fold = 4")))
     shared = spark.sparkContext.broadcast(draft)
 
     def best_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, log2_buckets
     null = rows.where("toxic = 0 and fold = 4").select("text").mapInArrow(best_segments, "bin long, texts long, words long")
     null = null.groupBy("bin").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words")).orderBy("bin").collect()  # a few hundred bins
     law = extreme_value_law([r.bin * _STEP for r in null], [r.texts for r in null], sum(r.words for r in null))
-    return ToxicityModel(_weights(clean, toxic, prior, errors, least), drift, *law, level)
+    return ToxicityModel(weights(every, sums(every)), drift, *law, level)
 
 
 def extreme_value_law(scores: list[float], texts: list[int], words: int) -> tuple[float, float]:

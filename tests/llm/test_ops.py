@@ -350,6 +350,21 @@ def test_toxicity_weights_and_score_equal_their_definition(spark):
     assert toxicity.expected_count([(0, 2, 14.0), (5, 6, 12.0), (9, 10, 1.0)], 30, m) == pytest.approx(min(one, two)) and m.score(0.01) == 0.5
 
 
+def test_toxicity_counts_stay_out_of_the_driver(spark):
+    """60,000 words that tell nothing and one that does: the driver's Python has the weights (4 MB), not the counts of all words."""
+    import tracemalloc
+
+    texts = [" ".join([*(f"w{i}x{k}" for k in range(300)), *(["vile"] * (i % 3 == 0))]) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = docs_of(spark, texts)
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.count_nonzero(model.weights) == 1 and model.weights[int(Words(["vile"]).hashes[0]) & (len(model.weights) - 1)] > 0
+    assert peak < 25e6
+
+
 def test_toxicity_held_out(spark, odd):
     rng = random.Random(8)
     texts, labels = [], []
