@@ -168,3 +168,32 @@ def test_a_sweep_brings_blocks_together_once(spark):
     assert plan.count("ArrowEvalPython") + plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 2
     assert sorted(map(tuple, swept.collect())) == [("1200/200", 3, 2400, 5000, 0), ("1800/300", 3, 2400, 5000, 0), ("2400/400", 3, 2400, 5000, 0)]
     assert sorted(map(tuple, C.chunk_config_sweep(blocks.where("false")).collect())) == [(n, 0, None, None, None) for n in sorted(C.SWEEP)]
+
+
+def test_a_place_in_a_long_block_is_looked_up(spark):
+    """Pieces give what a substring gives: at their ends, past the end of the block, with letters of four bytes, before the begin."""
+    long, n = "".join(chr(0x1F600 + i % 70) if i % 7 == 0 else "é" if i % 5 == 0 else "\n" if i % 11 == 0 else "x" for i in range(3 * C.PIECE + 5)), C.PIECE
+    places = [(a, k) for a in (0, 1, n - 1, n, n + 1, 2 * n, 3 * n, 3 * n + 4, 3 * n + 5, 9 * n, -3) for k in (0, 1, n - 1, n, n + 1, 3 * n, 9 * n, -1)]
+    df = spark.createDataFrame([(s, a, k) for s in (long, "short") for a, k in places], "source string, start int, length int")
+    pieces = df.withColumn("pieces", C._pieces(F.col("source")))
+    assert pieces.agg(F.max(F.size("pieces"))).first()[0] == 4
+    got = pieces.select(C._part(F.col("source"), F.col("pieces"), F.col("start"), F.col("length")).alias("a"), F.substr("source", F.col("start") + 1, "length").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_an_audit_cuts_documents_once(spark, tmp_path):
+    """The plan that audits reads the chunks and the rejected documents from a table, and cuts none again."""
+    from docmill.jobs.queries import queries
+
+    spark.createDataFrame([(i, "Some words.\nSome more.", "en", "web", 22) for i in range(13)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries()["chunk_audit"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "ArrowEvalPython" not in plan
+
+
+def test_chunks_and_rejected_of_one_cut(spark):
+    blocks = _blocks(spark, [{"content": "| a |\n|---|\n| " + "w" * 3000 + " |", "kind": "table"}, {"content": "y", "section": "B"}], [{"content": "x"}])
+    rows = C.cut(blocks).persist()
+    chunks, rejected = C.parted(rows)
+    assert [(r.doc_key, r.chunk_index, r.content) for r in chunks.collect()] == [("1", 0, "x")] and "rejected" not in chunks.columns
+    assert [tuple(r) for r in rejected.collect()] == [("0", "chunking", "indivisible_table_row", "file")]
+    rows.unpersist()
