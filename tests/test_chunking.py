@@ -197,3 +197,13 @@ def test_chunks_and_rejected_of_one_cut(spark):
     assert [(r.doc_key, r.chunk_index, r.content) for r in chunks.collect()] == [("1", 0, "x")] and "rejected" not in chunks.columns
     assert [tuple(r) for r in rejected.collect()] == [("0", "chunking", "indivisible_table_row", "file")]
     rows.unpersist()
+
+
+def test_places_are_audited_without_whole_texts(spark):
+    """A prefix is held against the first characters of a chunk, to the last one; text without any span is nobody's."""
+    blocks = _blocks(spark, [{"content": "# " + "h" * 298, "kind": "heading", "section": "H"}, {"content": "one two " * 500, "section": "H"}])
+    good, _ = C.chunk(blocks)
+    assert C.audit_chunks(good, blocks=blocks).collect() == []
+    other = good.withColumn("content", F.expr("case when chunk_index = 1 then concat(substring(content, 1, 299), 'x', substring(content, 301)) else content end"))
+    assert {r.rule for r in C._audit_places(other, blocks).collect()} == {"heading"}
+    assert {r.rule for r in C._audit_places(good.withColumn("spans", F.expr("filter(spans, s -> false)")), blocks).collect()} == {"foreign_text"}
